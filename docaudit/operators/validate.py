@@ -20,7 +20,7 @@ Plan shape (see ``explain``):
   fixed-size idx blocks: a window over a block (bounded by ``block_size``
   rows) plus a prefix sum over per-block counts.  The r-th negative line of a
   key pairs with the r-th positive line, which is exactly the first-in
-  first-out queue of the record contract.  Pairs are an equi-join on
+  first-out queue of the record contract.  Pairs are one aggregate on
   ``(doc_key, key, rank)``.
 
 Issue order follows the record contract: ``(g, line_idx, sub)``.
@@ -39,6 +39,7 @@ from docaudit.config import TOLERANCE
 from docaudit.functions.dates import is_canonical_date, parse_date
 from docaudit.functions.money import decimal_text, scale_of, to_decimal
 from docaudit.functions.text import normalize
+from docaudit.session import cut_lineage
 
 ISSUE_FIELDS = ("code", "severity", "message", "field", "expected", "actual")
 ORDER_FIELDS = ("g", "line_idx", "sub")
@@ -121,11 +122,17 @@ def prepare_lines(lines: DataFrame, headers: DataFrame | None = None) -> DataFra
     )
 
 
-def reversal_pairs(prepared: DataFrame, block_size: int = 4096) -> DataFrame:
-    """(doc_key, pos_idx, neg_idx) of balanced reversals.
+def reversal_roles(prepared: DataFrame, block_size: int = 4096) -> DataFrame:
+    """(doc_key, idx, rev_role, partner_idx) for both halves of every balanced reversal.
 
     Key = (normalized description, |quantity|, |unit_price|, |amount|), nulls
-    equal; description and a non-zero amount are required.
+    equal; description and a non-zero amount are required.  Within a
+    (doc_key, key, sign) group the r-th negative pairs with the r-th positive.
+    Ranks are exact and skew-safe: row_number inside fixed idx blocks (a
+    window over at most ``block_size`` rows) plus the count of the group's
+    rows in earlier blocks (a prefix sum over per-block counts).  Pairing is
+    then one aggregate on (doc_key, key, rank): each group holds at most one
+    negative and one positive line.
     """
     eligible = prepared.filter(
         F.col("description").isNotNull() & F.col("a").isNotNull() & (F.col("a") != 0)
@@ -159,18 +166,31 @@ def reversal_pairs(prepared: DataFrame, block_size: int = 4096) -> DataFrame:
     ranked = within.join(offsets, grp + ["blk"]).select(
         "doc_key", "rk", "neg", "idx", (F.col("r_in") + F.col("off")).alias("rank")
     )
-    negs = ranked.filter("neg").select("doc_key", "rk", "rank", F.col("idx").alias("neg_idx"))
-    poss = ranked.filter(~F.col("neg")).select("doc_key", "rk", "rank", F.col("idx").alias("pos_idx"))
-    return negs.join(poss, ["doc_key", "rk", "rank"], "inner").select("doc_key", "pos_idx", "neg_idx")
+    matched = (
+        ranked.groupBy("doc_key", "rk", "rank")
+        .agg(
+            F.max(F.when(F.col("neg"), F.col("idx"))).alias("neg_idx"),
+            F.max(F.when(~F.col("neg"), F.col("idx"))).alias("pos_idx"),
+        )
+        .filter(F.col("neg_idx").isNotNull() & F.col("pos_idx").isNotNull())
+    )
+    both = F.array(
+        F.struct(
+            F.col("neg_idx").alias("idx"),
+            F.lit("neg").alias("rev_role"),
+            F.col("pos_idx").alias("partner_idx"),
+        ),
+        F.struct(
+            F.col("pos_idx").alias("idx"),
+            F.lit("pos").alias("rev_role"),
+            F.col("neg_idx").alias("partner_idx"),
+        ),
+    )
+    return matched.select("doc_key", F.inline(both))
 
 
-def enrich_lines(prepared: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Lines + reversal role (pos/neg/null) + the previous line, joined on (doc_key, idx)."""
-    roles = pairs.select(
-        "doc_key", F.col("neg_idx").alias("idx"), F.lit("neg").alias("rev_role")
-    ).unionByName(
-        pairs.select("doc_key", F.col("pos_idx").alias("idx"), F.lit("pos").alias("rev_role"))
-    )
+def enrich_lines(prepared: DataFrame, roles: DataFrame) -> DataFrame:
+    """Lines + reversal role (pos/neg/null, partner) + the previous line, joined on (doc_key, idx)."""
     prev = prepared.select(
         "doc_key",
         (F.col("idx") + 1).alias("idx"),
@@ -227,13 +247,15 @@ def line_issues(enriched: DataFrame, tolerance: Decimal) -> DataFrame:
     return _collect_issues(enriched, candidates)
 
 
-def pair_issues(pairs: DataFrame) -> DataFrame:
-    neg = F.concat(F.lit("line_items."), F.col("neg_idx").cast("string"))
-    pos = F.concat(F.lit("line_items."), F.col("pos_idx").cast("string"))
+def pair_issues(enriched: DataFrame) -> DataFrame:
+    """BALANCED_REVERSAL per negative half, read from the enriched lines."""
+    pairs = enriched.filter(F.col("rev_role") == "neg")
+    neg = F.concat(F.lit("line_items."), F.col("idx").cast("string"))
+    pos = F.concat(F.lit("line_items."), F.col("partner_idx").cast("string"))
     return pairs.select(
         "doc_key",
         F.lit(8).alias("g"),
-        F.col("neg_idx").cast("int").alias("line_idx"),
+        F.col("idx").cast("int").alias("line_idx"),
         F.lit(0).alias("sub"),
         F.lit("BALANCED_REVERSAL").alias("code"),
         F.lit("info").alias("severity"),
@@ -534,17 +556,25 @@ def validate(
     notices: DataFrame | None = None,
     tolerance: Decimal | str = TOLERANCE,
     block_size: int = 4096,
+    materialize: bool = True,
 ) -> Validation:
+    """Validate every document; returns the issue table and per-document status.
+
+    ``materialize`` (default on) writes the two hub tables -- enriched lines
+    and the per-document stage -- once to the checkpoint folder, so the
+    several consumers below read them instead of re-running their lineage.
+    """
     tolerance = Decimal(str(tolerance))
+    keep = cut_lineage if materialize else (lambda df, name: df)
     prepared = prepare_lines(lines, headers)
-    pairs = reversal_pairs(prepared, block_size)
-    enriched = enrich_lines(prepared, pairs)
+    roles = reversal_roles(prepared, block_size)
+    enriched = keep(enrich_lines(prepared, roles), "enriched_lines")
     agg = line_aggregates(enriched)
-    stage = header_stage(headers, agg)
+    stage = keep(header_stage(headers, agg), "doc_stage")
     parts = [
         header_issues(stage, tolerance),
         mixed_credit_issues(stage, enriched),
-        pair_issues(pairs),
+        pair_issues(enriched),
         line_issues(enriched, tolerance),
     ]
     if notices is not None:

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docaudit.functions.money import money_text
-from docaudit.session import read_table
+from docaudit.session import cut_lineage, read_table
 
 DEC = "decimal(18,6)"
 
@@ -190,6 +190,9 @@ def build_headers(spark: SparkSession, sf_dir: str, lines: DataFrame) -> DataFra
     )
 
 
-def document_tables(spark: SparkSession, sf_dir: str) -> DocumentTables:
-    lines = build_lines(spark, sf_dir)
-    return DocumentTables(headers=build_headers(spark, sf_dir, lines), lines=lines)
+def document_tables(spark: SparkSession, sf_dir: str, materialize: bool = True) -> DocumentTables:
+    """Header and line tables.  With ``materialize`` both are written once to the
+    checkpoint folder (they feed several operators), like a stored document table."""
+    keep = cut_lineage if materialize else (lambda df, name: df)
+    lines = keep(build_lines(spark, sf_dir), "doc_lines")
+    return DocumentTables(headers=keep(build_headers(spark, sf_dir, lines), "doc_headers"), lines=lines)
