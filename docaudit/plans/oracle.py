@@ -324,4 +324,181 @@ def all_oracle_sql() -> dict[str, str]:
 
     out = dict(VALIDATION_SQL)
     out["flagship"] = with_rules(FLAGSHIP_SQL_SELECT)
+    out.update(EVALUATION_SQL)
     return out
+
+
+# --------------------------------------------------------------------------- evaluation
+_RULE_CTES = ("line_x", "elig", "pairs", "line_r", "lagg", "hx", "hy", "hz", "all_issues", "doc_status")
+
+
+def rules_for(prefix: str, header: str, line: str) -> str:
+    """The RULES CTEs renamed with ``prefix`` and reading ``header`` / ``line``."""
+    import re
+
+    sql = RULES
+    for name in _RULE_CTES:
+        sql = re.sub(rf"\b{name}\b", f"{prefix}{name}", sql)
+    sql = re.sub(r"\bdoc_line\b", line, sql)
+    sql = re.sub(r"\bdoc_header\b", header, sql)
+    return sql.strip()
+
+
+PAIR = """
+pred_header AS (
+  SELECT doc_key, document_type, document_id, reference_document_id, vendor_name, vendor_tax_id,
+         vendor_address,
+         CASE WHEN doc_key % 5 = 0 THEN '  ' || upper(customer_name) || ' ' ELSE customer_name END AS customer_name,
+         issue_date,
+         CASE WHEN doc_key % 14 = 0 THEN coalesce(due_date, '2099-12-31') ELSE due_date END AS due_date,
+         delivery_date, currency, subtotal_d, discount_d, tax_d, shipping_d,
+         CASE WHEN doc_key % 23 = 0 THEN total_d + 1 ELSE total_d END AS total_d,
+         doc_key % 31 <> 0 AS schema_valid
+  FROM doc_header WHERE doc_key % 29 <> 0
+),
+pred_line AS (
+  SELECT doc_key, idx - CASE WHEN doc_key % 12 = 0 THEN 1 ELSE 0 END AS idx, description, q, u, a
+  FROM doc_line WHERE doc_key % 29 <> 0 AND NOT (doc_key % 12 = 0 AND idx = 0)
+  UNION ALL
+  SELECT l.doc_key, CAST(c.n - CASE WHEN l.doc_key % 12 = 0 THEN 1 ELSE 0 END AS INTEGER), l.description, l.q, l.u, l.a
+  FROM doc_line l JOIN (SELECT doc_key, count(*) AS n FROM doc_line GROUP BY doc_key) c USING (doc_key)
+  WHERE l.doc_key % 18 = 0 AND l.idx = 0 AND l.doc_key % 29 <> 0
+),
+fx AS (
+  SELECT g.doc_key,
+         CASE g.doc_key % 5 WHEN 0 THEN 'csv' WHEN 1 THEN 'image' WHEN 2 THEN 'pdf' WHEN 3 THEN 'text'
+              ELSE 'xlsx' END AS format,
+         coalesce(o.o_orderpriority, 'unknown') AS layout,
+         g.doc_key % 97 <> 0 AS gold_valid,
+         CASE WHEN g.doc_key % 97 <> 0 THEN g.document_type END AS gold_type,
+         CASE WHEN g.doc_key % 37 = 0 THEN CASE WHEN g.document_type <> 'receipt' THEN 'receipt' ELSE 'invoice' END
+              ELSE g.document_type END AS manifest_type,
+         CASE WHEN g.doc_key % 97 = 0 THEN 'gold_invalid'
+              WHEN p.doc_key IS NULL THEN 'missing_output'
+              WHEN NOT p.schema_valid THEN 'invalid_output'
+              ELSE 'compared' END AS branch
+  FROM doc_header g LEFT JOIN orders o ON o.o_orderkey = g.doc_key
+  LEFT JOIN pred_header p USING (doc_key)
+),
+cmp AS (SELECT doc_key FROM fx WHERE branch = 'compared')
+"""
+
+
+def _norm(x: str) -> str:
+    return f"lower(trim(regexp_replace({x}, '\\s+', ' ', 'g')))"
+
+
+def _eq(a: str, b: str) -> str:
+    return f"CASE WHEN {a} IS NOT DISTINCT FROM {b} THEN 1 ELSE 0 END"
+
+
+_TEXT_FIELDS = ("document_type", "document_id", "reference_document_id", "customer_name",
+                "issue_date", "due_date", "delivery_date", "currency",
+                "vendor_name", "vendor_tax_id", "vendor_address")
+_MONEY = ("subtotal_d", "discount_d", "tax_d", "shipping_d", "total_d")
+
+
+def with_pair(select: str, codes: bool = False) -> str:
+    parts = [ADAPTER.strip(), PAIR.strip()]
+    if codes:
+        parts.append(rules_for("g_", "doc_header", "doc_line"))
+        parts.append(rules_for("p_", "pred_valid_header", "pred_valid_line"))
+    sql = ",\n".join(parts)
+    if codes:
+        sql = sql.replace(
+            "cmp AS (SELECT doc_key FROM fx WHERE branch = 'compared')",
+            "cmp AS (SELECT doc_key FROM fx WHERE branch = 'compared'),\n"
+            "pred_valid_header AS (SELECT * FROM pred_header WHERE schema_valid),\n"
+            "pred_valid_line AS (SELECT * FROM pred_line WHERE doc_key IN (SELECT doc_key FROM pred_valid_header))",
+        )
+        # the prefixed rule blocks must come after the pred tables they read
+    return "WITH " + sql + "\n" + select
+
+
+_HEADER_MATCH_EXPR = " + ".join(
+    [_eq(_norm(f"g.{f}"), _norm(f"p.{f}")) for f in _TEXT_FIELDS] + [_eq(f"g.{f}", f"p.{f}") for f in _MONEY]
+)
+_DECIMAL_MATCH_EXPR = " + ".join(_eq(f"g.{f}", f"p.{f}") for f in _MONEY)
+_HEAD_HALLU = " + ".join(
+    f"CASE WHEN g.{f} IS NULL AND p.{f} IS NOT NULL THEN 1 ELSE 0 END" for f in (*_TEXT_FIELDS, *_MONEY)
+)
+_LINE_HALLU = " + ".join(
+    f"CASE WHEN g.{f} IS NULL AND p.{f} IS NOT NULL THEN 1 ELSE 0 END" for f in ("description", "q", "u", "a")
+)
+
+
+def _rates(tp: str, fp: str, fn: str) -> str:
+    p = f"CASE WHEN {tp} + {fp} > 0 THEN round({tp} / ({tp} + {fp}), 4) ELSE 0.0 END"
+    r = f"CASE WHEN {tp} + {fn} > 0 THEN round({tp} / ({tp} + {fn}), 4) ELSE 0.0 END"
+    return (
+        f"{p} AS precision, {r} AS recall, "
+        f"CASE WHEN ({p}) + ({r}) > 0 THEN round(2 * ({p}) * ({r}) / (({p}) + ({r})), 4) ELSE 0.0 END AS f1"
+    )
+
+
+EVALUATION_SQL: dict[str, str] = {
+    "eval_processing": with_pair(
+        "SELECT count(*) AS fixture_count, "
+        "count(*) FILTER (WHERE branch IN ('invalid_output', 'compared')) AS processed, "
+        "count(*) FILTER (WHERE branch = 'compared') AS schema_valid FROM fx"
+    ),
+    "header_match": with_pair(
+        f"SELECT CAST(coalesce(sum({_HEADER_MATCH_EXPR}), 0) AS BIGINT) AS header_matched, "
+        f"CAST(count(*) * 16 AS BIGINT) AS header_compared, "
+        f"CAST(coalesce(sum({_DECIMAL_MATCH_EXPR}), 0) AS BIGINT) AS decimal_matched, "
+        f"CAST(count(*) * 5 AS BIGINT) AS decimal_compared "
+        "FROM cmp JOIN doc_header g USING (doc_key) JOIN pred_header p USING (doc_key)"
+    ),
+    "hallucinations": with_pair(
+        "SELECT CAST(sum(n) AS BIGINT) AS hallucination_count FROM ("
+        f"SELECT coalesce(sum({_HEAD_HALLU}), 0) AS n FROM cmp JOIN doc_header g USING (doc_key) "
+        "JOIN pred_header p USING (doc_key) "
+        "UNION ALL "
+        f"SELECT coalesce(sum({_LINE_HALLU}), 0) FROM doc_line g JOIN pred_line p USING (doc_key, idx) "
+        "WHERE g.doc_key IN (SELECT doc_key FROM cmp))"
+    ),
+    "line_item_prf": with_pair(
+        "SELECT CAST(tp AS BIGINT) AS true_positive, CAST(fp AS BIGINT) AS false_positive, "
+        f"CAST(fn AS BIGINT) AS false_negative, {_rates('tp', 'fp', 'fn')} FROM ("
+        "SELECT coalesce(sum(least(cg, cp)), 0) AS tp, coalesce(sum(cp - least(cg, cp)), 0) AS fp, "
+        "coalesce(sum(cg - least(cg, cp)), 0) AS fn FROM ("
+        "SELECT doc_key, nd, q, u, a, count(*) FILTER (WHERE side = 'g') AS cg, "
+        "count(*) FILTER (WHERE side = 'p') AS cp FROM ("
+        f"SELECT 'g' AS side, doc_key, {_norm('description')} AS nd, q, u, a FROM doc_line "
+        "WHERE doc_key IN (SELECT doc_key FROM cmp) UNION ALL "
+        f"SELECT 'p', doc_key, {_norm('description')}, q, u, a FROM pred_line "
+        "WHERE doc_key IN (SELECT doc_key FROM cmp)) x GROUP BY doc_key, nd, q, u, a) y) z"
+    ),
+    "issue_code_prf": with_pair(
+        "SELECT CAST(tp AS BIGINT) AS true_positive, CAST(fp AS BIGINT) AS false_positive, "
+        f"CAST(fn AS BIGINT) AS false_negative, {_rates('tp', 'fp', 'fn')}, "
+        "CAST(tp AS BIGINT) AS found, CAST(tp + fn AS BIGINT) AS expected, CAST(tp + fp AS BIGINT) AS predicted FROM ("
+        "SELECT count(*) FILTER (WHERE f.branch = 'compared' AND e.code IS NOT NULL AND a.code IS NOT NULL) AS tp, "
+        "count(*) FILTER (WHERE f.branch = 'compared' AND e.code IS NULL AND a.code IS NOT NULL) AS fp, "
+        "count(*) FILTER (WHERE f.branch IN ('compared', 'missing_output', 'invalid_output') "
+        "  AND e.code IS NOT NULL AND (a.code IS NULL OR f.branch <> 'compared')) AS fn "
+        "FROM (SELECT DISTINCT doc_key, code FROM g_all_issues) e "
+        "FULL OUTER JOIN (SELECT DISTINCT doc_key, code FROM p_all_issues) a "
+        "  ON e.doc_key = a.doc_key AND e.code = a.code "
+        "JOIN fx f ON f.doc_key = coalesce(e.doc_key, a.doc_key)) s",
+        codes=True,
+    ),
+    "eval_breakdown": with_pair(
+        "SELECT 'format' AS dimension, format AS grp, count(*) AS fixtures, "
+        "count(*) FILTER (WHERE branch IN ('invalid_output', 'compared')) AS processed, "
+        "count(*) FILTER (WHERE branch = 'compared') AS schema_valid FROM fx GROUP BY format "
+        "UNION ALL SELECT 'layout', layout, count(*), "
+        "count(*) FILTER (WHERE branch IN ('invalid_output', 'compared')), "
+        "count(*) FILTER (WHERE branch = 'compared') FROM fx GROUP BY layout "
+        "UNION ALL SELECT 'document_type', gold_type, count(*), "
+        "count(*) FILTER (WHERE branch IN ('invalid_output', 'compared')), "
+        "count(*) FILTER (WHERE branch = 'compared') FROM fx WHERE gold_valid GROUP BY gold_type"
+    ),
+    "eval_failures": with_pair(
+        "SELECT doc_key AS fixture, 0 AS o, 'invalid ground truth' AS error FROM fx WHERE branch = 'gold_invalid' "
+        "UNION ALL SELECT doc_key, 1, 'manifest document_type mismatch: ''' || manifest_type || ''' != ''' "
+        "|| gold_type || '''' FROM fx WHERE gold_valid AND manifest_type IS NOT NULL AND manifest_type <> gold_type "
+        "UNION ALL SELECT doc_key, 2, CASE branch WHEN 'missing_output' THEN 'missing output' "
+        "ELSE 'invalid output' END FROM fx WHERE branch IN ('missing_output', 'invalid_output')"
+    ),
+}

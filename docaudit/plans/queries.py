@@ -93,4 +93,29 @@ def all_queries() -> dict[str, Query]:
 
     out: dict[str, Query] = {"flagship": flagship}
     out.update(VALIDATION_QUERIES)
+    out.update(EVALUATION_QUERIES)
     return out
+
+
+# --------------------------------------------------------------------------- evaluation
+def _eval(fn, with_codes: bool = False):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from docaudit.operators import evaluate as E
+        from docaudit.sources.pairs import evaluation_inputs
+
+        inp = evaluation_inputs(spark, sf_dir, with_codes=with_codes)
+        return fn(E, inp, E.fixtures(inp))
+
+    return run
+
+
+EVALUATION_QUERIES: dict[str, Query] = {
+    "eval_processing": _eval(lambda E, inp, fx: E.processing_validity(fx)),
+    "header_match": _eval(lambda E, inp, fx: E.header_match(inp, fx)),
+    "hallucinations": _eval(lambda E, inp, fx: E.hallucinations(inp, fx)),
+    "line_item_prf": _eval(lambda E, inp, fx: E.line_item_prf(inp, fx)),
+    "issue_code_prf": _eval(lambda E, inp, fx: E.issue_code_prf(inp, fx), with_codes=True),
+    "eval_breakdown": _eval(lambda E, inp, fx: E.breakdown(fx)),
+    "eval_failures": _eval(lambda E, inp, fx: E.failures(fx)),
+    "eval_report": _eval(lambda E, inp, fx: E.report(inp), with_codes=True),
+}
