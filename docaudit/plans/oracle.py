@@ -325,6 +325,7 @@ def all_oracle_sql() -> dict[str, str]:
     out = dict(VALIDATION_SQL)
     out["flagship"] = with_rules(FLAGSHIP_SQL_SELECT)
     out.update(EVALUATION_SQL)
+    out.update(JSON_SQL)
     return out
 
 
@@ -502,3 +503,39 @@ EVALUATION_SQL: dict[str, str] = {
         "ELSE 'invalid output' END FROM fx WHERE branch IN ('missing_output', 'invalid_output')"
     ),
 }
+
+
+# --------------------------------------------------------------------------- strict JSON / migration
+_LINE_COUNTS = "nl AS (SELECT doc_key, count(*) AS n_lines FROM doc_line GROUP BY doc_key)"
+
+JSON_SQL: dict[str, str] = {
+    "strict_json": with_adapter(
+        "SELECT h.doc_key, errors = '' AS schema_valid, errors FROM (SELECT h.doc_key, "
+        "CASE WHEN h.doc_key % 31 = 0 THEN 'root: json_invalid' ELSE concat_ws('; ', "
+        "CASE WHEN h.doc_key % 41 = 2 THEN 'currency: missing' END, "
+        "CASE WHEN h.doc_key % 53 = 5 THEN 'document_type: literal_error' END, "
+        "CASE WHEN h.doc_key % 61 = 7 AND h.vendor_name IS NOT NULL THEN 'vendor.name: string_type' END, "
+        "CASE WHEN h.doc_key % 59 = 6 AND coalesce(nl.n_lines, 0) > 0 THEN 'line_items.0.quantity: value_error' END, "
+        "CASE WHEN h.doc_key % 47 = 4 THEN 'subtotal: value_error' END, "
+        "CASE WHEN h.doc_key % 43 = 3 THEN 'total: value_error' END, "
+        "CASE WHEN h.doc_key % 37 = 1 THEN 'notes: extra_forbidden' END) END AS errors "
+        "FROM doc_header h LEFT JOIN nl USING (doc_key)) h",
+        _LINE_COUNTS,
+    ),
+    "migrate_v1": with_adapter(
+        "SELECT doc_key, ok AS schema_valid, ok AS migrated, "
+        "CASE WHEN doc_key % 17 = 0 THEN 'document.delivery_date: extra_forbidden' "
+        "WHEN doc_key % 13 = 0 THEN 'source.page_count: greater_than_equal' ELSE '' END AS errors, "
+        "CASE WHEN ok THEN '2.0' END AS version_out, "
+        "CASE WHEN ok THEN CAST(doc_key % 3 + 1 AS INTEGER) END AS page_count, "
+        "CAST(NULL AS INTEGER) AS sheet_count, "
+        "CASE WHEN ok THEN 0 END AS n_notices, CAST(NULL AS VARCHAR) AS delivery_date "
+        "FROM (SELECT doc_key, doc_key % 17 <> 0 AND doc_key % 13 <> 0 AS ok FROM doc_header "
+        "WHERE document_type IN ('invoice', 'receipt')) x"
+    ),
+    "revalidate": with_rules(
+        "SELECT code, severity, count(*) AS n_issues, count(DISTINCT doc_key) AS n_docs FROM all_issues "
+        "WHERE doc_key IN (SELECT doc_key FROM doc_header WHERE document_type IN ('invoice', 'receipt') "
+        "AND doc_key % 17 <> 0 AND doc_key % 13 <> 0) GROUP BY code, severity"
+    ),
+}

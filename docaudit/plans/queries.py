@@ -94,6 +94,7 @@ def all_queries() -> dict[str, Query]:
     out: dict[str, Query] = {"flagship": flagship}
     out.update(VALIDATION_QUERIES)
     out.update(EVALUATION_QUERIES)
+    out.update(JSON_QUERIES)
     return out
 
 
@@ -119,3 +120,48 @@ EVALUATION_QUERIES: dict[str, Query] = {
     "eval_failures": _eval(lambda E, inp, fx: E.failures(fx)),
     "eval_report": _eval(lambda E, inp, fx: E.report(inp), with_codes=True),
 }
+
+
+# --------------------------------------------------------------------------- strict JSON / migration
+def strict_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docaudit.operators.strict_json import error_summary, parse_documents
+    from docaudit.sources.records import damaged_document_json
+
+    parsed = parse_documents(damaged_document_json(document_tables(spark, sf_dir)))
+    return parsed.select("doc_key", "schema_valid", error_summary(F.col("errors")).alias("errors"))
+
+
+def migrate_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docaudit.operators.strict_json import error_summary, parse_envelopes
+    from docaudit.sources.records import v1_envelope_json
+
+    parsed = parse_envelopes(v1_envelope_json(document_tables(spark, sf_dir)))
+    return parsed.select(
+        "doc_key",
+        "schema_valid",
+        "migrated",
+        error_summary(F.col("errors")).alias("errors"),
+        F.col("envelope.schema_version").alias("version_out"),
+        F.col("envelope.source.page_count").alias("page_count"),
+        F.col("envelope.source.sheet_count").alias("sheet_count"),
+        F.size("envelope.source.notices").alias("n_notices"),
+        F.col("envelope.document.delivery_date").alias("delivery_date"),
+    )
+
+
+def revalidate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """migrated/parsed envelopes -> rules rebuilt from document + notices (stored validation ignored)."""
+    from docaudit.plans.jobs import revalidate_envelopes
+    from docaudit.sources.records import v1_envelope_json
+
+    result = revalidate_envelopes(v1_envelope_json(document_tables(spark, sf_dir)))
+    return result.issues.groupBy("code", "severity").agg(
+        F.count(F.lit(1)).alias("n_issues"), F.count_distinct("doc_key").alias("n_docs")
+    )
+
+
+JSON_QUERIES: dict[str, Query] = {
+    "strict_json": strict_json,
+    "migrate_v1": migrate_v1,
+    "revalidate": revalidate,
+}
