@@ -326,6 +326,7 @@ def all_oracle_sql() -> dict[str, str]:
     out["flagship"] = with_rules(FLAGSHIP_SQL_SELECT)
     out.update(EVALUATION_SQL)
     out.update(JSON_SQL)
+    out.update(SOURCE_SQL)
     return out
 
 
@@ -539,3 +540,185 @@ JSON_SQL: dict[str, str] = {
         "AND doc_key % 17 <> 0 AND doc_key % 13 <> 0) GROUP BY code, severity"
     ),
 }
+
+
+# --------------------------------------------------------------------------- sources
+_LABELS = "'Unsupported content; expected PDF, PNG, JPEG, UTF-8 TXT, UTF-8 CSV, XLSX'"
+_PY_WS = "[\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+
+ROUTE_SQL = f"""
+WITH f AS (
+  SELECT doc_id, text,
+         'doc_' || doc_id || '.' || (['txt','csv','pdf','PNG','jpeg','xlsx','TXT','doc'])[doc_id % 8 + 1] AS file_name,
+         (['txt','csv','pdf','png','jpeg','xlsx','txt','doc'])[doc_id % 8 + 1] AS ext,
+         ([NULL, 'pdf', 'png', 'xlsx'])[(doc_id // 8) % 4 + 1] AS detected
+  FROM documents
+), g AS (
+  SELECT *, CASE ext WHEN 'txt' THEN 'text' WHEN 'csv' THEN 'csv' WHEN 'pdf' THEN 'pdf' WHEN 'png' THEN 'png'
+                     WHEN 'jpeg' THEN 'jpeg' WHEN 'xlsx' THEN 'xlsx' END AS declared FROM f
+), h AS (
+  SELECT *,
+    CASE WHEN detected IS NOT NULL AND declared IS DISTINCT FROM detected
+           THEN upper(detected) || ' content requires a .' || detected || ' extension'
+         WHEN detected IS NULL AND declared IN ('pdf', 'png', 'jpeg', 'xlsx')
+           THEN upper(declared) || ' extension does not match the file content'
+         WHEN detected IS NULL AND declared IS NULL THEN {_LABELS} END AS e1
+  FROM g
+), i AS (
+  SELECT *, CASE WHEN e1 IS NULL THEN coalesce(detected, declared) END AS r1 FROM h
+), j AS (
+  SELECT *,
+    CASE WHEN r1 IN ('text', 'csv') THEN
+      CASE WHEN doc_id % 13 = 0 THEN (CASE r1 WHEN 'csv' THEN 'CSV input' ELSE 'Text input' END) || ' contains NUL bytes'
+           WHEN doc_id % 17 = 0 THEN (CASE r1 WHEN 'csv' THEN 'CSV input' ELSE 'Text input' END) || ' is not valid UTF-8'
+           WHEN regexp_replace(text, '{_PY_WS}+', '', 'g') = ''
+             THEN (CASE r1 WHEN 'csv' THEN 'CSV input' ELSE 'Text input' END) || ' contains no visible content'
+      END END AS e2
+  FROM i
+)
+SELECT doc_id, file_name, CASE WHEN e2 IS NULL THEN r1 END AS route,
+       CASE WHEN e1 IS NULL AND e2 IS NULL THEN
+         CASE r1 WHEN 'pdf' THEN 'application/pdf' WHEN 'png' THEN 'image/png' WHEN 'jpeg' THEN 'image/jpeg'
+                 WHEN 'text' THEN 'text/plain; charset=utf-8' WHEN 'csv' THEN 'text/csv; charset=utf-8'
+                 ELSE 'application/vnd.openxmlformats-officedocument.spreadsheetml.sheet' END END AS media_type,
+       CASE WHEN coalesce(e1, e2) IS NOT NULL THEN 3 END AS error_code,
+       coalesce(e1, e2) AS error
+FROM j
+"""
+
+PAGE_SQL = f"""
+WITH p AS (
+  SELECT conv_id AS file, turn, CASE WHEN conv_id % 6 = 0 THEN NULL ELSE text END AS t,
+         greatest(1, ceil(abs(612 + (conv_id % 4) * 1000) * 2)) * greatest(1, ceil(abs(792 * (1 + conv_id % 3)) * 2)) AS px
+  FROM conversations
+), s AS (
+  SELECT file, count(*) AS page_count, max(px) AS max_px,
+         regexp_replace(string_agg(coalesce(t, ''), chr(10) || chr(12) || chr(10) ORDER BY turn),
+                        '^{_PY_WS}+|{_PY_WS}+$', '', 'g') AS joined
+  FROM p GROUP BY file
+), e AS (
+  SELECT *, CASE WHEN page_count > 6 THEN 'PDF has ' || page_count || ' pages; limit is 6'
+                 WHEN max_px > 25000000 THEN 'Projected PDF page exceeds DDE_MAX_IMAGE_PIXELS; lower DDE_RENDER_DPI'
+            END AS error FROM s
+)
+SELECT file, CASE WHEN error IS NULL THEN page_count END AS page_count,
+       CASE WHEN error IS NULL AND joined <> '' THEN joined END AS text,
+       CASE WHEN error IS NULL THEN CASE WHEN joined = '' THEN 1 ELSE 0 END END AS n_notices,
+       error
+FROM e
+"""
+
+CELLS_CTE = """
+li AS (
+  SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey,
+                               l_extendedprice, l_quantity) AS n
+  FROM lineitem
+), base AS (
+  SELECT 'wb-' || l_orderkey || '.xlsx' AS file, l_orderkey AS k, CAST(n % 2 + 1 AS INTEGER) AS sheet_idx,
+         CAST((n + 1) // 2 AS INTEGER) AS row,
+         CASE WHEN n % 2 + 1 = 2 AND l_orderkey % 7 = 0 THEN 'hidden' ELSE 'visible' END AS state,
+         CASE WHEN n % 2 + 1 = 1 THEN 'Lines A' ELSE 'Lines B' END AS sheet,
+         CAST(l_partkey AS VARCHAR) AS c1, CAST(CAST(l_quantity AS DECIMAL(18,0)) AS VARCHAR) AS c2,
+         CASE WHEN l_orderkey % 11 = 0 THEN '#DIV/0!' ELSE l_returnflag END AS c3,
+         l_orderkey % 11 = 0 AS c3_err,
+         CASE WHEN l_orderkey % 3 = 0 THEN '=B' || CAST((n + 1) // 2 AS INTEGER) || '*2' END AS c4f,
+         CASE WHEN l_orderkey % 3 = 0 AND l_orderkey % 9 <> 0 THEN CAST(CAST(l_quantity AS DECIMAL(18,0)) AS VARCHAR) END AS c4c,
+         CASE WHEN l_orderkey % 4 = 0 THEN l_linestatus END AS c5
+  FROM li
+), lines AS (
+  SELECT file, sheet_idx, row, state, sheet, c1, c2, c3, c4f, c4c,
+         'row ' || row || ': [' || concat_ws(', ',
+            '"' || c1 || '"', '"' || c2 || '"',
+            CASE WHEN c3_err THEN '{"error": "' || c3 || '"}' ELSE '"' || c3 || '"' END,
+            CASE WHEN c4f IS NOT NULL THEN '{"formula": "' || c4f || '", "cached_value": ' ||
+                   coalesce('"' || c4c || '"', 'null') || '}'
+                 WHEN c5 IS NOT NULL THEN 'null' END,
+            CASE WHEN c5 IS NOT NULL THEN '"' || c5 || '"' END) || ']' AS line,
+         CASE WHEN c5 IS NOT NULL THEN 5 WHEN c4f IS NOT NULL THEN 4 ELSE 3 END AS width,
+         greatest(length(c1), length(c2), length(c3), coalesce(length(c4f), 0), coalesce(length(c4c), 0),
+                  coalesce(length(c5), 0)) AS cell_chars
+  FROM base
+)
+"""
+
+CELL_LIMITS_SQL = "WITH " + CELLS_CTE.strip() + """,
+v AS (SELECT * FROM lines WHERE state = 'visible'),
+per_sheet AS (SELECT file, sheet_idx, max(row) AS rows, max(width) AS cols, max(cell_chars) AS cc FROM v GROUP BY file, sheet_idx),
+st AS (SELECT file, sum(rows) AS n_rows, max(cols) AS max_cols, max(cc) AS max_cell_chars FROM per_sheet GROUP BY file),
+lc AS (SELECT file, sum(length(line) + 1) AS line_chars FROM v GROUP BY file),
+hc AS (SELECT file, sum(length('sheet ' || sheet_idx || ': "' || sheet || '"') + 1) AS heading_chars
+       FROM (SELECT DISTINCT file, sheet_idx, sheet FROM v) GROUP BY file),
+j AS (SELECT st.*, """ + str(len("XLSX visible sheets as JSON rows (formula text and cached values are labeled separately):\n")) + """
+               + coalesce(lc.line_chars, 0) + coalesce(hc.heading_chars, 0) AS canonical_chars
+      FROM st LEFT JOIN lc USING (file) LEFT JOIN hc USING (file))
+SELECT file, CAST(n_rows AS BIGINT) AS n_rows, CAST(max_cols AS BIGINT) AS max_cols,
+       CAST(max_cell_chars AS BIGINT) AS max_cell_chars, CAST(canonical_chars AS BIGINT) AS canonical_chars,
+       CASE WHEN max_cols > 4 THEN 'columns' WHEN n_rows > 6 THEN 'rows' WHEN max_cell_chars > 5 THEN 'cell_chars'
+            WHEN canonical_chars > 400 THEN 'canonical_chars' END AS broken_limit,
+       CASE WHEN max_cols > 4 OR n_rows > 6 OR max_cell_chars > 5 OR canonical_chars > 400 THEN 3 END AS error_code
+FROM j
+"""
+
+CANONICAL_SQL = "WITH " + CELLS_CTE.strip() + "\nSELECT file, sheet_idx, row, line FROM lines WHERE state = 'visible'"
+
+SHEET_NOTICES_SQL = "WITH " + CELLS_CTE.strip() + """,
+sh AS (SELECT DISTINCT file, sheet_idx, state FROM lines),
+pf AS (SELECT file, count(*) AS sheet_count, count(*) FILTER (WHERE state <> 'visible') AS hidden_count FROM sh GROUP BY file),
+fm AS (SELECT file, bool_or(c4f IS NOT NULL) AS fp, bool_or(c4f IS NOT NULL AND c4c IS NULL) AS cm
+       FROM lines WHERE state = 'visible' GROUP BY file)
+SELECT pf.file, CAST(sheet_count AS BIGINT) AS sheet_count, CAST(hidden_count AS BIGINT) AS hidden_count,
+       concat_ws(',', CASE WHEN hidden_count > 0 THEN 'XLSX_HIDDEN_SHEET_SKIPPED' END,
+                 CASE WHEN coalesce(fp, false) THEN 'XLSX_FORMULA_PRESENT' END,
+                 CASE WHEN coalesce(cm, false) THEN 'XLSX_FORMULA_CACHE_MISSING' END) AS codes,
+       CASE WHEN hidden_count = sheet_count THEN 'XLSX contains no visible worksheets' END AS error
+FROM pf LEFT JOIN fm USING (file)
+"""
+
+ARCHIVE_SQL = """
+WITH e AS (
+  SELECT 'pkg-' || (p_partkey // 40) || '.xlsx' AS file,
+         CASE WHEN p_partkey % 89 = 0 THEN '../xl/worksheets/sheet' || p_partkey || '.xml'
+              WHEN p_partkey % 83 = 0 THEN 'xl/vbaProject.bin'
+              WHEN p_partkey % 79 = 0 THEN 'xl/worksheets/dup.xml'
+              ELSE 'xl/worksheets/sheet' || p_partkey || '.xml' END AS part,
+         p_size * 1000 AS size, CASE WHEN p_partkey % 97 = 0 THEN 1 ELSE 0 END AS flags
+  FROM part WHERE p_size % 5 <> 0
+  UNION ALL
+  SELECT 'pkg-' || pkg || '.xlsx', '[Content_Types].xml', 1000, 0 FROM (SELECT DISTINCT p_partkey // 40 AS pkg FROM part)
+  UNION ALL
+  SELECT 'pkg-' || pkg || '.xlsx', 'xl/workbook.xml', 1000, 0 FROM (SELECT DISTINCT p_partkey // 40 AS pkg FROM part)
+  WHERE pkg % 7 <> 3
+), s AS (
+  SELECT file, count(*) AS entries, count(DISTINCT part) AS distinct_names,
+         bool_or(starts_with(part, '../')) AS unsafe, bool_or(flags % 2 = 1) AS encrypted, sum(size) AS uncompressed,
+         bool_or(part = 'xl/workbook.xml') AS has_wb, bool_or(part = '[Content_Types].xml') AS has_ct,
+         bool_or(contains(lower(part), 'vbaproject.bin')) AS active
+  FROM e GROUP BY file
+), r AS (
+  SELECT *, CASE
+    WHEN entries > 36 THEN ['Limit', 'XLSX has ' || entries || ' ZIP entries; limit is 36']
+    WHEN entries <> distinct_names THEN ['Corrupt', 'XLSX contains duplicate ZIP part names']
+    WHEN unsafe THEN ['Corrupt', 'XLSX contains an unsafe ZIP part name']
+    WHEN encrypted THEN ['Unsupported', 'Encrypted XLSX ZIP entries are not supported']
+    WHEN uncompressed > 850000 THEN ['Limit', 'XLSX declares ' || uncompressed || ' uncompressed bytes; limit is 850000']
+    WHEN NOT has_ct OR NOT has_wb THEN ['Corrupt', 'XLSX is missing required package parts: ' ||
+        concat_ws(', ', CASE WHEN NOT has_ct THEN '[Content_Types].xml' END, CASE WHEN NOT has_wb THEN 'xl/workbook.xml' END)]
+    WHEN active THEN ['Unsupported', 'XLSX active content is not supported']
+  END AS ek FROM s
+)
+SELECT file, CAST(entries AS BIGINT) AS entries, CAST(uncompressed AS BIGINT) AS uncompressed,
+       ek[1] AS error_kind, ek[2] AS error, CASE WHEN ek IS NOT NULL THEN 3 END AS error_code
+FROM r
+"""
+
+SOURCE_SQL: dict[str, str] = {
+    "route_formats": ROUTE_SQL,
+    "text_digest": "SELECT doc_id, sha256(text) AS sha256, CAST(octet_length(encode(text)) AS BIGINT) AS byte_count, "
+    "CASE WHEN regexp_replace(text, '" + _PY_WS + "+', '', 'g') <> '' THEN 1 END AS page_count, "
+    "'text/plain; charset=utf-8' AS media_type FROM documents",
+    "page_assembly": PAGE_SQL,
+    "cell_limits": CELL_LIMITS_SQL,
+    "canonical_rows": CANONICAL_SQL,
+    "sheet_notices": SHEET_NOTICES_SQL,
+    "archive_guard": ARCHIVE_SQL,
+}

@@ -95,6 +95,7 @@ def all_queries() -> dict[str, Query]:
     out.update(VALIDATION_QUERIES)
     out.update(EVALUATION_QUERIES)
     out.update(JSON_QUERIES)
+    out.update(SOURCE_QUERIES)
     return out
 
 
@@ -165,3 +166,87 @@ JSON_QUERIES: dict[str, Query] = {
     "migrate_v1": migrate_v1,
     "revalidate": revalidate,
 }
+
+
+# --------------------------------------------------------------------------- sources
+from docaudit.config import Limits  # noqa: E402
+
+PAGE_LIMITS = Limits(max_pages=6)
+CELL_LIMITS = Limits(max_tabular_rows=6, max_tabular_columns=4, max_cell_chars=5, max_tabular_chars=400)
+ARCHIVE_LIMITS = Limits(max_xlsx_zip_entries=36, max_xlsx_uncompressed_bytes=850_000)
+
+
+def route_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docaudit.sources.corpora import documents_as_files
+    from docaudit.sources.files import route, text_guard
+
+    guarded = text_guard(route(documents_as_files(spark, sf_dir)))
+    return guarded.select("doc_id", "file_name", "route", "media_type", "error_code", "error")
+
+
+def text_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docaudit.session import read_table
+    from docaudit.sources.files import route, text_guard
+
+    d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    files = d.select(
+        "doc_id",
+        F.concat(F.lit("docs/doc_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"),
+        F.encode("text", "UTF-8").alias("content"),
+    ).withColumn("length", F.octet_length("content"))
+    g = text_guard(route(files))
+    return g.select("doc_id", "sha256", F.col("byte_count").cast("bigint").alias("byte_count"), "page_count", "media_type")
+
+
+def page_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docaudit.sources.corpora import conversation_pages
+    from docaudit.sources.pages import assemble_pages
+
+    a = assemble_pages(conversation_pages(spark, sf_dir), PAGE_LIMITS)
+    return a.select(
+        "file", F.col("page_count").cast("bigint").alias("page_count"), "text",
+        F.size("notices").alias("n_notices"), "error",
+    )
+
+
+def cell_limits_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docaudit.sources.corpora import lineitem_cells
+    from docaudit.sources.tabular import cell_limits
+
+    return cell_limits(lineitem_cells(spark, sf_dir), CELL_LIMITS)
+
+
+def canonical_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docaudit.sources.corpora import lineitem_cells
+    from docaudit.sources.tabular import row_lines
+
+    return row_lines(lineitem_cells(spark, sf_dir).filter(F.col("state") == "visible"))
+
+
+def sheet_notices_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docaudit.sources.corpora import lineitem_cells
+    from docaudit.sources.tabular import sheet_notices
+
+    n = sheet_notices(lineitem_cells(spark, sf_dir))
+    return n.select(
+        "file", "sheet_count", "hidden_count", F.array_join(F.transform("notices", lambda x: x["code"]), ",").alias("codes"),
+        "error",
+    )
+
+
+def archive_guard_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docaudit.sources.archive import archive_guard
+    from docaudit.sources.corpora import part_inventory
+
+    return archive_guard(part_inventory(spark, sf_dir), ARCHIVE_LIMITS)
+
+
+SOURCE_QUERIES: dict[str, Query] = {
+    "route_formats": route_formats,
+    "text_digest": text_digest,
+    "page_assembly": page_assembly,
+    "cell_limits": cell_limits_q,
+    "canonical_rows": canonical_rows,
+    "sheet_notices": sheet_notices_q,
+    "archive_guard": archive_guard_q,
+}
