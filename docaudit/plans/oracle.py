@@ -327,6 +327,7 @@ def all_oracle_sql() -> dict[str, str]:
     out.update(EVALUATION_SQL)
     out.update(JSON_SQL)
     out.update(SOURCE_SQL)
+    out.update(EXTRACTION_SQL)
     return out
 
 
@@ -722,3 +723,38 @@ SOURCE_SQL: dict[str, str] = {
     "sheet_notices": SHEET_NOTICES_SQL,
     "archive_guard": ARCHIVE_SQL,
 }
+
+
+# --------------------------------------------------------------------------- extraction / jobs
+_DAMAGED = (
+    "(doc_key % 31 = 0 OR doc_key % 37 = 1 OR doc_key % 41 = 2 OR doc_key % 43 = 3 OR doc_key % 47 = 4 "
+    "OR doc_key % 53 = 5 OR (doc_key % 59 = 6 AND coalesce(n_lines, 0) > 0) "
+    "OR (doc_key % 61 = 7 AND vendor_name IS NOT NULL))"
+)
+_REPLAY = (
+    "rp AS (SELECT h.doc_key, CASE WHEN h.doc_key % 29 = 0 THEN 'provider_error' "
+    f"WHEN {_DAMAGED} THEN 'schema_error' ELSE 'ok' END AS outcome "
+    "FROM doc_header h LEFT JOIN nl USING (doc_key))"
+)
+
+EXTRACTION_SQL: dict[str, str] = {
+    "replay_extract": with_adapter(
+        "SELECT doc_key, outcome, CASE outcome WHEN 'provider_error' THEN 4 WHEN 'schema_error' THEN 5 END AS exit_code FROM rp",
+        _LINE_COUNTS + ",\n" + _REPLAY,
+    ),
+    "batch_summary": with_rules(
+        "SELECT count(*) FILTER (WHERE outcome = 'ok') AS processed, count(*) FILTER (WHERE outcome <> 'ok') AS failed, "
+        "CAST(coalesce(max(CASE outcome WHEN 'provider_error' THEN 4 WHEN 'schema_error' THEN 5 END), "
+        "CASE WHEN bool_or(outcome = 'ok' AND s.review_required) THEN 2 ELSE 0 END) AS INTEGER) AS exit_code "
+        "FROM rp LEFT JOIN doc_status s USING (doc_key)"
+    ).replace("WITH ", "WITH " + "", 1),
+    "request_parts": "SELECT doc_id, CASE WHEN text <> '' THEN 2 ELSE 1 END AS n_parts, "
+    "CAST(length('File: doc_' || doc_id || '.txt' || chr(10) || 'Media type: text/plain; charset=utf-8' || chr(10) "
+    "|| 'Extract the visible document.') + CASE WHEN text <> '' THEN length('DOCUMENT TEXT:' || chr(10) || text) ELSE 0 END "
+    "AS BIGINT) AS n_chars FROM documents",
+}
+# batch_summary needs the replay outcome next to the rules
+EXTRACTION_SQL["batch_summary"] = EXTRACTION_SQL["batch_summary"].replace(
+    "\nSELECT count(*) FILTER (WHERE outcome = 'ok')",
+    ",\n" + _LINE_COUNTS + ",\n" + _REPLAY + "\nSELECT count(*) FILTER (WHERE outcome = 'ok')",
+)

@@ -96,6 +96,7 @@ def all_queries() -> dict[str, Query]:
     out.update(EVALUATION_QUERIES)
     out.update(JSON_QUERIES)
     out.update(SOURCE_QUERIES)
+    out.update(EXTRACTION_QUERIES)
     return out
 
 
@@ -250,3 +251,62 @@ SOURCE_QUERIES: dict[str, Query] = {
     "sheet_notices": sheet_notices_q,
     "archive_guard": archive_guard_q,
 }
+
+
+# --------------------------------------------------------------------------- extraction / jobs
+def _replay_inputs(spark: SparkSession, sf_dir: str):
+    from docaudit.sources.records import damaged_document_json
+
+    t = document_tables(spark, sf_dir)
+    k = F.col("doc_key")
+    loaded = t.headers.select("doc_key", F.concat(F.lit("DOC-"), k.cast("string"), F.lit(".pdf")).alias("file_name"))
+    responses = damaged_document_json(t).filter(k % 29 != 0).select(
+        F.when(k % 2 == 0, F.concat(F.lit("DOC-"), k.cast("string"), F.lit(".pdf")))
+        .otherwise(F.concat(F.lit("DOC-"), k.cast("string"), F.lit(".json"))).alias("name"),
+        "json",
+    )
+    return loaded, responses
+
+
+def replay_extract_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docaudit.operators.extract import replay_extract
+
+    loaded, responses = _replay_inputs(spark, sf_dir)
+    return replay_extract(loaded, responses).select("doc_key", "outcome", "exit_code")
+
+
+def batch_summary_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docaudit.operators.extract import replay_extract
+    from docaudit.operators.strict_json import flatten_documents
+    from docaudit.streaming.incremental import batch_summary
+
+    loaded, responses = _replay_inputs(spark, sf_dir)
+    out = replay_extract(loaded, responses)
+    headers, lines = flatten_documents(out.filter(F.col("outcome") == "ok"))
+    v = validate(headers, lines)
+    return batch_summary(out.select("doc_key", "exit_code"), v.status, strict=True)
+
+
+def request_parts_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docaudit.operators.extract import request_parts
+    from docaudit.session import read_table
+
+    d = read_table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("doc_key"),
+        F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("file_name"),
+        F.lit("text/plain; charset=utf-8").alias("media_type"),
+        "text",
+    )
+    p = request_parts(d)
+    return p.select(
+        F.col("doc_key").alias("doc_id"),
+        F.size("parts").alias("n_parts"),
+        F.aggregate(F.transform("parts", lambda x: F.length(x["text"])), F.lit(0), lambda a, b: a + b).cast("bigint").alias("n_chars"),
+    )
+
+
+EXTRACTION_QUERIES: dict[str, Query] = {
+    "replay_extract": replay_extract_q,
+    "batch_summary": batch_summary_q,
+    "request_parts": request_parts_q,
+}
