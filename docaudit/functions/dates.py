@@ -27,7 +27,7 @@ def parse_date(s: Column) -> Column:
 
 
 def _try_date(s: Column, pattern: str) -> Column:
-    return F.try_to_date(s, F.lit(pattern))
+    return F.try_to_date(s, pattern)
 
 
 def normalize_date(s: Column) -> Column:

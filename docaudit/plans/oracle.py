@@ -328,6 +328,7 @@ def all_oracle_sql() -> dict[str, str]:
     out.update(JSON_SQL)
     out.update(SOURCE_SQL)
     out.update(EXTRACTION_SQL)
+    out.update(VALUE_SQL)
     return out
 
 
@@ -758,3 +759,44 @@ EXTRACTION_SQL["batch_summary"] = EXTRACTION_SQL["batch_summary"].replace(
     "\nSELECT count(*) FILTER (WHERE outcome = 'ok')",
     ",\n" + _LINE_COUNTS + ",\n" + _REPLAY + "\nSELECT count(*) FILTER (WHERE outcome = 'ok')",
 )
+
+
+# --------------------------------------------------------------------------- value normalisation / grounding
+_PRINTED = """
+pr AS (
+  SELECT h.*, CAST(o.o_orderdate AS DATE) AS od,
+         CASE h.doc_key % 6
+           WHEN 0 THEN strftime(CAST(o.o_orderdate AS DATE), '%-d %b %Y')
+           WHEN 1 THEN upper(strftime(CAST(o.o_orderdate AS DATE), '%b %-d, %Y'))
+           WHEN 2 THEN strftime(CAST(o.o_orderdate AS DATE), '%B %-d, %Y')
+           WHEN 3 THEN strftime(CAST(o.o_orderdate AS DATE), '%Y/%m/%d')
+           WHEN 4 THEN strftime(CAST(o.o_orderdate AS DATE), '%d.%m.%Y')
+           ELSE strftime(CAST(o.o_orderdate AS DATE), '%d/%m/%Y') END AS date_text
+  FROM doc_header h JOIN orders o ON o.o_orderkey = h.doc_key
+)
+"""
+
+VALUE_SQL: dict[str, str] = {
+    "normalize_values": with_adapter(
+        "SELECT doc_key, date_text, "
+        "CASE WHEN doc_key % 6 = 5 AND day(od) <= 12 AND day(od) <> month(od) THEN NULL "
+        "ELSE strftime(od, '%Y-%m-%d') END AS date_norm, "
+        "upper(currency) AS currency_norm, "
+        "'$' || format('{:,.2f}', CAST(total_d AS DOUBLE)) AS total_text, "
+        "CAST(total_d AS VARCHAR) AS total_norm FROM pr",
+        _PRINTED,
+    ),
+    "grounding_check": with_adapter(
+        "SELECT doc_key, count(*) AS n_values, count(*) FILTER (WHERE found) AS n_grounded, "
+        "coalesce(string_agg(CASE WHEN NOT found THEN field END, ',' ORDER BY field), '') AS ungrounded FROM ("
+        "SELECT doc_key, field, value, contains(lower(txt), lower(value)) AS found FROM ("
+        "SELECT doc_key, 'INVOICE ' || coalesce(document_id, '') || ' / Vendor: ' || upper(vendor_name) || "
+        "' / Bill to: ' || coalesce(customer_name, '') || "
+        "CASE WHEN doc_key % 10 <> 1 THEN ' / Currency: ' || coalesce(currency, '') ELSE '' END || "
+        "' / Amount due: ' || CAST(total_d AS VARCHAR) AS txt, "
+        "[('document_id', document_id), ('vendor_name', vendor_name), ('customer_name', customer_name), "
+        "('currency', currency), ('total', CAST(total_d AS VARCHAR))] AS kv FROM pr) a, "
+        "LATERAL (SELECT unnest(kv, recursive := true)) b(field, value) WHERE value IS NOT NULL) c GROUP BY doc_key",
+        _PRINTED,
+    ),
+}

@@ -97,6 +97,7 @@ def all_queries() -> dict[str, Query]:
     out.update(JSON_QUERIES)
     out.update(SOURCE_QUERIES)
     out.update(EXTRACTION_QUERIES)
+    out.update(VALUE_QUERIES)
     return out
 
 
@@ -310,3 +311,70 @@ EXTRACTION_QUERIES: dict[str, Query] = {
     "batch_summary": batch_summary_q,
     "request_parts": request_parts_q,
 }
+
+
+# --------------------------------------------------------------------------- value normalisation / grounding
+DATE_FORMS = ("d MMM yyyy", "MMM d, yyyy", "MMMM d, yyyy", "yyyy/MM/dd", "dd.MM.yyyy", "dd/MM/yyyy")
+
+
+def _printed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docaudit.session import read_table
+
+    t = document_tables(spark, sf_dir)
+    orders = read_table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("doc_key"), F.to_date("o_orderdate").alias("od")
+    )
+    k = F.col("doc_key")
+    form = k % 6
+    printed = F.lit(None).cast("string")
+    for i, pat in enumerate(DATE_FORMS):
+        text = F.date_format("od", pat)
+        if i == 1:
+            text = F.upper(text)
+        printed = F.when(form == i, text).otherwise(printed)
+    return t.headers.join(orders, "doc_key").select(
+        "doc_key", "od", printed.alias("date_text"), "currency", "total", "document_id", "customer_name",
+        F.col("vendor.name").alias("vendor_name"),
+    )
+
+
+def normalize_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docaudit.functions.dates import normalize_currency, normalize_date, normalize_money
+
+    p = _printed(spark, sf_dir)
+    total_text = F.concat(F.lit("$"), F.format_number(F.col("total").cast("decimal(18,2)"), 2))
+    return p.select(
+        "doc_key",
+        "date_text",
+        normalize_date(F.col("date_text")).alias("date_norm"),
+        normalize_currency(F.concat(F.lit(" "), F.col("currency"), F.lit(" "))).alias("currency_norm"),
+        total_text.alias("total_text"),
+        normalize_money(total_text).alias("total_norm"),
+    )
+
+
+def grounding_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docaudit.operators.evaluate import grounding
+
+    p = _printed(spark, sf_dir)
+    k = F.col("doc_key")
+    text = F.concat(
+        F.lit("INVOICE "), F.coalesce(F.col("document_id"), F.lit("")),
+        F.lit(" / Vendor: "), F.upper(F.col("vendor_name")),
+        F.lit(" / Bill to: "), F.coalesce(F.col("customer_name"), F.lit("")),
+        F.when(k % 10 != 1, F.concat(F.lit(" / Currency: "), F.coalesce(F.col("currency"), F.lit("")))).otherwise(F.lit("")),
+        F.lit(" / Amount due: "), F.col("total"),
+    )
+    texts = p.select("doc_key", text.alias("text"))
+    fields = ("document_id", "vendor_name", "customer_name", "currency", "total")
+    values = p.select(
+        "doc_key",
+        F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields])),
+    )
+    return grounding(values, texts)
+
+
+VALUE_QUERIES: dict[str, Query] = {
+    "normalize_values": normalize_values,
+    "grounding_check": grounding_check,
+}
