@@ -800,3 +800,10 @@ VALUE_SQL: dict[str, str] = {
         _PRINTED,
     ),
 }
+
+
+VALUE_SQL["envelope_roundtrip"] = with_rules(
+    "SELECT s.doc_key, true AS schema_valid, s.status, CAST(count(i.code) AS INTEGER) AS n_issues, "
+    "CAST(h.total_d AS VARCHAR) AS total FROM doc_status s JOIN doc_header h USING (doc_key) "
+    "LEFT JOIN all_issues i USING (doc_key) GROUP BY s.doc_key, s.status, h.total_d"
+)

@@ -378,3 +378,36 @@ VALUE_QUERIES: dict[str, Query] = {
     "normalize_values": normalize_values,
     "grounding_check": grounding_check,
 }
+
+
+def envelope_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Envelopes written as JSON text, parsed back strictly."""
+    from docaudit.operators.strict_json import nest_documents, parse_envelopes
+    from docaudit.plans.jobs import build_envelopes, envelope_json
+
+    t, v = _validated(spark, sf_dir)
+    k = F.col("doc_key")
+    sources = t.headers.select(
+        "doc_key",
+        F.struct(
+            F.concat(F.lit("DOC-"), k.cast("string"), F.lit(".pdf")).alias("file_name"),
+            F.lit("application/pdf").alias("media_type"),
+            (k % 1000 + 100).alias("byte_count"),
+            (k % 3 + 1).cast("int").alias("page_count"),
+            F.lit(None).cast("int").alias("sheet_count"),
+            F.sha2(k.cast("string"), 256).alias("sha256"),
+            F.array().cast("array<struct<code:string,severity:string,message:string,field:string>>").alias("notices"),
+        ).alias("source"),
+    )
+    env = build_envelopes(nest_documents(t.headers, t.lines), sources, v.nested())
+    parsed = parse_envelopes(envelope_json(env))
+    return parsed.select(
+        "doc_key",
+        "schema_valid",
+        F.col("envelope.validation.status").alias("status"),
+        F.size("envelope.validation.issues").alias("n_issues"),
+        F.col("envelope.document.total").alias("total"),
+    )
+
+
+VALUE_QUERIES["envelope_roundtrip"] = envelope_roundtrip
