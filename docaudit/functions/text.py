@@ -20,7 +20,7 @@ PY_WHITESPACE_EDGES = r"^(?U)[\s\x1c-\x1f]+|(?U)[\s\x1c-\x1f]+$"
 
 def casefold(col: Column) -> Column:
     folded = F.lower(F.translate(F.upper(col), "\u0001", "\u0001"))
-    return F.regexp_replace(folded, "ς", "σ")
+    return F.translate(folded, "ς", "σ")
 
 
 def collapse_whitespace(col: Column) -> Column:

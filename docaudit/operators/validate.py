@@ -152,7 +152,8 @@ def reversal_roles(prepared: DataFrame, block_size: int = 4096) -> DataFrame:
     within = eligible.withColumn(
         "r_in", F.row_number().over(Window.partitionBy(*grp, "blk").orderBy("idx"))
     )
-    per_block = eligible.groupBy(*grp, "blk").agg(F.count(F.lit(1)).alias("n"))
+    # block sizes come from the window's output: same partitioning, no new shuffle
+    per_block = within.groupBy(*grp, "blk").agg(F.max("r_in").alias("n"))
     offsets = per_block.select(
         *grp,
         "blk",
@@ -163,9 +164,12 @@ def reversal_roles(prepared: DataFrame, block_size: int = 4096) -> DataFrame:
             F.lit(0),
         ).alias("off"),
     )
-    ranked = within.join(offsets, grp + ["blk"]).select(
+    # rows of the first block need no offset; only later blocks join their offsets
+    first = within.filter(F.col("blk") == 0).select("doc_key", "rk", "neg", "idx", F.col("r_in").alias("rank"))
+    later = within.filter(F.col("blk") > 0).join(offsets.filter(F.col("blk") > 0), grp + ["blk"]).select(
         "doc_key", "rk", "neg", "idx", (F.col("r_in") + F.col("off")).alias("rank")
     )
+    ranked = first.unionByName(later)
     matched = (
         ranked.groupBy("doc_key", "rk", "rank")
         .agg(

@@ -807,3 +807,17 @@ VALUE_SQL["envelope_roundtrip"] = with_rules(
     "CAST(h.total_d AS VARCHAR) AS total FROM doc_status s JOIN doc_header h USING (doc_key) "
     "LEFT JOIN all_issues i USING (doc_key) GROUP BY s.doc_key, s.status, h.total_d"
 )
+
+
+SOURCE_SQL["canonical_text"] = "WITH " + CELLS_CTE.strip() + """,
+v AS (SELECT * FROM lines WHERE state = 'visible'),
+parts AS (
+  SELECT file, sheet_idx, 0 AS part, 0 AS row, 'sheet ' || sheet_idx || ': "' || any_value(sheet) || '"' AS line
+  FROM v GROUP BY file, sheet_idx
+  UNION ALL
+  SELECT file, sheet_idx, 1, row, line FROM v
+)
+SELECT file, 'XLSX visible sheets as JSON rows (formula text and cached values are labeled separately):' || chr(10)
+       || string_agg(line || chr(10), '' ORDER BY sheet_idx, part, row) AS text
+FROM parts GROUP BY file
+"""

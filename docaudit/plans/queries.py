@@ -411,3 +411,13 @@ def envelope_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 VALUE_QUERIES["envelope_roundtrip"] = envelope_roundtrip
+
+
+def canonical_text_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docaudit.sources.corpora import lineitem_cells
+    from docaudit.sources.tabular import canonical_text
+
+    return canonical_text(lineitem_cells(spark, sf_dir))
+
+
+SOURCE_QUERIES["canonical_text"] = canonical_text_q

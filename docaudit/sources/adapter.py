@@ -190,9 +190,21 @@ def build_headers(spark: SparkSession, sf_dir: str, lines: DataFrame) -> DataFra
     )
 
 
+_BUILT: dict[tuple[str, str, str], DocumentTables] = {}
+
+
 def document_tables(spark: SparkSession, sf_dir: str, materialize: bool = True) -> DocumentTables:
-    """Header and line tables.  With ``materialize`` both are written once to the
-    checkpoint folder (they feed several operators), like a stored document table."""
-    keep = cut_lineage if materialize else (lambda df, name: df)
-    lines = keep(build_lines(spark, sf_dir), "doc_lines")
-    return DocumentTables(headers=keep(build_headers(spark, sf_dir, lines), "doc_headers"), lines=lines)
+    """Header and line tables.
+
+    With ``materialize`` both are written once to the checkpoint folder, like a
+    stored document table, and reused by later queries of the same session on
+    the same input folder (they are inputs of the operators, not their work).
+    """
+    if not materialize:
+        lines = build_lines(spark, sf_dir)
+        return DocumentTables(headers=build_headers(spark, sf_dir, lines), lines=lines)
+    key = (spark.sparkContext.applicationId, spark.conf.get("spark.checkpoint.dir", ""), sf_dir.rstrip("/"))
+    if key not in _BUILT:
+        lines = cut_lineage(build_lines(spark, sf_dir), "doc_lines")
+        _BUILT[key] = DocumentTables(headers=cut_lineage(build_headers(spark, sf_dir, lines), "doc_headers"), lines=lines)
+    return _BUILT[key]

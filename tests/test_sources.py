@@ -138,3 +138,28 @@ def test_repair_once(spark):
     assert (res[1].outcome, res[1].attempts) == ("ok", 2)
     assert (res[2].outcome, res[2].exit_code, res[2].error) == ("schema_error", 5, "total: value_error")
     assert (res[3].outcome, res[3].attempts) == ("provider_error", 1)
+
+
+def test_run_batch_isolates_failures(spark, tmp_path):
+    from docaudit.plans.jobs import run_batch
+
+    good = json.dumps({
+        "document_type": "invoice", "document_id": None, "reference_document_id": None,
+        "vendor": {"name": "V", "tax_id": None, "address": None}, "customer_name": None,
+        "issue_date": "2026-08-10", "due_date": None, "delivery_date": None, "currency": "USD",
+        "line_items": [{"description": "Paper", "quantity": "4", "unit_price": "12.50", "amount": "50.00"}],
+        "subtotal": "50.00", "discount": None, "tax": None, "shipping": None, "total": "50.00",
+    })
+    _write(tmp_path, "invoice_c.txt", b"Invoice\nPaper 4 x 12.50")
+    _write(tmp_path, "other.txt", b"no response for me")
+    _write(tmp_path, "bad.pdf", b"corrupt")
+    responses = spark.createDataFrame([("invoice_c.json", good)], "name string, json string")
+    files = spark.read.format("binaryFile").load(str(tmp_path))
+    run = run_batch(files, responses, strict=True)
+    out = {r.doc_key.rsplit("/", 1)[-1]: (r.stage, r.error_code) for r in run.outcomes.collect()}
+    assert out == {"invoice_c.txt": ("done", None), "other.txt": ("extract", 4), "bad.pdf": ("load", 3)}
+    s = run.summary.collect()[0]
+    assert (s.processed, s.failed, s.exit_code) == (1, 2, 4)
+    env = run.envelopes.collect()[0].envelope
+    assert env.validation.status == "warning" and [i.code for i in env.validation.issues] == ["MISSING_IDENTIFIER"]
+    assert env.source.file_name == "invoice_c.txt" and env.source.page_count == 1
