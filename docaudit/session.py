@@ -69,3 +69,28 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def cluster_conf(input_bytes: int, executor_cores: int = 4, executors: int = 1000) -> dict[str, str]:
+    """Settings for a large cluster, sized from the input volume (e.g. 100 TB).
+
+    * shuffle partitions: one per ~256 MB of input and at least twice the total
+      cores; AQE then coalesces small partitions toward the advisory size, and
+      splits skewed join partitions (a document or key holding a large share
+      of the rows);
+    * file splits of 256 MB keep scan tasks large enough to amortise scheduling;
+    * broadcast stays AQE's runtime decision (measured sizes, 64 MB ceiling).
+    """
+    cores = executor_cores * executors
+    partitions = max(2 * cores, input_bytes // (256 << 20))
+    return {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 << 20),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 << 20),
+        "spark.sql.files.maxPartitionBytes": str(256 << 20),
+        "spark.sql.parquet.filterPushdown": "true",
+    }
