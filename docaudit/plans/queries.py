@@ -107,8 +107,11 @@ def _eval(fn, with_codes: bool = False):
         from docaudit.operators import evaluate as E
         from docaudit.sources.pairs import evaluation_inputs
 
+        from docaudit.session import cut_lineage
+
         inp = evaluation_inputs(spark, sf_dir, with_codes=with_codes)
-        return fn(E, inp, E.fixtures(inp))
+        # one row per fixture, read by several branches: written once
+        return fn(E, inp, cut_lineage(E.fixtures(inp), "fixtures"))
 
     return run
 
