@@ -214,25 +214,33 @@ def page_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derived cell table, written once (it is the input of several branches)."""
+    from docaudit.session import cut_lineage
+    from docaudit.sources.corpora import lineitem_cells
+
+    return cut_lineage(lineitem_cells(spark, sf_dir), "cells")
+
+
 def cell_limits_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docaudit.sources.corpora import lineitem_cells
     from docaudit.sources.tabular import cell_limits
 
-    return cell_limits(lineitem_cells(spark, sf_dir), CELL_LIMITS)
+    return cell_limits(_cells(spark, sf_dir), CELL_LIMITS)
 
 
 def canonical_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docaudit.sources.corpora import lineitem_cells
     from docaudit.sources.tabular import row_lines
 
-    return row_lines(lineitem_cells(spark, sf_dir).filter(F.col("state") == "visible"))
+    return row_lines(_cells(spark, sf_dir).filter(F.col("state") == "visible"))
 
 
 def sheet_notices_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docaudit.sources.corpora import lineitem_cells
     from docaudit.sources.tabular import sheet_notices
 
-    n = sheet_notices(lineitem_cells(spark, sf_dir))
+    n = sheet_notices(_cells(spark, sf_dir))
     return n.select(
         "file", "sheet_count", "hidden_count", F.array_join(F.transform("notices", lambda x: x["code"]), ",").alias("codes"),
         "error",
@@ -420,7 +428,7 @@ def canonical_text_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docaudit.sources.corpora import lineitem_cells
     from docaudit.sources.tabular import canonical_text
 
-    return canonical_text(lineitem_cells(spark, sf_dir))
+    return canonical_text(_cells(spark, sf_dir))
 
 
 SOURCE_QUERIES["canonical_text"] = canonical_text_q
