@@ -39,7 +39,7 @@ from docaudit.config import TOLERANCE
 from docaudit.functions.dates import is_canonical_date, parse_date
 from docaudit.functions.money import decimal_text, scale_of, to_decimal
 from docaudit.functions.text import normalize
-from docaudit.session import cut_lineage
+from docaudit.session import cut_lineage, spread
 
 ISSUE_FIELDS = ("code", "severity", "message", "field", "expected", "actual")
 ORDER_FIELDS = ("g", "line_idx", "sub")
@@ -576,7 +576,7 @@ def validate(
     agg = line_aggregates(enriched)
     stage = keep(header_stage(headers, agg), "doc_stage")
     parts = [
-        header_issues(stage, tolerance),
+        header_issues(spread(stage), tolerance),
         mixed_credit_issues(stage, enriched),
         pair_issues(enriched),
         line_issues(enriched, tolerance),

@@ -94,3 +94,17 @@ def cluster_conf(input_bytes: int, executor_cores: int = 4, executors: int = 100
         "spark.sql.files.maxPartitionBytes": str(256 << 20),
         "spark.sql.parquet.filterPushdown": "true",
     }
+
+
+def spread(df: DataFrame, *keys: str, factor: int = 2) -> DataFrame:
+    """Give CPU-heavy per-row work (JSON checks, regexes) every core.
+
+    Only when the input has fewer partitions than ``factor`` x the default
+    parallelism (small inputs read from a few files) is it repartitioned; a
+    large input already has many more partitions and is left untouched, so no
+    shuffle is added at scale.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism * factor
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, *keys) if keys else df.repartition(target)
