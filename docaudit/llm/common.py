@@ -156,3 +156,17 @@ def by_runs(df: DataFrame, keys: list[str], order: list[str], fn: Callable[[pa.T
             yield from pa.Table.from_batches(out).combine_chunks().to_batches()
 
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(task, schema)
+
+
+def join_classes(rows: DataFrame, classes: DataFrame, keys: list[str], size: str, how: str = "left") -> DataFrame:
+    """Give every row the columns of its class; classes of very many rows are broadcast.
+
+    ``size`` is the number of rows of a class.  Classes of more than a
+    thousandth of all rows are at most a thousand, so that side is bounded
+    whatever the data; all others take the shuffle join.  Both inputs are read
+    more than once: hand in written tables.
+    """
+    most = classes.agg(F.sum(size)).first()[0] or 0
+    hot = classes.where(F.col(size) * 1000 > F.lit(most))
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(classes.where(F.col(size) * 1000 <= F.lit(most)), keys, how)
+    return rows.join(F.broadcast(hot), keys).select(*rest.columns).unionByName(rest)

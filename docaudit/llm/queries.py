@@ -8,6 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from docaudit.llm.bpe import bpe_digest
+from docaudit.llm.ngram_join import ngram_join
+from docaudit.llm.sql import NGRAM_JOIN_SQL
 from docaudit.session import read_table
 
 #: Tokenizer file of the token queries; any byte-level BPE file with word ends will do.
@@ -22,11 +24,18 @@ def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digest(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(read_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_bpe_codec": op4_bpe_codec,
+        "op5_ngram_join": op5_ngram_join,
     }
 
 
 def llm_oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op5_ngram_join": NGRAM_JOIN_SQL,
+    }
