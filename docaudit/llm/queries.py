@@ -8,6 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from docaudit.llm.bpe import bpe_digest
+from docaudit.llm.hilbert import hilbert_shards
+from docaudit.llm.mixing import mix_sources
 from docaudit.llm.ngram_join import ngram_join
 from docaudit.llm.sql import NGRAM_JOIN_SQL
 from docaudit.session import read_table
@@ -20,6 +22,10 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path(TOKENIZER))
 
 
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(read_table(spark, sf_dir, "documents"))
+
+
 def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digest(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -28,10 +34,16 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(read_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
 
 
+def op8_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert_shards(read_table(spark, sf_dir, "documents"))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_mix_sources": op1_mix_sources,
         "op4_bpe_codec": op4_bpe_codec,
         "op5_ngram_join": op5_ngram_join,
+        "op8_hilbert_shards": op8_hilbert_shards,
     }
 
 
