@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from docaudit.llm.bpe import bpe_digest
+from docaudit.llm.exact_dedup import exact_dedup
 from docaudit.llm.hilbert import hilbert_shards
 from docaudit.llm.mixing import mix_sources
 from docaudit.llm.ngram_join import ngram_join
-from docaudit.llm.sql import NGRAM_JOIN_SQL
+from docaudit.llm.sql import EXACT_DEDUP_SQL, NGRAM_JOIN_SQL
 from docaudit.session import read_table
 
 #: Tokenizer file of the token queries; any byte-level BPE file with word ends will do.
@@ -26,6 +27,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read_table(spark, sf_dir, "documents"))
 
 
+def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup(read_table(spark, sf_dir, "documents"))
+
+
 def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digest(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -41,6 +46,7 @@ def op8_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": op1_mix_sources,
+        "op3_exact_dedup": op3_exact_dedup,
         "op4_bpe_codec": op4_bpe_codec,
         "op5_ngram_join": op5_ngram_join,
         "op8_hilbert_shards": op8_hilbert_shards,
@@ -49,5 +55,6 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def llm_oracle_sql() -> dict[str, str]:
     return {
+        "op3_exact_dedup": EXACT_DEDUP_SQL,
         "op5_ngram_join": NGRAM_JOIN_SQL,
     }

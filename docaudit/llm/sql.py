@@ -32,3 +32,14 @@ SELECT d.doc_id,
        (SELECT count(*) FROM links l WHERE l.x = d.doc_id) AS n_links
 FROM documents d
 """
+
+#: Groups by the text with A-Z lower-cased.
+EXACT_DEDUP_SQL = """
+WITH n AS (
+  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm
+  FROM documents
+)
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+       doc_id = max(doc_id) OVER g AS kept, sha256(norm) AS text_sha256
+FROM n WINDOW g AS (PARTITION BY norm)
+"""
