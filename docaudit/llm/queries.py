@@ -12,6 +12,7 @@ from docaudit.llm.exact_dedup import exact_dedup
 from docaudit.llm.hilbert import hilbert_shards
 from docaudit.llm.mixing import mix_sources
 from docaudit.llm.ngram_join import ngram_join
+from docaudit.llm.secrets import scan_secrets, secret_digest
 from docaudit.llm.sql import EXACT_DEDUP_SQL, NGRAM_JOIN_SQL
 from docaudit.session import read_table
 
@@ -27,6 +28,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read_table(spark, sf_dir, "documents"))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digest(scan_secrets(read_table(spark, sf_dir, "documents")))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read_table(spark, sf_dir, "documents"))
 
@@ -46,6 +51,7 @@ def op8_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": op1_mix_sources,
+        "op2_secret_scan": op2_secret_scan,
         "op3_exact_dedup": op3_exact_dedup,
         "op4_bpe_codec": op4_bpe_codec,
         "op5_ngram_join": op5_ngram_join,
