@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from docaudit.llm.bpe import bpe_digest
 from docaudit.llm.exact_dedup import exact_dedup
 from docaudit.llm.hilbert import hilbert_shards
+from docaudit.llm.langid import language_id
 from docaudit.llm.mixing import mix_sources
 from docaudit.llm.ngram_join import ngram_join
 from docaudit.llm.secrets import scan_secrets, secret_digest
@@ -48,6 +49,10 @@ def op8_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_shards(read_table(spark, sf_dir, "documents"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(read_table(spark, sf_dir, "documents"))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": op1_mix_sources,
@@ -56,6 +61,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_bpe_codec": op4_bpe_codec,
         "op5_ngram_join": op5_ngram_join,
         "op8_hilbert_shards": op8_hilbert_shards,
+        "op10_language_id": op10_language_id,
     }
 
 

@@ -55,21 +55,29 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def word_chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, rows, word hashes, word offsets by row) for runs of rows of about CHUNK bytes."""
+def row_chunks(texts: pa.Array, rows: int = 1 << 30) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, rows, bytes, byte offsets by row) for runs of at most ``rows`` rows of about CHUNK bytes."""
     raw, at = text_bytes(texts)
     first, n = 0, len(texts)
     while first < n:
         last = max(first + 1, int(np.searchsorted(at, at[first] + CHUNK, "right")) - 1)
-        yield first, last - first, *_words(raw[at[first] : at[last]], at[first : last + 1] - at[first])
+        last = min(last, first + rows, n)
+        yield first, last - first, raw[at[first] : at[last]], at[first : last + 1] - at[first]
         first = last
 
 
-def _words(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, rows, word hashes, word offsets by row) for runs of rows of about CHUNK bytes."""
+    for first, n, raw, at in row_chunks(texts):
+        start, end = word_spans(raw, at)
+        yield first, n, word_hashes(raw, start, end), np.searchsorted(start, at)
+
+
+def word_spans(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and end bytes of all words; a row's end ends a word."""
+    inside = ~_SPACE[raw]
     if not len(raw):
-        return np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
-    low = _LOWER[raw]
-    inside = ~_SPACE[low]
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     edges = at[:-1][at[:-1] < len(raw)]
@@ -78,12 +86,43 @@ def _words(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     ends[:-1] &= ~inside[1:]
     lasts = at[1:][at[1:] > 0] - 1
     ends[lasts] = inside[lasts]
-    start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    up, down = _powers(len(raw))
+    return np.flatnonzero(begins), np.flatnonzero(ends) + 1
+
+
+def word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Fingerprints of words, A-Z as a-z."""
+    up, down = _powers(len(raw) + 1)
     run = np.empty(len(raw) + 1, np.uint64)
     run[0] = 0
-    np.cumsum(_BYTE[low] * up, out=run[1:])
-    return mix((run[end] - run[start]) * down[start]), np.searchsorted(start, at)
+    np.cumsum(_BYTE[_LOWER[raw]] * up[:-1], out=run[1:])
+    return mix((run[end] - run[start]) * down[start])
+
+
+def byte_ngrams(raw: np.ndarray, at: np.ndarray, dims: int, orders: tuple[int, ...] = (1, 2, 3)) -> np.ndarray:
+    """Rows of hashed byte n-gram counts (rows x dims, float32); n-grams do not cross rows.  ``dims`` is a power of two."""
+    n = len(at) - 1
+    row = np.repeat(np.arange(n, dtype=np.int32), np.diff(at))
+    shift = np.uint32(32 - (dims.bit_length() - 1))
+    out = np.zeros(n * dims, np.float32)
+    code = np.zeros(len(raw), np.uint32)
+    wide = raw.astype(np.uint32)
+    for order in range(1, max(orders) + 1):
+        left = len(raw) - order + 1
+        if left <= 0:
+            break
+        code = code[:left] * np.uint32(257) + wide[order - 1 :] + np.uint32(1)
+        if order in orders:
+            h = ((code ^ np.uint32(order * 0x85EBCA6B & 0xFFFFFFFF)) * np.uint32(0x9E3779B1)) >> shift
+            own = row[:left] == row[order - 1 :]
+            out += np.bincount(row[:left][own] * np.int64(dims) + h[own], minlength=n * dims)
+    return out.reshape(n, dims)
+
+
+def unit_roots(counts: np.ndarray) -> np.ndarray:
+    """Square roots of counts, each row scaled to length one (zero rows stay zero)."""
+    x = np.sqrt(counts)
+    norm = np.sqrt(counts.sum(axis=1, keepdims=True))
+    return x / np.where(norm > 0, norm, 1)
 
 
 def shingles(words: np.ndarray, at: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
