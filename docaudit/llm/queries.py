@@ -13,6 +13,7 @@ from docaudit.llm.hilbert import hilbert_shards
 from docaudit.llm.langid import language_id
 from docaudit.llm.mixing import mix_sources
 from docaudit.llm.ngram_join import ngram_join
+from docaudit.llm.quality import quality
 from docaudit.llm.secrets import scan_secrets, secret_digest
 from docaudit.llm.sql import EXACT_DEDUP_SQL, NGRAM_JOIN_SQL
 from docaudit.session import read_table
@@ -49,6 +50,10 @@ def op8_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_shards(read_table(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(read_table(spark, sf_dir, "documents"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(read_table(spark, sf_dir, "documents"))
 
@@ -61,6 +66,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_bpe_codec": op4_bpe_codec,
         "op5_ngram_join": op5_ngram_join,
         "op8_hilbert_shards": op8_hilbert_shards,
+        "op9_quality": op9_quality,
         "op10_language_id": op10_language_id,
     }
 
