@@ -170,3 +170,16 @@ def join_classes(rows: DataFrame, classes: DataFrame, keys: list[str], size: str
     hot = classes.where(F.col(size) * 1000 > F.lit(most))
     rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(classes.where(F.col(size) * 1000 <= F.lit(most)), keys, how)
     return rows.join(F.broadcast(hot), keys).select(*rest.columns).unionByName(rest)
+
+
+def block_pairs(df: DataFrame, blocks: str) -> DataFrame:
+    """Rows of a group of ``blocks`` blocks, once for every pair of blocks (lo, hi) that holds their own; the block goes by column ``node``."""
+    own = F.pmod(F.xxhash64("node"), F.col(blocks)).cast("int")
+    other = F.explode(F.sequence(F.lit(0), (F.col(blocks) - 1).cast("int")))
+    return df.withColumn("blk", own).withColumn("_o", other).withColumn("lo", F.least("blk", "_o")).withColumn("hi", F.greatest("blk", "_o")).drop("_o", blocks)
+
+
+def sides(run: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of the two sides of a pair of blocks; the same rows twice for a block with itself."""
+    blk, lo, hi = run["blk"].to_numpy(), run["lo"][0].as_py(), run["hi"][0].as_py()
+    return np.flatnonzero(blk == lo), np.flatnonzero(blk == hi)

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docaudit.llm.common import by_runs, components, forest, join_classes
+from docaudit.llm.common import block_pairs, by_runs, components, forest, join_classes, sides
 from docaudit.llm.textvec import mix, shingles, word_chunks
 from docaudit.session import cut_lineage
 
@@ -136,19 +136,6 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(keys.ravel().view(np.int64))], ["node", "key"])
 
 
-def _blocks(df: DataFrame, blocks: str) -> DataFrame:
-    """Rows of a group of ``blocks`` blocks, once for every pair of blocks (lo, hi) that holds their own."""
-    own = F.pmod(F.xxhash64("node"), F.col(blocks)).cast("int")
-    other = F.explode(F.sequence(F.lit(0), (F.col(blocks) - 1).cast("int")))
-    return df.withColumn("blk", own).withColumn("_o", other).withColumn("lo", F.least("blk", "_o")).withColumn("hi", F.greatest("blk", "_o")).drop("_o", blocks)
-
-
-def _sides(run: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers of the two sides of a pair of blocks; the same rows twice for a block with itself."""
-    blk, lo, hi = run["blk"].to_numpy(), run["lo"][0].as_py(), run["hi"][0].as_py()
-    return np.flatnonzero(blk == lo), np.flatnonzero(blk == hi)
-
-
 def _pairs(sig: np.ndarray, a: np.ndarray, b: np.ndarray, need: list[int]) -> tuple[np.ndarray, np.ndarray]:
     x, y = surviving(sig[a], sig[b], need)
     x, y = a[x], b[y]
@@ -160,7 +147,7 @@ def _pairs(sig: np.ndarray, a: np.ndarray, b: np.ndarray, need: list[int]) -> tu
 
 def _bucket(need: list[int]):
     def task(run: pa.Table) -> pa.RecordBatch | None:
-        node, (a, b) = run["node"].to_numpy(), _sides(run)
+        node, (a, b) = run["node"].to_numpy(), sides(run)
         if len(run) < 2:
             return None
         x, y = _pairs(_signatures(run["sig"]), a, b, need)
@@ -191,14 +178,14 @@ def common_sizes(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, x: np.nda
     for at in range(0, len(shared), 4096):
         lo, hi = np.searchsorted(col, [at, at + 4096])
         width = min(4096, len(shared) - at)
-        sides = []
+        both = []
         for members, inside in ((a, in_a), (b, in_b)):
             place[members] = np.arange(len(members))
             pick = inside[lo:hi]
             m = np.zeros((len(members), width), np.float32)
             m[place[rows[lo:hi][pick]], col[lo:hi][pick] - at] = 1
-            sides.append(m)
-        total += sides[0] @ sides[1].T  # counts below 2**24 are exact
+            both.append(m)
+        total += both[0] @ both[1].T  # counts below 2**24 are exact
     place_a, place_b = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
     place_a[a], place_b[b] = np.arange(len(a)), np.arange(len(b))
     return total[place_a[x], place_b[y]].astype(np.int64)
@@ -215,7 +202,7 @@ def _verify(need: list[int], threshold: float):
             h1, h2 = run["h1"].to_numpy(), run["h2"].to_numpy()
         node, weight = run["node"].to_numpy(), run["weight"].to_numpy()
         sets = [np.frombuffer(x, np.uint64) for x in run["grams"].to_pylist()]
-        a, b = _sides(run)
+        a, b = sides(run)
         if not len(a) or not len(b):
             return None
         sig = _signatures(run["sig"])
@@ -293,7 +280,7 @@ def ngram_join(df: DataFrame, threshold: float = 0.8, tolerance: float = 1e-6, i
         .select("key", F.ceil(F.col("m") / BLOCK).alias("blocks"))
     )
     members = cut_lineage(bands.join(buckets, "key"), "members").join(classes.select("node", "sig"), "node")
-    tied = by_runs(_blocks(members, "blocks"), ["key", "lo", "hi"], [], _bucket(need), "u long, v long")
+    tied = by_runs(block_pairs(members, "blocks"), ["key", "lo", "hi"], [], _bucket(need), "u long, v long")
     groups = components(tied, "candidates")
 
     wanted = groups.join(classes, groups.id == classes.node).select("root", "node", "h1", "h2", "n_shingles", "weight", "sig")
@@ -302,7 +289,7 @@ def ngram_join(df: DataFrame, threshold: float = 0.8, tolerance: float = 1e-6, i
     fetched = texts.join(wanted, texts.id == wanted.node).select("root", "node", "h1", "h2", "weight", "blocks", "sig", "text")
     sets = fetched.mapInArrow(_grams, "root long, node long, h1 long, h2 long, weight long, blocks long, sig binary, grams binary")
     found = cut_lineage(
-        by_runs(_blocks(sets, "blocks"), ["root", "lo", "hi"], ["node"], _verify(need, threshold), "h1 long, h2 long, links long, u long, v long"),
+        by_runs(block_pairs(sets, "blocks"), ["root", "lo", "hi"], ["node"], _verify(need, threshold), "h1 long, h2 long, links long, u long, v long"),
         "links",
     )
     roots = components(found.where("u is not null").select("u", "v"), "classes").withColumnRenamed("id", "node")

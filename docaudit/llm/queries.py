@@ -13,6 +13,7 @@ from docaudit.llm.hilbert import hilbert_shards
 from docaudit.llm.langid import language_id
 from docaudit.llm.mixing import mix_sources
 from docaudit.llm.ngram_join import ngram_join
+from docaudit.llm.pq_dedup import pq_dedup
 from docaudit.llm.quality import quality
 from docaudit.llm.secrets import scan_secrets, secret_digest
 from docaudit.llm.sql import EXACT_DEDUP_SQL, NGRAM_JOIN_SQL
@@ -46,6 +47,10 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(read_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
 
 
+def op7_pq_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pq_dedup(read_table(spark, sf_dir, "embeddings"))
+
+
 def op8_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_shards(read_table(spark, sf_dir, "documents"))
 
@@ -65,6 +70,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_exact_dedup": op3_exact_dedup,
         "op4_bpe_codec": op4_bpe_codec,
         "op5_ngram_join": op5_ngram_join,
+        "op7_pq_dedup": op7_pq_dedup,
         "op8_hilbert_shards": op8_hilbert_shards,
         "op9_quality": op9_quality,
         "op10_language_id": op10_language_id,
