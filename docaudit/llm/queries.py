@@ -13,6 +13,7 @@ from docaudit.llm.hilbert import hilbert_shards
 from docaudit.llm.langid import language_id
 from docaudit.llm.mixing import mix_sources
 from docaudit.llm.ngram_join import ngram_join
+from docaudit.llm.packing import pack_tokens, packed_digest
 from docaudit.llm.pq_dedup import pq_dedup
 from docaudit.llm.quality import quality
 from docaudit.llm.secrets import scan_secrets, secret_digest
@@ -47,6 +48,10 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(read_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
 
 
+def op6_pack_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_digest(pack_tokens(read_table(spark, sf_dir, "documents"), tokenizer_path()))
+
+
 def op7_pq_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pq_dedup(read_table(spark, sf_dir, "embeddings"))
 
@@ -70,6 +75,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_exact_dedup": op3_exact_dedup,
         "op4_bpe_codec": op4_bpe_codec,
         "op5_ngram_join": op5_ngram_join,
+        "op6_pack_tokens": op6_pack_tokens,
         "op7_pq_dedup": op7_pq_dedup,
         "op8_hilbert_shards": op8_hilbert_shards,
         "op9_quality": op9_quality,
