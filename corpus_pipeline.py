@@ -1,24 +1,58 @@
-"""Corpus pipeline: quality, exact dedup, near dedup, mixing, tokens over ``documents``."""
+"""Corpus pipeline over ``documents``: quality, exact dedup, near dedup, mixing, tokens.
+
+Every stage takes (spark, docs, sf_dir) and works on all that the one before it
+kept.  All but the last return rows of ``documents`` with its columns.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from docaudit.llm.bpe import bpe_digest
+from docaudit.llm.exact_dedup import exact_dedup, keep_first_copies
+from docaudit.llm.mixing import mix_sources, take_mix
+from docaudit.llm.ngram_join import ngram_join
+from docaudit.llm.quality import keep_good
 from docaudit.llm.queries import tokenizer_path
 from docaudit.session import cut_lineage, read_table
 
 
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Quality classifier: documents that it rejects go."""
+    return keep_good(docs)
+
+
+def dedup_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Exact dedup: of equal texts the document with the largest id stays."""
+    return keep_first_copies(docs, exact_dedup(docs))
+
+
+def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """N-gram Jaccard join: of each group the document with the smallest id stays; documents without id stay."""
+    out = ngram_join(docs).where("doc_id <> class_id").select(F.col("doc_id").alias("__out_id")).distinct()
+    return docs.join(out, F.col("doc_id") == F.col("__out_id"), "left_anti")
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mixing sources to target weights: a document stands as often as the mix takes it."""
+    return take_mix(docs, mix_sources(docs))
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of what the mix holds."""
+    """BPE encoding and decoding: token counts and digests of every document of the mix."""
     return bpe_digest(docs, tokenizer_path())
 
 
 STAGES = [
+    ("quality classifier", classify),
+    ("exact dedup", dedup_exact),
+    ("n-gram Jaccard join", dedup_near),
+    ("mixing sources to target weights", mix),
     ("BPE encoding and decoding", encode),
 ]
 
-#: Trained scorers, similarity classes and subset sums have no SQL; the tests hold each stage against brute force.
+#: Trained scorers, MinHash classes and subset sums have no SQL; the tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
