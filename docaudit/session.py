@@ -68,9 +68,13 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.parquet(path)
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    # Python workers on this host find the package where the driver did; a cluster gets it by --py-files
+def find_package(spark: SparkSession) -> None:
+    """Let Python workers on this host find the package where the driver did; a cluster gets it by --py-files."""
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[1]))
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    find_package(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
