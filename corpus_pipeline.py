@@ -15,11 +15,12 @@ from docaudit.llm.mixing import mix_sources, take_mix
 from docaudit.llm.ngram_join import ngram_join
 from docaudit.llm.quality import keep_good
 from docaudit.llm.queries import tokenizer_path
-from docaudit.session import cut_lineage, read_table
+from docaudit.session import cut_lineage, find_package, read_table
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality classifier: documents that it rejects go."""
+    find_package(spark)
     return keep_good(docs)
 
 
@@ -30,17 +31,20 @@ def dedup_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """N-gram Jaccard join: of each group the document with the smallest id stays; documents without id stay."""
+    find_package(spark)
     out = ngram_join(docs).where("doc_id <> class_id").select(F.col("doc_id").alias("__out_id")).distinct()
     return docs.join(out, F.col("doc_id") == F.col("__out_id"), "left_anti")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixing sources to target weights: a document stands as often as the mix takes it."""
+    find_package(spark)
     return take_mix(docs, mix_sources(docs))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """BPE encoding and decoding: token counts and digests of every document of the mix."""
+    find_package(spark)
     return bpe_digest(docs, tokenizer_path())
 
 
