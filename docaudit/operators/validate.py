@@ -12,10 +12,13 @@ Inputs (all money as plain-decimal strings):
 
 Plan shape (see ``explain``):
 
-* header rules are one projection over ``headers`` joined to one per-document
-  aggregate of the lines (partial aggregation before the shuffle);
-* the previous-line rule is an equi-join on ``(doc_key, idx)`` with the lines
-  shifted by one, so a document with very many lines is spread over tasks;
+* date, currency and identifier rules are a plain projection of ``headers``;
+* sums and signs come from one per-document aggregate of the lines (partial
+  aggregation before the shuffle); reversal pairs only lower its counts, so
+  lines are never joined with their roles as a whole;
+* the previous-line rule is ``lag`` inside fixed-size idx blocks plus a join of
+  the block borders, so a document with very many lines is spread over tasks;
+* ``codes`` names the rules that are wanted: the others' branches are not built;
 * reversal pairing ranks eligible lines within ``(doc_key, key, sign)`` using
   fixed-size idx blocks: a window over a block (bounded by ``block_size``
   rows) plus a prefix sum over per-block counts.  The r-th negative line of a
@@ -39,7 +42,7 @@ from docaudit.config import TOLERANCE
 from docaudit.functions.dates import is_canonical_date, parse_date
 from docaudit.functions.money import decimal_text, scale_of, to_decimal
 from docaudit.functions.text import normalize
-from docaudit.session import cut_lineage, spread
+from docaudit.session import cut_lineage
 
 ISSUE_FIELDS = ("code", "severity", "message", "field", "expected", "actual")
 ORDER_FIELDS = ("g", "line_idx", "sub")
@@ -122,8 +125,8 @@ def prepare_lines(lines: DataFrame, headers: DataFrame | None = None) -> DataFra
     )
 
 
-def reversal_roles(prepared: DataFrame, block_size: int = 4096) -> DataFrame:
-    """(doc_key, idx, rev_role, partner_idx) for both halves of every balanced reversal.
+def reversal_pairs(prepared: DataFrame, block_size: int = 4096) -> DataFrame:
+    """(doc_key, neg_idx, pos_idx) of every balanced reversal.
 
     Key = (normalized description, |quantity|, |unit_price|, |amount|), nulls
     equal; description and a non-zero amount are required.  Within a
@@ -178,88 +181,86 @@ def reversal_roles(prepared: DataFrame, block_size: int = 4096) -> DataFrame:
         )
         .filter(F.col("neg_idx").isNotNull() & F.col("pos_idx").isNotNull())
     )
-    both = F.array(
-        F.struct(
-            F.col("neg_idx").alias("idx"),
-            F.lit("neg").alias("rev_role"),
-            F.col("pos_idx").alias("partner_idx"),
-        ),
-        F.struct(
-            F.col("pos_idx").alias("idx"),
-            F.lit("pos").alias("rev_role"),
-            F.col("neg_idx").alias("partner_idx"),
-        ),
+    return matched.select("doc_key", "neg_idx", "pos_idx")
+
+
+def duplicate_lines(prepared: DataFrame, block_size: int = 4096) -> DataFrame:
+    """(doc_key, idx) of lines that equal the line before: lag inside idx blocks, a join for their borders."""
+    value = F.struct("description", "q", "u", "a")
+    rows = prepared.select("doc_key", "idx", value.alias("v"), F.floor(F.col("idx") / F.lit(block_size)).cast("int").alias("blk"))
+    before = Window.partitionBy("doc_key", "blk").orderBy("idx")
+    inside = rows.select(
+        "doc_key", "idx", "v", F.lag("v").over(before).alias("p"), F.lag("idx").over(before).alias("p_idx")
+    ).filter((F.col("p_idx") == F.col("idx") - 1) & F.col("v").eqNullSafe(F.col("p")))
+    firsts = rows.filter((F.col("idx") > 0) & (F.col("idx") % block_size == 0)).select("doc_key", "idx", "v")
+    lasts = rows.filter(F.col("idx") % block_size == block_size - 1).select(
+        "doc_key", (F.col("idx") + 1).alias("idx"), F.col("v").alias("p")
     )
-    return matched.select("doc_key", F.inline(both))
+    borders = firsts.join(lasts, ["doc_key", "idx"]).filter(F.col("v").eqNullSafe(F.col("p")))
+    return inside.select("doc_key", "idx").unionByName(borders.select("doc_key", "idx"))
 
 
-def enrich_lines(prepared: DataFrame, roles: DataFrame) -> DataFrame:
-    """Lines + reversal role (pos/neg/null, partner) + the previous line, joined on (doc_key, idx)."""
-    prev = prepared.select(
-        "doc_key",
-        (F.col("idx") + 1).alias("idx"),
-        F.struct(
-            F.col("description").alias("description"),
-            F.col("q").alias("q"),
-            F.col("u").alias("u"),
-            F.col("a").alias("a"),
-        ).alias("prev"),
+def duplicate_issues(duplicates: DataFrame) -> DataFrame:
+    i = F.col("idx")
+    issue = _issue(
+        9, i, 1, "DUPLICATE_LINE", "warning", S.MSG_DUPLICATE_LINE, F.concat(F.lit("line_items."), i.cast("string"))
     )
-    return prepared.join(roles, ["doc_key", "idx"], "left").join(prev, ["doc_key", "idx"], "left")
+    return _collect_issues(duplicates, [issue])
 
 
-def line_issues(enriched: DataFrame, tolerance: Decimal) -> DataFrame:
+def amount_issues(prepared: DataFrame, tolerance: Decimal) -> DataFrame:
+    """LINE_AMOUNT_MISMATCH: a projection of the lines."""
     q, u, a, i = F.col("q"), F.col("u"), F.col("a"), F.col("idx")
-    i_s = i.cast("string")
-    not_neg_half = F.col("rev_role").isNull() | (F.col("rev_role") != "neg")
-    check_negative = (~F.col("is_credit")) & not_neg_half
-    prev = F.col("prev")
-    candidates = [
-        F.when(
-            q.isNotNull() & u.isNotNull() & a.isNotNull() & _different(q * u, a, tolerance),
-            _issue(
-                9, i, 0, "LINE_AMOUNT_MISMATCH", "warning", S.MSG_LINE_AMOUNT_MISMATCH,
-                F.concat(F.lit("line_items."), i_s, F.lit(".amount")),
-                decimal_text(q * u, scale_of(F.col("quantity")) + scale_of(F.col("unit_price"))),
-                F.col("amount"),
-            ),
-        ),
-        F.when(
-            prev.isNotNull()
-            & F.col("description").eqNullSafe(prev["description"])
-            & q.eqNullSafe(prev["q"])
-            & u.eqNullSafe(prev["u"])
-            & a.eqNullSafe(prev["a"]),
-            _issue(
-                9, i, 1, "DUPLICATE_LINE", "warning", S.MSG_DUPLICATE_LINE,
-                F.concat(F.lit("line_items."), i_s),
-            ),
-        ),
-    ]
-    for sub, (name, value) in enumerate((("quantity", q), ("unit_price", u), ("amount", a))):
-        candidates.append(
+    return _collect_issues(
+        prepared,
+        [
+            F.when(
+                q.isNotNull() & u.isNotNull() & a.isNotNull() & _different(q * u, a, tolerance),
+                _issue(
+                    9, i, 0, "LINE_AMOUNT_MISMATCH", "warning", S.MSG_LINE_AMOUNT_MISMATCH,
+                    F.concat(F.lit("line_items."), i.cast("string"), F.lit(".amount")),
+                    decimal_text(q * u, scale_of(F.col("quantity")) + scale_of(F.col("unit_price"))),
+                    F.col("amount"),
+                ),
+            )
+        ],
+    )
+
+
+def negative_line_issues(prepared: DataFrame, pairs: DataFrame) -> DataFrame:
+    """NEGATIVE_VALUE of lines: only lines with a negative value meet the reversal pairs."""
+    values = (("quantity", "q"), ("unit_price", "u"), ("amount", "a"))
+    below = F.lit(False)
+    for _, c in values:
+        below = below | F.coalesce(F.col(c) < 0, F.lit(False))
+    halves = pairs.select("doc_key", F.col("neg_idx").alias("idx"))
+    rows = prepared.filter(~F.coalesce(F.col("is_credit"), F.lit(False)) & below).join(halves, ["doc_key", "idx"], "left_anti")
+    i = F.col("idx")
+    return _collect_issues(
+        rows,
+        [
             F.when(
-                check_negative & value.isNotNull() & (value < 0),
+                F.col(c) < 0,
                 _issue(
                     10, i, sub, "NEGATIVE_VALUE", "error", S.MSG_NEGATIVE_VALUE,
-                    F.concat(F.lit("line_items."), i_s, F.lit("." + name)),
+                    F.concat(F.lit("line_items."), i.cast("string"), F.lit("." + name)),
                     S.EXPECTED_NON_NEGATIVE,
                     F.col(name),
                 ),
             )
-        )
-    return _collect_issues(enriched, candidates)
+            for sub, (name, c) in enumerate(values)
+        ],
+    )
 
 
-def pair_issues(enriched: DataFrame) -> DataFrame:
-    """BALANCED_REVERSAL per negative half, read from the enriched lines."""
-    pairs = enriched.filter(F.col("rev_role") == "neg")
-    neg = F.concat(F.lit("line_items."), F.col("idx").cast("string"))
-    pos = F.concat(F.lit("line_items."), F.col("partner_idx").cast("string"))
+def pair_issues(pairs: DataFrame) -> DataFrame:
+    """BALANCED_REVERSAL per negative half."""
+    neg = F.concat(F.lit("line_items."), F.col("neg_idx").cast("string"))
+    pos = F.concat(F.lit("line_items."), F.col("pos_idx").cast("string"))
     return pairs.select(
         "doc_key",
         F.lit(8).alias("g"),
-        F.col("idx").cast("int").alias("line_idx"),
+        F.col("neg_idx").cast("int").alias("line_idx"),
         F.lit(0).alias("sub"),
         F.lit("BALANCED_REVERSAL").alias("code"),
         F.lit("info").alias("severity"),
@@ -270,16 +271,25 @@ def pair_issues(enriched: DataFrame) -> DataFrame:
     )
 
 
-def line_aggregates(enriched: DataFrame) -> DataFrame:
+def line_aggregates(prepared: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Per document: counts, amount sum and scale, and signs of amounts outside reversal pairs.
+
+    A pair has one positive and one negative amount, so it lowers both counts by one.
+    """
     a = F.col("a")
-    core = F.col("rev_role").isNull() & a.isNotNull()
-    return enriched.groupBy("doc_key").agg(
+    sums = prepared.groupBy("doc_key").agg(
         F.count(F.lit(1)).alias("n_lines"),
         F.count_if(a.isNull()).alias("n_amount_null"),
         F.sum(a).alias("amount_sum"),
         F.max(scale_of(F.col("amount"))).alias("amount_scale"),
-        F.count_if(core & (a > 0)).alias("core_pos"),
-        F.count_if(core & (a < 0)).alias("core_neg"),
+        F.count_if(a > 0).alias("n_above"),
+        F.count_if(a < 0).alias("n_below"),
+    )
+    paired = pairs.groupBy("doc_key").agg(F.count(F.lit(1)).alias("n_pairs"))
+    n = F.coalesce(F.col("n_pairs"), F.lit(0))
+    return sums.join(paired, "doc_key", "left").select(
+        "doc_key", "n_lines", "n_amount_null", "amount_sum", "amount_scale",
+        (F.col("n_above") - n).alias("core_pos"), (F.col("n_below") - n).alias("core_neg"),
     )
 
 
@@ -290,12 +300,6 @@ def header_stage(headers: DataFrame, line_agg: DataFrame) -> DataFrame:
     h = headers.select(
         "doc_key",
         "document_type",
-        "document_id",
-        "reference_document_id",
-        "issue_date",
-        "due_date",
-        "delivery_date",
-        "currency",
         *S.MONEY_FIELDS,
         *[to_decimal(F.col(f)).alias(f"{f}_d") for f in S.MONEY_FIELDS],
     )
@@ -353,8 +357,10 @@ def header_stage(headers: DataFrame, line_agg: DataFrame) -> DataFrame:
     )
 
 
-def header_issues(stage: DataFrame, tolerance: Decimal) -> DataFrame:
+def header_only_issues(headers: DataFrame, codes: frozenset[str] | None = None) -> DataFrame:
+    """Rules that read the header alone: a projection, nothing joined."""
     c = F.col
+    is_credit = c("document_type") == "credit_note"
     dates = [("issue_date", 0), ("due_date", 1), ("delivery_date", 2)]
     issue_d, due_d, deliv_d = (parse_date(c(f)) for f, _ in dates)
     candidates: list[Column] = []
@@ -386,23 +392,33 @@ def header_issues(stage: DataFrame, tolerance: Decimal) -> DataFrame:
             _issue(5, -1, 0, "MISSING_IDENTIFIER", "warning", S.MSG_MISSING_IDENTIFIER, "document_id"),
         ),
         F.when(
-            c("is_credit") & _blank(c("reference_document_id")),
+            is_credit & _blank(c("reference_document_id")),
             _issue(6, -1, 0, "MISSING_REFERENCE", "warning", S.MSG_MISSING_REFERENCE,
                    "reference_document_id"),
         ),
-        F.when(
-            c("n_lines_") == 0,
-            _issue(7, -1, 0, "NO_LINE_ITEMS", "warning", S.MSG_NO_LINE_ITEMS, "line_items"),
-        ),
     ]
+    of = ["INVALID_DATE"] * 3 + ["DUE_BEFORE_ISSUE", "DELIVERY_BEFORE_ISSUE", "UNKNOWN_CURRENCY", "MISSING_IDENTIFIER", "MISSING_REFERENCE"]
     for sub, f in enumerate(S.MONEY_FIELDS):
         candidates.append(
             F.when(
-                ~c("is_credit") & c(f"{f}_d").isNotNull() & (c(f"{f}_d") < 0),
+                ~F.coalesce(is_credit, F.lit(False)) & (to_decimal(c(f)) < 0),
                 _issue(10, -1, sub, "NEGATIVE_VALUE", "error", S.MSG_NEGATIVE_VALUE, f,
                        S.EXPECTED_NON_NEGATIVE, c(f)),
             )
         )
+        of.append("NEGATIVE_VALUE")
+    return _collect_issues(headers, [x for x, code in zip(candidates, of) if codes is None or code in codes])
+
+
+def header_issues(stage: DataFrame, tolerance: Decimal) -> DataFrame:
+    """Rules that need the header and its lines' sums and signs."""
+    c = F.col
+    candidates: list[Column] = [
+        F.when(
+            c("n_lines_") == 0,
+            _issue(7, -1, 0, "NO_LINE_ITEMS", "warning", S.MSG_NO_LINE_ITEMS, "line_items"),
+        ),
+    ]
     # g=11: contradictions (non-mixed case; the mixed case is built in credit_sign_issues)
     candidates += [
         F.when(
@@ -453,7 +469,7 @@ def header_issues(stage: DataFrame, tolerance: Decimal) -> DataFrame:
     return _collect_issues(stage, candidates)
 
 
-def mixed_credit_issues(stage: DataFrame, enriched: DataFrame) -> DataFrame:
+def mixed_credit_issues(stage: DataFrame, prepared: DataFrame, pairs: DataFrame) -> DataFrame:
     """CREDIT_SIGN_INCONSISTENCY when non-zero core values carry both signs.
 
     ``actual`` lists every non-zero core field: line amounts (balanced pairs
@@ -470,12 +486,12 @@ def mixed_credit_issues(stage: DataFrame, enriched: DataFrame) -> DataFrame:
             lambda x: x.isNotNull(),
         ).alias("head_fields"),
     )
+    halves = pairs.select("doc_key", F.explode(F.array("neg_idx", "pos_idx")).alias("idx"))
     core_lines = (
-        enriched.filter(
-            F.col("is_credit") & F.col("rev_role").isNull() & F.col("a").isNotNull() & (F.col("a") != 0)
-        )
+        prepared.filter(F.col("is_credit") & F.col("a").isNotNull() & (F.col("a") != 0))
         .select("doc_key", "idx")
         .join(mixed.select("doc_key"), "doc_key", "left_semi")
+        .join(halves, ["doc_key", "idx"], "left_anti")
         .groupBy("doc_key")
         .agg(F.array_sort(F.collect_list("idx")).alias("idxs"))
     )
@@ -554,6 +570,29 @@ def nested_validation(issues: DataFrame, status: DataFrame) -> DataFrame:
     )
 
 
+def unchecked_money(headers: DataFrame, lines: DataFrame) -> DataFrame:
+    """(doc_key, field) of money values that are valid but beyond the rules' arithmetic range, decimal(18,6)."""
+
+    def beyond(df: DataFrame, fields: tuple[str, ...], name) -> DataFrame:
+        out = F.filter(F.array(*[F.when(F.col(f).isNotNull() & to_decimal(F.col(f)).isNull(), name(f)) for f in fields]), lambda x: x.isNotNull())
+        return df.select("doc_key", F.explode(out).alias("field"))
+
+    line = lambda f: F.concat(F.lit("line_items."), F.col("idx").cast("string"), F.lit("." + f))
+    return beyond(headers, S.MONEY_FIELDS, lambda f: F.lit(f)).unionByName(beyond(lines, S.LINE_MONEY_FIELDS, line))
+
+
+#: Rules by what they read.
+HEADER_ONLY = frozenset(
+    ("INVALID_DATE", "DUE_BEFORE_ISSUE", "DELIVERY_BEFORE_ISSUE", "UNKNOWN_CURRENCY", "MISSING_IDENTIFIER", "MISSING_REFERENCE", "NEGATIVE_VALUE")
+)
+NEEDS_PAIRS = frozenset(
+    ("BALANCED_REVERSAL", "NEGATIVE_VALUE", "CREDIT_SIGN_INCONSISTENCY", "CREDIT_TOTAL_UNVERIFIABLE", "SUBTOTAL_MISMATCH", "TOTAL_MISMATCH")
+)
+NEEDS_SUMS = frozenset(
+    ("NO_LINE_ITEMS", "CREDIT_SIGN_INCONSISTENCY", "CREDIT_TOTAL_UNVERIFIABLE", "SUBTOTAL_MISMATCH", "TOTAL_MISMATCH")
+)
+
+
 def validate(
     headers: DataFrame,
     lines: DataFrame,
@@ -561,29 +600,47 @@ def validate(
     tolerance: Decimal | str = TOLERANCE,
     block_size: int = 4096,
     materialize: bool = True,
+    codes: tuple[str, ...] | None = None,
 ) -> Validation:
     """Validate every document; returns the issue table and per-document status.
 
-    ``materialize`` (default on) writes the two hub tables -- enriched lines
-    and the per-document stage -- once to the checkpoint folder, so the
-    several consumers below read them instead of re-running their lineage.
+    With ``codes`` only those rules are built, each from what it reads, and
+    nothing is written.  For all rules ``materialize`` (default on) writes the
+    reversal pairs and the per-document stage once, since several rules read
+    them; filters and column choices still reach the inputs of every branch.
     """
     tolerance = Decimal(str(tolerance))
-    keep = cut_lineage if materialize else (lambda df, name: df)
+    want = None if codes is None else frozenset(codes)
+    keep = cut_lineage if materialize and want is None else (lambda df, name: df)
+    any_of = lambda group: want is None or bool(want & group)
     prepared = prepare_lines(lines, headers)
-    roles = reversal_roles(prepared, block_size)
-    enriched = keep(enrich_lines(prepared, roles), "enriched_lines")
-    agg = line_aggregates(enriched)
-    stage = keep(header_stage(headers, agg), "doc_stage")
-    parts = [
-        header_issues(spread(stage), tolerance),
-        mixed_credit_issues(stage, enriched),
-        pair_issues(enriched),
-        line_issues(enriched, tolerance),
-    ]
+    parts: list[DataFrame] = []
+    pairs = stage = None
+    if any_of(NEEDS_PAIRS):
+        pairs = keep(reversal_pairs(prepared, block_size), "reversal_pairs")
+    if any_of(HEADER_ONLY):
+        parts.append(header_only_issues(headers, want))
+    if want == frozenset(("NO_LINE_ITEMS",)):
+        none = headers.select("doc_key").join(lines.select("doc_key").distinct(), "doc_key", "left_anti")
+        parts.append(_collect_issues(none, [_issue(7, -1, 0, "NO_LINE_ITEMS", "warning", S.MSG_NO_LINE_ITEMS, "line_items")]))
+    elif any_of(NEEDS_SUMS):
+        stage = keep(header_stage(headers, line_aggregates(prepared, pairs)), "doc_stage")
+        parts.append(header_issues(stage, tolerance))
+    if any_of(frozenset(("CREDIT_SIGN_INCONSISTENCY",))):
+        parts.append(mixed_credit_issues(stage, prepared, pairs))
+    if any_of(frozenset(("BALANCED_REVERSAL",))):
+        parts.append(pair_issues(pairs))
+    if any_of(frozenset(("LINE_AMOUNT_MISMATCH",))):
+        parts.append(amount_issues(prepared, tolerance))
+    if any_of(frozenset(("DUPLICATE_LINE",))):
+        parts.append(duplicate_issues(duplicate_lines(prepared, block_size)))
+    if any_of(frozenset(("NEGATIVE_VALUE",))):
+        parts.append(negative_line_issues(prepared, pairs))
     if notices is not None:
         parts.append(notice_issues(notices))
     issues = parts[0]
     for p in parts[1:]:
         issues = issues.unionByName(p)
+    if want is not None:
+        issues = issues.filter(F.col("code").isin(*codes))
     return Validation(issues=issues, status=document_status(headers, issues))

@@ -39,7 +39,9 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8) -> Spa
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when the setting is unset (local tests) is a private folder created.
+    Only in local mode, where driver and executors are one process, is a private
+    folder made when the setting is unset; on a cluster that is an error, since
+    executors would write to their own disks.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir", None
@@ -47,6 +49,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         spark.sparkContext.setCheckpointDir(configured)
         return configured
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="docaudit-ckpt-")
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)
@@ -65,9 +69,23 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     root = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{root}/tables/{name}-{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.parquet(path)
 
 
+_WRITTEN: dict[str, list[str]] = {}
+
+
+def drop_written(spark: SparkSession) -> int:
+    """Delete the tables that ``cut_lineage`` wrote in this session; results that still read them must be done."""
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+    return len(paths)
+
+
 def find_package(spark: SparkSession) -> None:
     """Let Python workers on this host find the package where the driver did; a cluster gets it by --py-files."""
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[1]))
@@ -101,17 +119,3 @@ def cluster_conf(input_bytes: int, executor_cores: int = 4, executors: int = 100
         "spark.sql.files.maxPartitionBytes": str(256 << 20),
         "spark.sql.parquet.filterPushdown": "true",
     }
-
-
-def spread(df: DataFrame, *keys: str, factor: int = 2) -> DataFrame:
-    """Give CPU-heavy per-row work (JSON checks, regexes) every core.
-
-    Only when the input has fewer partitions than ``factor`` x the default
-    parallelism (small inputs read from a few files) is it repartitioned; a
-    large input already has many more partitions and is left untouched, so no
-    shuffle is added at scale.
-    """
-    target = df.sparkSession.sparkContext.defaultParallelism * factor
-    if df.rdd.getNumPartitions() >= target:
-        return df
-    return df.repartition(target, *keys) if keys else df.repartition(target)

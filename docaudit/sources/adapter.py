@@ -22,20 +22,20 @@ look for, so the rule engine does real work over the whole tables:
   when ``k % 53 == 0``); total off by 1.00 when ``k % 21 == 0``.
 
 Money is emitted as plain decimal strings (quantities scale 0, prices and
-amounts scale 2).  Shuffles: one window on ``l_orderkey`` (lines of an order
-are bounded: TPC-H orders carry 1..7 lineitems), one aggregate for the
-subtotal, and joins with ``part`` and ``customer``; ``nation`` (25 rows by
-definition) is broadcast.
+amounts scale 2).  Shuffles: the ranks of an order's lines (skew-safe, see
+``sum_before``), one aggregate for the subtotal, and joins with ``part``,
+``customer`` and ``nation``, whose strategy AQE picks by measured size.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docaudit.functions.money import money_text
+from docaudit.functions.ranks import sum_before
 from docaudit.session import cut_lineage, read_table
 
 DEC = "decimal(18,6)"
@@ -66,20 +66,17 @@ def build_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice"
     )
     part = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_retailprice")
-    base = li.join(part, li.l_partkey == part.p_partkey, "inner")
     k = F.col("l_orderkey")
     pk = F.col("l_partkey")
     sign = _sign(k)
     has_dup = (pk % 17 == 0).cast("int")
     has_rev = (pk % 10 == 0).cast("int")
-    order = Window.partitionBy("l_orderkey").orderBy(
-        "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"
-    )
     # first idx of this base line = lines (with copies) emitted by earlier base lines
-    before = F.coalesce(
-        F.sum(1 + has_dup + has_rev).over(order.rowsBetween(Window.unboundedPreceding, -1)),
-        F.lit(0),
+    li = sum_before(
+        li, "l_orderkey", "l_linenumber", ("l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"),
+        1 + has_dup + has_rev, "first_idx",
     )
+    base = li.join(part, F.col("l_partkey") == F.col("p_partkey"), "inner")
     q = F.col("l_quantity").cast(DEC)
     u = F.col("p_retailprice").cast("decimal(18,2)").cast(DEC)
     adjust = (
@@ -91,7 +88,7 @@ def build_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     desc = F.when((pk + k) % 37 == 0, F.lit(None).cast("string")).otherwise(F.col("p_name"))
     prepared = base.select(
         k.alias("doc_key"),
-        before.alias("first_idx"),
+        "first_idx",
         has_dup.alias("has_dup"),
         has_rev.alias("has_rev"),
         desc.alias("description"),
@@ -147,7 +144,7 @@ def build_headers(spark: SparkSession, sf_dir: str, lines: DataFrame) -> DataFra
     doc_type = _doc_type(k)
     joined = (
         orders.join(customer, orders.o_custkey == customer.c_custkey, "left")
-        .join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"), "left")
+        .join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left")
         .join(sums, orders.o_orderkey == sums.doc_key, "left")
     )
     currency = F.when(k % 9 == 0, "EUR").when(k % 9 == 1, "INR").when(k % 9 == 2, "usd").when(
@@ -190,21 +187,14 @@ def build_headers(spark: SparkSession, sf_dir: str, lines: DataFrame) -> DataFra
     )
 
 
-_BUILT: dict[tuple[str, str, str], DocumentTables] = {}
-
-
 def document_tables(spark: SparkSession, sf_dir: str, materialize: bool = True) -> DocumentTables:
     """Header and line tables.
 
-    With ``materialize`` both are written once to the checkpoint folder, like a
-    stored document table, and reused by later queries of the same session on
-    the same input folder (they are inputs of the operators, not their work).
+    With ``materialize`` both are written once to the checkpoint folder for
+    queries that read them in several branches; every call builds them anew
+    from the input.  Without it nothing runs before the caller's action, and
+    Catalyst drops the joins whose columns are not used.
     """
-    if not materialize:
-        lines = build_lines(spark, sf_dir)
-        return DocumentTables(headers=build_headers(spark, sf_dir, lines), lines=lines)
-    key = (spark.sparkContext.applicationId, spark.conf.get("spark.checkpoint.dir", ""), sf_dir.rstrip("/"))
-    if key not in _BUILT:
-        lines = cut_lineage(build_lines(spark, sf_dir), "doc_lines")
-        _BUILT[key] = DocumentTables(headers=cut_lineage(build_headers(spark, sf_dir, lines), "doc_headers"), lines=lines)
-    return _BUILT[key]
+    keep = cut_lineage if materialize else (lambda df, name: df)
+    lines = keep(build_lines(spark, sf_dir), "doc_lines")
+    return DocumentTables(headers=keep(build_headers(spark, sf_dir, lines), "doc_headers"), lines=lines)
