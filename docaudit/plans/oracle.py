@@ -515,12 +515,13 @@ JSON_SQL: dict[str, str] = {
     "strict_json": with_adapter(
         "SELECT h.doc_key, errors = '' AS schema_valid, errors FROM (SELECT h.doc_key, "
         "CASE WHEN h.doc_key % 31 = 0 THEN 'root: json_invalid' ELSE concat_ws('; ', "
-        "CASE WHEN h.doc_key % 41 = 2 THEN 'currency: missing' END, "
         "CASE WHEN h.doc_key % 53 = 5 THEN 'document_type: literal_error' END, "
         "CASE WHEN h.doc_key % 61 = 7 AND h.vendor_name IS NOT NULL THEN 'vendor.name: string_type' END, "
+        "CASE WHEN h.doc_key % 41 = 2 OR h.doc_key % 73 = 10 THEN 'currency: missing' END, "
         "CASE WHEN h.doc_key % 59 = 6 AND coalesce(nl.n_lines, 0) > 0 THEN 'line_items.0.quantity: value_error' END, "
         "CASE WHEN h.doc_key % 47 = 4 THEN 'subtotal: value_error' END, "
         "CASE WHEN h.doc_key % 43 = 3 THEN 'total: value_error' END, "
+        "CASE WHEN h.doc_key % 73 = 10 THEN 'aaa: extra_forbidden' END, "
         "CASE WHEN h.doc_key % 37 = 1 THEN 'notes: extra_forbidden' END) END AS errors "
         "FROM doc_header h LEFT JOIN nl USING (doc_key)) h",
         _LINE_COUNTS,
@@ -729,7 +730,7 @@ SOURCE_SQL: dict[str, str] = {
 # --------------------------------------------------------------------------- extraction / jobs
 _DAMAGED = (
     "(doc_key % 31 = 0 OR doc_key % 37 = 1 OR doc_key % 41 = 2 OR doc_key % 43 = 3 OR doc_key % 47 = 4 "
-    "OR doc_key % 53 = 5 OR (doc_key % 59 = 6 AND coalesce(n_lines, 0) > 0) "
+    "OR doc_key % 53 = 5 OR doc_key % 73 = 10 OR (doc_key % 59 = 6 AND coalesce(n_lines, 0) > 0) "
     "OR (doc_key % 61 = 7 AND vendor_name IS NOT NULL))"
 )
 _REPLAY = (
