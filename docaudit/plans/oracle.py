@@ -629,7 +629,7 @@ li AS (
          CASE WHEN l_orderkey % 4 = 0 THEN l_linestatus END AS c5
   FROM li
 ), lines AS (
-  SELECT file, sheet_idx, row, state, sheet, c1, c2, c3, c4f, c4c,
+  SELECT file, k, sheet_idx, row, state, sheet, c1, c2, c3, c4f, c4c,
          'row ' || row || ': [' || concat_ws(', ',
             '"' || c1 || '"', '"' || c2 || '"',
             CASE WHEN c3_err THEN '{"error": "' || c3 || '"}' ELSE '"' || c3 || '"' END,
@@ -644,31 +644,71 @@ li AS (
 )
 """
 
-CELL_LIMITS_SQL = "WITH " + CELLS_CTE.strip() + """,
-v AS (SELECT * FROM lines WHERE state = 'visible'),
+_PREFIX_CHARS = len("XLSX visible sheets as JSON rows (formula text and cached values are labeled separately):\n")
+
+
+def _cells_judged(columns: int, rows: int, cell: int, chars: int) -> str:
+    """CTEs that judge every order's workbook by the four limits: ``judged``."""
+    return CELLS_CTE.strip() + f""",
+v AS (SELECT * FROM lines WHERE state = 'visible' AND k % 97 <> 0),
+cellv AS (
+  SELECT file, sheet_idx, row, unnest([1, 2, 3, 4, 5]) AS col,
+         unnest([length(c1), length(c2), length(c3), greatest(length(c4f), length(c4c)), length(c5_)]) AS size
+  FROM (SELECT v.*, CASE WHEN width = 5 THEN 'x' END AS c5_ FROM v) t
+),
+first_cell AS (
+  SELECT file, sheet_idx, row, col, size FROM (
+    SELECT *, row_number() OVER (PARTITION BY file ORDER BY sheet_idx, row, col) AS r FROM cellv WHERE size > {cell}) t WHERE r = 1
+),
 per_sheet AS (SELECT file, sheet_idx, max(row) AS rows, max(width) AS cols, max(cell_chars) AS cc FROM v GROUP BY file, sheet_idx),
+first_col AS (
+  SELECT file, sheet_idx, cols FROM (
+    SELECT *, row_number() OVER (PARTITION BY file ORDER BY sheet_idx) AS r FROM per_sheet WHERE cols > {columns}) t WHERE r = 1
+),
 st AS (SELECT file, sum(rows) AS n_rows, max(cols) AS max_cols, max(cc) AS max_cell_chars FROM per_sheet GROUP BY file),
 lc AS (SELECT file, sum(length(line) + 1) AS line_chars FROM v GROUP BY file),
 hc AS (SELECT file, sum(length('sheet ' || sheet_idx || ': "' || sheet || '"') + 1) AS heading_chars
        FROM (SELECT DISTINCT file, sheet_idx, sheet FROM v) GROUP BY file),
-j AS (SELECT st.*, """ + str(len("XLSX visible sheets as JSON rows (formula text and cached values are labeled separately):\n")) + """
-               + coalesce(lc.line_chars, 0) + coalesce(hc.heading_chars, 0) AS canonical_chars
-      FROM st LEFT JOIN lc USING (file) LEFT JOIN hc USING (file))
+j AS (SELECT 'wb-' || o.o_orderkey || '.xlsx' AS file, o.o_orderkey AS k, st.n_rows, st.max_cols, st.max_cell_chars,
+             {_PREFIX_CHARS} + lc.line_chars + hc.heading_chars AS canonical_chars, fc.sheet_idx AS col_sheet, fc.cols AS col_size,
+             fx.sheet_idx AS x_sheet, fx.row AS x_row, fx.col AS x_col, fx.size AS x_size,
+             EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey) AS has_lines
+      FROM orders o LEFT JOIN st ON st.file = 'wb-' || o.o_orderkey || '.xlsx'
+      LEFT JOIN lc ON lc.file = st.file LEFT JOIN hc ON hc.file = st.file
+      LEFT JOIN first_col fc ON fc.file = st.file LEFT JOIN first_cell fx ON fx.file = st.file),
+b AS (SELECT *, CASE WHEN col_size IS NOT NULL THEN 'columns' WHEN n_rows > {rows} THEN 'rows'
+                     WHEN x_size IS NOT NULL THEN 'cell_chars' WHEN canonical_chars > {chars} THEN 'canonical_chars' END AS broken FROM j),
+judged AS (
+  SELECT *, CASE WHEN k % 97 = 0 AND has_lines THEN 'decoding stopped'
+      WHEN broken = 'columns' THEN 'limit columns is {columns}; found ' || col_size || ' at sheet ' || col_sheet
+      WHEN broken = 'rows' THEN 'limit rows is {rows}; found ' || n_rows
+      WHEN broken = 'cell_chars' THEN 'limit cell_chars is {cell}; found ' || x_size || ' at sheet ' || x_sheet || ' row ' || x_row || ' column ' || x_col
+      WHEN broken = 'canonical_chars' THEN 'limit canonical_chars is {chars}; found ' || canonical_chars
+      WHEN n_rows IS NULL THEN 'Input contains no logical rows' END AS error FROM b
+)
+"""
+
+
+CELL_LIMITS_SQL = "WITH " + _cells_judged(4, 6, 5, 400) + """
 SELECT file, CAST(n_rows AS BIGINT) AS n_rows, CAST(max_cols AS BIGINT) AS max_cols,
        CAST(max_cell_chars AS BIGINT) AS max_cell_chars, CAST(canonical_chars AS BIGINT) AS canonical_chars,
-       CASE WHEN max_cols > 4 THEN 'columns' WHEN n_rows > 6 THEN 'rows' WHEN max_cell_chars > 5 THEN 'cell_chars'
-            WHEN canonical_chars > 400 THEN 'canonical_chars' END AS broken_limit,
-       CASE WHEN max_cols > 4 OR n_rows > 6 OR max_cell_chars > 5 OR canonical_chars > 400 THEN 3 END AS error_code
-FROM j
+       broken AS broken_limit,
+       CASE broken WHEN 'columns' THEN col_sheet WHEN 'cell_chars' THEN x_sheet END AS at_sheet,
+       CASE broken WHEN 'cell_chars' THEN x_row END AS at_row,
+       CASE broken WHEN 'cell_chars' THEN x_col END AS at_col,
+       CAST(CASE broken WHEN 'columns' THEN col_size WHEN 'rows' THEN n_rows WHEN 'cell_chars' THEN x_size
+            WHEN 'canonical_chars' THEN canonical_chars END AS BIGINT) AS at_size,
+       CASE WHEN error IS NOT NULL THEN 3 END AS error_code, error
+FROM judged
 """
 
 CANONICAL_SQL = "WITH " + CELLS_CTE.strip() + "\nSELECT file, sheet_idx, row, line FROM lines WHERE state = 'visible'"
 
 SHEET_NOTICES_SQL = "WITH " + CELLS_CTE.strip() + """,
-sh AS (SELECT DISTINCT file, sheet_idx, state FROM lines),
+sh AS (SELECT DISTINCT file, sheet_idx, state FROM lines WHERE k % 97 <> 0),
 pf AS (SELECT file, count(*) AS sheet_count, count(*) FILTER (WHERE state <> 'visible') AS hidden_count FROM sh GROUP BY file),
 fm AS (SELECT file, bool_or(c4f IS NOT NULL) AS fp, bool_or(c4f IS NOT NULL AND c4c IS NULL) AS cm
-       FROM lines WHERE state = 'visible' GROUP BY file)
+       FROM lines WHERE state = 'visible' AND k % 97 <> 0 GROUP BY file)
 SELECT pf.file, CAST(sheet_count AS BIGINT) AS sheet_count, CAST(hidden_count AS BIGINT) AS hidden_count,
        concat_ws(',', CASE WHEN hidden_count > 0 THEN 'XLSX_HIDDEN_SHEET_SKIPPED' END,
                  CASE WHEN coalesce(fp, false) THEN 'XLSX_FORMULA_PRESENT' END,
@@ -810,15 +850,37 @@ VALUE_SQL["envelope_roundtrip"] = with_rules(
 )
 
 
-SOURCE_SQL["canonical_text"] = "WITH " + CELLS_CTE.strip() + """,
-v AS (SELECT * FROM lines WHERE state = 'visible'),
+SOURCE_SQL["canonical_text"] = "WITH " + _cells_judged(100, 10000, 4096, 450) + """,
 parts AS (
   SELECT file, sheet_idx, 0 AS part, 0 AS row, 'sheet ' || sheet_idx || ': "' || any_value(sheet) || '"' AS line
   FROM v GROUP BY file, sheet_idx
   UNION ALL
   SELECT file, sheet_idx, 1, row, line FROM v
+),
+texts AS (
+  SELECT file, 'XLSX visible sheets as JSON rows (formula text and cached values are labeled separately):' || chr(10)
+         || string_agg(line || chr(10), '' ORDER BY sheet_idx, part, row) AS text
+  FROM parts GROUP BY file
 )
-SELECT file, 'XLSX visible sheets as JSON rows (formula text and cached values are labeled separately):' || chr(10)
-       || string_agg(line || chr(10), '' ORDER BY sheet_idx, part, row) AS text
-FROM parts GROUP BY file
+SELECT j.file, CASE WHEN j.error IS NULL THEN t.text END AS text,
+       CASE WHEN j.error IS NOT NULL THEN 3 END AS error_code, j.error
+FROM judged j LEFT JOIN texts t USING (file)
+"""
+
+SOURCE_SQL["package_metadata"] = """
+SELECT 'meta-' || p_partkey || '.xlsx' AS file, ek[1] AS error_kind, ek[2] AS error, CASE WHEN ek IS NOT NULL THEN 3 END AS error_code
+FROM (
+  SELECT p_partkey, CASE
+    WHEN p_partkey % 23 = 7 THEN ['Corrupt', 'XLSX package is corrupt']
+    WHEN p_partkey % 17 = 4 THEN ['Unsupported', 'Encrypted XLSX ZIP entries are not supported']
+    WHEN p_partkey % 5 = 2 THEN ['Corrupt', 'XLSX package is corrupt']
+    WHEN p_partkey % 5 IN (1, 3) THEN ['Unsupported', 'XLSX active content is not supported']
+    WHEN p_partkey % 11 = 5 THEN ['Corrupt', 'XLSX package is corrupt']
+    WHEN p_partkey % 7 = 6 THEN ['Limit', 'XLSX has 24 sheets; limit is 20']
+    WHEN p_partkey % 13 = 3 THEN ['Corrupt', 'XLSX package is corrupt']
+    WHEN p_partkey % 13 = 1 THEN ['Unsupported', 'XLSX external relationships are not supported']
+    WHEN p_partkey % 13 = 2 THEN ['Unsupported', 'XLSX active content is not supported']
+    WHEN p_partkey % 19 = 6 THEN ['Corrupt', 'XLSX ZIP checksum failed for _rels/.rels']
+  END AS ek FROM part
+) t
 """

@@ -180,6 +180,7 @@ from docaudit.config import Limits  # noqa: E402
 
 PAGE_LIMITS = Limits(max_pages=6)
 CELL_LIMITS = Limits(max_tabular_rows=6, max_tabular_columns=4, max_cell_chars=5, max_tabular_chars=400)
+CANONICAL_LIMITS = Limits(max_tabular_chars=450)
 ARCHIVE_LIMITS = Limits(max_xlsx_zip_entries=36, max_xlsx_uncompressed_bytes=850_000)
 
 
@@ -225,21 +226,19 @@ def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cell_limits_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from docaudit.sources.corpora import lineitem_cells
+    from docaudit.sources.corpora import order_files
     from docaudit.sources.tabular import cell_limits
 
-    return cell_limits(_cells(spark, sf_dir), CELL_LIMITS)
+    return cell_limits(_cells(spark, sf_dir), CELL_LIMITS, files=order_files(spark, sf_dir))
 
 
 def canonical_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from docaudit.sources.corpora import lineitem_cells
     from docaudit.sources.tabular import row_lines
 
     return row_lines(_cells(spark, sf_dir).filter(F.col("state") == "visible"))
 
 
 def sheet_notices_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from docaudit.sources.corpora import lineitem_cells
     from docaudit.sources.tabular import sheet_notices
 
     n = sheet_notices(_cells(spark, sf_dir))
@@ -256,7 +255,15 @@ def archive_guard_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_guard(part_inventory(spark, sf_dir), ARCHIVE_LIMITS)
 
 
+def package_metadata_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docaudit.sources.archive import archive_guard
+    from docaudit.sources.corpora import package_parts
+
+    return archive_guard(package_parts(spark, sf_dir)).select("file", "error_kind", "error", "error_code")
+
+
 SOURCE_QUERIES: dict[str, Query] = {
+    "package_metadata": package_metadata_q,
     "route_formats": route_formats,
     "text_digest": text_digest,
     "page_assembly": page_assembly,
@@ -427,10 +434,10 @@ VALUE_QUERIES["envelope_roundtrip"] = envelope_roundtrip
 
 
 def canonical_text_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from docaudit.sources.corpora import lineitem_cells
+    from docaudit.sources.corpora import order_files
     from docaudit.sources.tabular import canonical_text
 
-    return canonical_text(_cells(spark, sf_dir))
+    return canonical_text(_cells(spark, sf_dir), CANONICAL_LIMITS, files=order_files(spark, sf_dir))
 
 
 SOURCE_QUERIES["canonical_text"] = canonical_text_q

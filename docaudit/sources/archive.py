@@ -1,19 +1,16 @@
 """Workbook package guard over a part inventory.
 
-Part table: ``file, part, size, flags, crc_ok, xml`` -- one row per ZIP
-entry.  ``list_parts`` builds it from binary files with a ``mapInPandas``
-job (standard ``zipfile``; files spread over executors).  The rules are then
-per-file aggregates, applied in the order the package guard checks them; the
-first failing check names the error.
+Part table: ``file, part, size, flags, crc_ok, xml, error`` -- one row per ZIP
+entry, as a lister gives it; ``error`` marks a package that could not be
+listed.  The rules are per-file aggregates, applied in the order the package
+guard checks them; the first failing check names the error.  XML is first
+parsed in permissive mode, and attributes are read by pattern from well-formed
+text only, so no part can stop the job.
 """
 
 from __future__ import annotations
 
-import io
-import zipfile
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docaudit import schema as S
@@ -58,30 +55,30 @@ ACTIVE_RELATIONSHIP_NAMES = (
     "attachedtemplate",
 )
 
-PART_SCHEMA = "file string, part string, size bigint, flags int, crc_ok boolean, xml string, corrupt boolean"
+# ---------------------------------------------------------------------------
+# Error texts that callers compare.
+# ---------------------------------------------------------------------------
+CORRUPT = "XLSX package is corrupt"
+DUPLICATE_NAMES = "XLSX contains duplicate ZIP part names"
+UNSAFE_NAME = "XLSX contains an unsafe ZIP part name"
+ENCRYPTED = "Encrypted XLSX ZIP entries are not supported"
+ACTIVE = "XLSX active content is not supported"
+EXTERNAL = "XLSX external relationships are not supported"
+
+PART_SCHEMA = "file string, part string, size bigint, flags int, crc_ok boolean, xml string, error string"
 
 
-def list_parts(files: DataFrame, name_col: str = "file_name") -> DataFrame:
-    """Part inventory of ZIP packages (one Python task per partition, not per file on the driver)."""
+def malformed(xml: Column) -> Column:
+    """Whether a text is no XML document (null is unknown)."""
+    parsed = F.from_xml(xml, "_bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    return parsed["_bad"].isNotNull() | ~xml.rlike(r">\s*\z")
 
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for name, content in zip(pdf[name_col], pdf["content"]):
-                try:
-                    with zipfile.ZipFile(io.BytesIO(bytes(content))) as zf:
-                        bad = zf.testzip()
-                        for info in zf.infolist():
-                            low = info.filename.casefold()
-                            xml = None
-                            if (low == "[content_types].xml" or low == "xl/workbook.xml" or low.endswith(".rels")) and not (info.flag_bits & 1):
-                                xml = zf.read(info.filename).decode("utf-8", "replace")
-                            out.append((name, info.filename, info.file_size, info.flag_bits, info.filename != bad, xml, False))
-                except (zipfile.BadZipFile, OSError, ValueError):
-                    out.append((name, None, None, None, None, None, True))
-            yield pd.DataFrame(out, columns=["file", "part", "size", "flags", "crc_ok", "xml", "corrupt"])
 
-    return files.select(name_col, "content").mapInPandas(run, PART_SCHEMA)
+def attribute_values(xml: Column, name: str) -> Column:
+    """Lower-cased values of an attribute anywhere in the text, outside comments."""
+    plain = F.regexp_replace(F.coalesce(xml, F.lit("")), r"(?s)<!--.*?-->", "")
+    found = F.regexp_extract_all(plain, F.lit(rf"""\s{name}\s*=\s*("[^"]*"|'[^']*')"""), F.lit(1))
+    return F.transform(found, lambda v: F.lower(v.substr(F.lit(2), F.length(v) - 2)))
 
 
 def _unsafe(part):
@@ -92,24 +89,24 @@ def _unsafe(part):
 def archive_guard(parts: DataFrame, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
     """Per file: the first failing package check (``error``, ``error_code``) or null."""
     low = F.lower(F.col("part"))
-    xml = F.coalesce(F.col("xml"), F.lit(""))
-    ct_active = (low == "[content_types].xml") & F.exists(
-        F.xpath(xml, F.lit("//*[local-name()='Override' or local-name()='Default']/@ContentType")),
-        lambda t: F.lower(t).rlike("|".join(ACTIVE_CONTENT_TYPE_MARKERS)),
-    )
-    declared_sheets = F.when(low == "xl/workbook.xml", F.size(F.xpath(xml, F.lit("//*[local-name()='sheet']/@name"))))
-    rel_external = low.endswith(".rels") & F.exists(
-        F.xpath(xml, F.lit("//*[local-name()='Relationship']/@TargetMode")), lambda t: F.lower(t) == "external"
-    )
-    rel_active = low.endswith(".rels") & F.exists(
-        F.xpath(xml, F.lit("//*[local-name()='Relationship']/@Type")),
-        lambda t: F.element_at(F.split(F.regexp_replace(F.lower(t), "/+$", ""), "/"), -1).isin(*ACTIVE_RELATIONSHIP_NAMES),
+    is_types, is_book, is_rels = low == "[content_types].xml", low == "xl/workbook.xml", low.endswith(".rels")
+    sound = parts.withColumn("bad_xml", (is_types | is_book | is_rels) & F.coalesce(malformed(F.col("xml")), F.lit(False)))
+    xml = F.when(~F.col("bad_xml"), F.col("xml"))
+    ct_active = is_types & F.exists(attribute_values(xml, "ContentType"), lambda t: t.rlike("|".join(ACTIVE_CONTENT_TYPE_MARKERS)))
+    declared_sheets = F.when(is_book, F.regexp_count(F.coalesce(xml, F.lit("")), F.lit(r"<(?:[\w.-]+:)?sheet[\s/>]")))
+    rel_external = is_rels & F.array_contains(attribute_values(xml, "TargetMode"), "external")
+    rel_active = is_rels & F.exists(
+        attribute_values(xml, "Type"),
+        lambda t: F.element_at(F.split(F.regexp_replace(t, "/+$", ""), "/"), -1).isin(*ACTIVE_RELATIONSHIP_NAMES),
     )
     marker = F.lit(False)
     for m in ACTIVE_PART_MARKERS:
         marker = marker | (F.instr(low, m) > 0)
-    stats = parts.groupBy("file").agg(
-        F.bool_or(F.coalesce(F.col("corrupt"), F.lit(False))).alias("corrupt"),
+    stats = sound.groupBy("file").agg(
+        F.bool_or(F.col("error").isNotNull()).alias("corrupt"),
+        F.bool_or(F.col("bad_xml") & is_types).alias("bad_types"),
+        F.bool_or(F.col("bad_xml") & is_book).alias("bad_book"),
+        F.bool_or(F.col("bad_xml") & is_rels).alias("bad_rels"),
         F.count("part").alias("entries"),
         F.count_distinct("part").alias("distinct_names"),
         F.bool_or(_unsafe(F.col("part"))).alias("unsafe"),
@@ -127,23 +124,26 @@ def archive_guard(parts: DataFrame, limits: Limits = DEFAULT_LIMITS) -> DataFram
     c = F.col
     unsupported = "Unsupported"
     checks = [
-        (c("corrupt"), "Corrupt", F.lit("XLSX package is corrupt")),
+        (c("corrupt"), "Corrupt", F.lit(CORRUPT)),
         (c("entries") > limits.max_xlsx_zip_entries, "Limit",
          F.concat(F.lit("XLSX has "), c("entries").cast("string"), F.lit(f" ZIP entries; limit is {limits.max_xlsx_zip_entries}"))),
-        (c("entries") != c("distinct_names"), "Corrupt", F.lit("XLSX contains duplicate ZIP part names")),
-        (c("unsafe"), "Corrupt", F.lit("XLSX contains an unsafe ZIP part name")),
-        (c("encrypted"), unsupported, F.lit("Encrypted XLSX ZIP entries are not supported")),
+        (c("entries") != c("distinct_names"), "Corrupt", F.lit(DUPLICATE_NAMES)),
+        (c("unsafe"), "Corrupt", F.lit(UNSAFE_NAME)),
+        (c("encrypted"), unsupported, F.lit(ENCRYPTED)),
         (c("uncompressed") > limits.max_xlsx_uncompressed_bytes, "Limit",
          F.concat(F.lit("XLSX declares "), c("uncompressed").cast("string"),
                   F.lit(f" uncompressed bytes; limit is {limits.max_xlsx_uncompressed_bytes}"))),
         (F.size(missing) > 0, "Corrupt",
          F.concat(F.lit("XLSX is missing required package parts: "), F.array_join(missing, ", "))),
-        (c("ct_active"), unsupported, F.lit("XLSX active content is not supported")),
+        (c("bad_types"), "Corrupt", F.lit(CORRUPT)),
+        (c("ct_active"), unsupported, F.lit(ACTIVE)),
+        (c("bad_book"), "Corrupt", F.lit(CORRUPT)),
         (F.coalesce(c("declared_sheets"), F.lit(0)) > limits.max_sheets, "Limit",
          F.concat(F.lit("XLSX has "), c("declared_sheets").cast("string"), F.lit(f" sheets; limit is {limits.max_sheets}"))),
-        (c("active_part"), unsupported, F.lit("XLSX active content is not supported")),
-        (c("rel_external"), unsupported, F.lit("XLSX external relationships are not supported")),
-        (c("rel_active"), unsupported, F.lit("XLSX active content is not supported")),
+        (c("active_part"), unsupported, F.lit(ACTIVE)),
+        (c("bad_rels"), "Corrupt", F.lit(CORRUPT)),
+        (c("rel_external"), unsupported, F.lit(EXTERNAL)),
+        (c("rel_active"), unsupported, F.lit(ACTIVE)),
         (c("bad_crc_part").isNotNull(), "Corrupt", F.concat(F.lit("XLSX ZIP checksum failed for "), c("bad_crc_part"))),
     ]
     err = None
