@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docaudit.functions.money import is_plain_decimal
+from docaudit.functions.text import py_strip
+
 ISO_DATE = r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}\z"
 
 
@@ -65,10 +68,33 @@ def normalize_date(s: Column) -> Column:
 
 
 def normalize_currency(s: Column) -> Column:
-    return F.upper(F.trim(s))
+    return F.upper(py_strip(s))
+
+
+_CODE_OR_SIGN = r"(?:[A-Z]{3}|[$€£¥₹])"
+#: Digits alone or in groups of three by commas, then an optional decimal point.
+_POINT = r"\A(?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)(?:\.[0-9]+)?\z"
+#: Digits alone or in groups of three by points or spaces, then a decimal comma and one or two digits.
+_COMMA = r"\A(?:[0-9]{1,3}(?:[. ][0-9]{3})+|[0-9]+),[0-9]{1,2}\z"
 
 
 def normalize_money(s: Column) -> Column:
-    """Drop currency symbols, spaces and grouping commas; keep a plain decimal or null."""
-    cleaned = F.regexp_replace(s, r"[^0-9.\-]", "")
-    return F.when(cleaned.rlike(r"\A-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?\z"), cleaned)
+    """Plain decimal of a printed amount in a known form, else null.
+
+    Known: an optional currency code or sign at either end, a minus before or
+    after the sign, or parentheses for a negative amount; ``1,234.56``,
+    ``1234.56``, ``1.234,56``, ``1 234,56``, ``12,5``.  Anything else (words,
+    exponents, two numbers) is null.
+    """
+    t = py_strip(s)
+    closed = t.rlike(r"\A\(.*\)\z")
+    body = py_strip(F.when(closed, F.regexp_replace(t, r"\A\(|\)\z", "")).otherwise(t))
+    first = F.regexp_replace(body, r"\A-\s*", "")
+    bare = F.regexp_replace(F.regexp_replace(first, rf"\A{_CODE_OR_SIGN}\s*", ""), rf"\s*{_CODE_OR_SIGN}\z", "")
+    number = F.regexp_replace(bare, r"\A-\s*", "")
+    minus = (first != body).cast("int") + (number != bare).cast("int") + closed.cast("int")
+    plain = F.when(number.rlike(_POINT), F.regexp_replace(number, ",", "")).when(
+        number.rlike(_COMMA), F.translate(F.regexp_replace(number, "[. ]", ""), ",", ".")
+    )
+    signed = F.when(minus == 1, F.concat(F.lit("-"), plain)).when(minus == 0, plain)
+    return F.when(is_plain_decimal(signed), signed)

@@ -1,10 +1,10 @@
 """Money: plain-decimal strings, exact decimal values, Python-style decimal text.
 
 Money travels as a plain decimal string (``-?(0|[1-9]\\d*)(\\.\\d+)?``, no
-exponent, no ``+``, no leading zeros).  Arithmetic uses ``decimal(18,6)``:
-values with more than 12 integer digits or 6 fraction digits are refused as
-schema errors instead of being rounded silently (the cast alone would round
-the 7th decimal and accept ``1e2``).
+exponent, no ``+``, no leading zeros) of any length.  Rules compute in
+``decimal(18,6)``: a value with more than 12 integer or 6 fraction digits is
+valid but takes no part in arithmetic instead of being rounded silently, and
+``validate.unchecked_money`` names it.
 
 ``decimal_text`` prints an exact decimal the way Python's ``str(Decimal)``
 does for a given exponent: the scale of a product is the sum of the operand
@@ -18,8 +18,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 PLAIN_DECIMAL = r"\A-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?\z"
-MAX_INTEGER_DIGITS = 12
-MAX_SCALE = 6
 DECIMAL_TYPE = "decimal(18,6)"
 
 
@@ -33,21 +31,6 @@ def scale_of(s: Column) -> Column:
     return F.when(dot > 0, F.length(s) - dot).otherwise(F.lit(0))
 
 
-def integer_digits(s: Column) -> Column:
-    body = F.regexp_replace(s, "^-", "")
-    dot = F.instr(body, ".")
-    return F.when(dot > 0, dot - 1).otherwise(F.length(body))
-
-
-def fits_decimal(s: Column) -> Column:
-    return (integer_digits(s) <= MAX_INTEGER_DIGITS) & (scale_of(s) <= MAX_SCALE)
-
-
-def is_valid_money(s: Column) -> Column:
-    """Null is allowed (nullable money); a present value must be plain and in range."""
-    return s.isNull() | (is_plain_decimal(s) & fits_decimal(s))
-
-
 # plain decimal with at most 12 integer and 6 fraction digits: fits decimal(18,6) exactly
 BOUNDED_DECIMAL = r"\A-?(?:0|[1-9][0-9]{0,11})(?:\.[0-9]{1,6})?\z"
 
@@ -57,10 +40,6 @@ def to_decimal(s: Column) -> Column:
     return F.when(s.rlike(BOUNDED_DECIMAL), s.try_cast(DECIMAL_TYPE))
 
 
-def is_zero(d: Column) -> Column:
-    return d == F.lit(0)
-
-
 def decimal_text(value: Column, scale: Column) -> Column:
     """Python ``str(Decimal)`` of ``value`` carried at exponent ``-scale``.
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 PY_WHITESPACE_RUN = r"(?U)[\s\x1c-\x1f]+"
+PY_VISIBLE = r"(?U)[^\s\x1c-\x1f]"
 PY_WHITESPACE_EDGES = r"^(?U)[\s\x1c-\x1f]+|(?U)[\s\x1c-\x1f]+$"
 
 
@@ -32,11 +33,6 @@ def normalize(col: Column) -> Column:
     return collapse_whitespace(casefold(col))
 
 
-def is_blank(col: Column) -> Column:
-    """Python ``not s.strip()`` for a decoded string."""
-    return F.regexp_replace(col, PY_WHITESPACE_RUN, "") == F.lit("")
-
-
 def py_strip(col: Column) -> Column:
     """Python ``str.strip()`` (Unicode whitespace plus U+001C..U+001F)."""
     return F.regexp_replace(col, PY_WHITESPACE_EDGES, "")

@@ -554,14 +554,18 @@ WITH f AS (
   SELECT doc_id, text,
          'doc_' || doc_id || '.' || (['txt','csv','pdf','PNG','jpeg','xlsx','TXT','doc'])[doc_id % 8 + 1] AS file_name,
          (['txt','csv','pdf','png','jpeg','xlsx','txt','doc'])[doc_id % 8 + 1] AS ext,
-         ([NULL, 'pdf', 'png', 'xlsx'])[(doc_id // 8) % 4 + 1] AS detected
+         ([NULL, 'pdf', 'png', 'xlsx'])[(doc_id // 8) % 4 + 1] AS detected,
+         CASE WHEN doc_id % 19 = 3 THEN 0 ELSE ([0, 5, 8, 4])[(doc_id // 8) % 4 + 1] + octet_length(encode(text))
+              + CASE WHEN doc_id % 13 = 0 OR doc_id % 17 = 0 THEN 1 ELSE 0 END END AS bytes
   FROM documents
 ), g AS (
   SELECT *, CASE ext WHEN 'txt' THEN 'text' WHEN 'csv' THEN 'csv' WHEN 'pdf' THEN 'pdf' WHEN 'png' THEN 'png'
                      WHEN 'jpeg' THEN 'jpeg' WHEN 'xlsx' THEN 'xlsx' END AS declared FROM f
 ), h AS (
   SELECT *,
-    CASE WHEN detected IS NOT NULL AND declared IS DISTINCT FROM detected
+    CASE WHEN bytes = 0 THEN 'Input file is empty'
+         WHEN bytes > 12000 THEN 'Input is ' || bytes || ' bytes; limit is 12000 bytes'
+         WHEN detected IS NOT NULL AND declared IS DISTINCT FROM detected
            THEN upper(detected) || ' content requires a .' || detected || ' extension'
          WHEN detected IS NULL AND declared IN ('pdf', 'png', 'jpeg', 'xlsx')
            THEN upper(declared) || ' extension does not match the file content'
@@ -599,10 +603,14 @@ WITH p AS (
          regexp_replace(string_agg(coalesce(t, ''), chr(10) || chr(12) || chr(10) ORDER BY turn),
                         '^{_PY_WS}+|{_PY_WS}+$', '', 'g') AS joined
   FROM p GROUP BY file
+), f AS (
+  SELECT a.file, coalesce(page_count, 0) AS page_count, max_px, joined
+  FROM (SELECT conv_id AS file FROM conversations UNION SELECT doc_id FROM documents) a LEFT JOIN s USING (file)
 ), e AS (
-  SELECT *, CASE WHEN page_count > 6 THEN 'PDF has ' || page_count || ' pages; limit is 6'
-                 WHEN max_px > 25000000 THEN 'Projected PDF page exceeds DDE_MAX_IMAGE_PIXELS; lower DDE_RENDER_DPI'
-            END AS error FROM s
+  SELECT *, CASE WHEN page_count = 0 THEN 'PDF contains no pages'
+                 WHEN page_count > 6 THEN 'PDF has ' || page_count || ' pages; limit is 6'
+                 WHEN max_px > 25000000 THEN 'Projected PDF page exceeds max_image_pixels; lower render_dpi'
+            END AS error FROM f
 )
 SELECT file, CASE WHEN error IS NULL THEN page_count END AS page_count,
        CASE WHEN error IS NULL AND joined <> '' THEN joined END AS text,
@@ -823,8 +831,13 @@ VALUE_SQL: dict[str, str] = {
         "CASE WHEN doc_key % 6 = 5 AND day(od) <= 12 AND day(od) <> month(od) THEN NULL "
         "ELSE strftime(od, '%Y-%m-%d') END AS date_norm, "
         "upper(currency) AS currency_norm, "
-        "'$' || format('{:,.2f}', CAST(total_d AS DOUBLE)) AS total_text, "
-        "CAST(total_d AS VARCHAR) AS total_norm FROM pr",
+        "CASE doc_key % 8 WHEN 0 THEN '$' || us WHEN 1 THEN translate(us, ',.', '.,') || ' EUR' "
+        "WHEN 2 THEN '(' || format('{:,.2f}', abs(CAST(total_d AS DOUBLE))) || ')' WHEN 3 THEN 'USD ' || CAST(total_d AS VARCHAR) "
+        "WHEN 4 THEN ' ' || translate(us, ',.', ' ,') || ' ' WHEN 5 THEN us || ' of 7' WHEN 6 THEN '1e5' "
+        "ELSE 'total ' || us END AS total_text, "
+        "CASE WHEN doc_key % 8 IN (5, 6, 7) THEN NULL WHEN doc_key % 8 = 2 THEN '-' || CAST(abs(total_d) AS VARCHAR) "
+        "ELSE CAST(total_d AS VARCHAR) END AS total_norm "
+        "FROM (SELECT *, format('{:,.2f}', CAST(total_d AS DOUBLE)) AS us FROM pr) pr",
         _PRINTED,
     ),
     "grounding_check": with_adapter(

@@ -178,6 +178,7 @@ JSON_QUERIES: dict[str, Query] = {
 # --------------------------------------------------------------------------- sources
 from docaudit.config import Limits  # noqa: E402
 
+ROUTE_LIMITS = Limits(max_file_bytes=12_000)
 PAGE_LIMITS = Limits(max_pages=6)
 CELL_LIMITS = Limits(max_tabular_rows=6, max_tabular_columns=4, max_cell_chars=5, max_tabular_chars=400)
 CANONICAL_LIMITS = Limits(max_tabular_chars=450)
@@ -188,7 +189,7 @@ def route_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docaudit.sources.corpora import documents_as_files
     from docaudit.sources.files import route, text_guard
 
-    guarded = text_guard(route(documents_as_files(spark, sf_dir)))
+    guarded = text_guard(route(documents_as_files(spark, sf_dir), limits=ROUTE_LIMITS))
     return guarded.select("doc_id", "file_name", "route", "media_type", "error_code", "error")
 
 
@@ -207,10 +208,14 @@ def text_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docaudit.session import read_table
     from docaudit.sources.corpora import conversation_pages
     from docaudit.sources.pages import assemble_pages
 
-    a = assemble_pages(conversation_pages(spark, sf_dir), PAGE_LIMITS)
+    pages = conversation_pages(spark, sf_dir)
+    # every conversation is a file, and so is every document id: those without turns have no pages
+    files = pages.select("file").unionByName(read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file")))
+    a = assemble_pages(pages, PAGE_LIMITS, files)
     return a.select(
         "file", F.col("page_count").cast("bigint").alias("page_count"), "text",
         F.size("notices").alias("n_notices"), "error",
@@ -362,12 +367,23 @@ def normalize_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docaudit.functions.dates import normalize_currency, normalize_date, normalize_money
 
     p = _printed(spark, sf_dir)
-    total_text = F.concat(F.lit("$"), F.format_number(F.col("total").cast("decimal(18,2)"), 2))
+    total = F.col("total").cast("decimal(18,2)")
+    us, form = F.format_number(total, 2), F.col("doc_key") % 8
+    total_text = (
+        F.when(form == 0, F.concat(F.lit("$"), us))
+        .when(form == 1, F.concat(F.translate(us, ",.", ".,"), F.lit(" EUR")))
+        .when(form == 2, F.concat(F.lit("("), F.format_number(F.abs(total), 2), F.lit(")")))
+        .when(form == 3, F.concat(F.lit("USD "), F.col("total")))
+        .when(form == 4, F.concat(F.lit(" "), F.translate(us, ",.", " ,"), F.lit(" ")))
+        .when(form == 5, F.concat(us, F.lit(" of 7")))
+        .when(form == 6, F.lit("1e5"))
+        .otherwise(F.concat(F.lit("total "), us))
+    )
     return p.select(
         "doc_key",
         "date_text",
         normalize_date(F.col("date_text")).alias("date_norm"),
-        normalize_currency(F.concat(F.lit(" "), F.col("currency"), F.lit(" "))).alias("currency_norm"),
+        normalize_currency(F.concat(F.lit("\t"), F.col("currency"), F.lit(" \n"))).alias("currency_norm"),
         total_text.alias("total_text"),
         normalize_money(total_text).alias("total_norm"),
     )
