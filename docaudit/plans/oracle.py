@@ -499,11 +499,11 @@ EVALUATION_SQL: dict[str, str] = {
         "count(*) FILTER (WHERE branch = 'compared') FROM fx WHERE gold_valid GROUP BY gold_type"
     ),
     "eval_failures": with_pair(
-        "SELECT doc_key AS fixture, 0 AS o, 'invalid ground truth' AS error FROM fx WHERE branch = 'gold_invalid' "
+        "SELECT doc_key AS fixture, 0 AS o, 'invalid ground truth: total: value_error' AS error FROM fx WHERE branch = 'gold_invalid' "
         "UNION ALL SELECT doc_key, 1, 'manifest document_type mismatch: ''' || manifest_type || ''' != ''' "
         "|| gold_type || '''' FROM fx WHERE gold_valid AND manifest_type IS NOT NULL AND manifest_type <> gold_type "
         "UNION ALL SELECT doc_key, 2, CASE branch WHEN 'missing_output' THEN 'missing output' "
-        "ELSE 'invalid output' END FROM fx WHERE branch IN ('missing_output', 'invalid_output')"
+        "ELSE 'invalid output: root: json_invalid' END FROM fx WHERE branch IN ('missing_output', 'invalid_output')"
     ),
 }
 
@@ -799,8 +799,8 @@ EXTRACTION_SQL: dict[str, str] = {
         "FROM rp LEFT JOIN doc_status s USING (doc_key)"
     ).replace("WITH ", "WITH " + "", 1),
     "request_parts": "SELECT doc_id, CASE WHEN text <> '' THEN 2 ELSE 1 END AS n_parts, "
-    "CAST(length('File: doc_' || doc_id || '.txt' || chr(10) || 'Media type: text/plain; charset=utf-8' || chr(10) "
-    "|| 'Extract the visible document.') + CASE WHEN text <> '' THEN length('DOCUMENT TEXT:' || chr(10) || text) ELSE 0 END "
+    "CAST(length('Name: doc_' || doc_id || '.txt' || chr(10) || 'Type: text/plain; charset=utf-8' || chr(10) "
+    "|| 'Write the record of this document as JSON.') + CASE WHEN text <> '' THEN length('TEXT:' || chr(10) || text) ELSE 0 END "
     "AS BIGINT) AS n_chars FROM documents",
 }
 # batch_summary needs the replay outcome next to the rules
@@ -897,3 +897,103 @@ FROM (
   END AS ek FROM part
 ) t
 """
+
+
+# --------------------------------------------------------------------------- whole report, stored notices, whole batch
+def _report_sql() -> str:
+    e = {k: f"({EVALUATION_SQL[k]}) t" for k in EVALUATION_SQL}
+
+    def row(section: str, item: str, num: str, den: str, of: str) -> str:
+        return f"SELECT '{section}' AS section, {item} AS item, CAST({num} AS BIGINT) AS numerator, CAST({den} AS BIGINT) AS denominator FROM {e[of]}"
+
+    tp, fp, fn = "true_positive", "false_positive", "false_negative"
+    rows = [
+        row("processing", "'processed'", "processed", "fixture_count", "eval_processing"),
+        row("processing", "'schema_valid'", "schema_valid", "fixture_count", "eval_processing"),
+        row("header_exact_match", "'matched'", "header_matched", "header_compared", "header_match"),
+        row("decimal_accuracy", "'matched'", "decimal_matched", "decimal_compared", "header_match"),
+        row("hallucinations", "'count'", "hallucination_count", "NULL", "hallucinations"),
+    ]
+    for section, of in (("line_items", "line_item_prf"), ("validation_detection", "issue_code_prf")):
+        rows += [
+            row(section, "'precision'", tp, f"{tp} + {fp}", of),
+            row(section, "'recall'", tp, f"{tp} + {fn}", of),
+            row(section, "'f1'", f"2 * {tp}", f"2 * {tp} + {fp} + {fn}", of),
+        ]
+    for c in ("processed", "schema_valid"):
+        rows.append(row("breakdown", f"dimension || '=' || grp || ' {c}'", c, "fixtures", "eval_breakdown"))
+    rows.append(
+        "SELECT 'failures', split_part(error, ':', 1), CAST(count(*) AS BIGINT), CAST(NULL AS BIGINT) "
+        f"FROM {e['eval_failures']} GROUP BY split_part(error, ':', 1)"
+    )
+    return "\nUNION ALL\n".join(rows)
+
+
+EVALUATION_SQL["eval_report"] = _report_sql()
+
+JSON_SQL["revalidate_v2"] = with_rules(
+    "SELECT code, severity, count(*) AS n_issues, count(DISTINCT doc_key) AS n_docs FROM ("
+    "SELECT code, severity, doc_key FROM all_issues UNION ALL "
+    f"SELECT '{S.NOTICE_NO_NATIVE_TEXT[0]}', '{S.NOTICE_NO_NATIVE_TEXT[1]}', doc_key FROM doc_header WHERE doc_key % 5 = 0 UNION ALL "
+    f"SELECT '{S.NOTICE_XLSX_FORMULA_PRESENT[0]}', '{S.NOTICE_XLSX_FORMULA_PRESENT[1]}', doc_key FROM doc_header WHERE doc_key % 7 = 0"
+    ") x GROUP BY code, severity"
+)
+
+EXTRACTION_SQL["repair_once"] = with_adapter(
+    "SELECT doc_key, CAST(CASE WHEN bad AND NOT none THEN 2 ELSE 1 END AS INTEGER) AS attempts, "
+    "CASE WHEN none THEN 'provider_error' WHEN NOT bad OR doc_key % 2 = 0 THEN 'ok' ELSE 'schema_error' END AS outcome, "
+    "CASE WHEN none THEN 4 WHEN NOT bad OR doc_key % 2 = 0 THEN NULL ELSE 5 END AS exit_code "
+    f"FROM (SELECT h.doc_key, h.doc_key % 29 = 0 AS none, {_DAMAGED} AS bad FROM doc_header h LEFT JOIN nl USING (doc_key)) x",
+    _LINE_COUNTS,
+)
+
+_MESSAGES = " ".join(
+    f"WHEN '{code}' THEN '{text}'"
+    for code, text in (
+        ("INVALID_DATE", S.MSG_INVALID_DATE),
+        ("DUE_BEFORE_ISSUE", S.MSG_DUE_BEFORE_ISSUE),
+        ("DELIVERY_BEFORE_ISSUE", S.MSG_DELIVERY_BEFORE_ISSUE),
+        ("UNKNOWN_CURRENCY", S.MSG_UNKNOWN_CURRENCY),
+        ("MISSING_IDENTIFIER", S.MSG_MISSING_IDENTIFIER),
+        ("MISSING_REFERENCE", S.MSG_MISSING_REFERENCE),
+        ("NO_LINE_ITEMS", S.MSG_NO_LINE_ITEMS),
+        ("BALANCED_REVERSAL", S.MSG_BALANCED_REVERSAL),
+        ("LINE_AMOUNT_MISMATCH", S.MSG_LINE_AMOUNT_MISMATCH),
+        ("DUPLICATE_LINE", S.MSG_DUPLICATE_LINE),
+        ("NEGATIVE_VALUE", S.MSG_NEGATIVE_VALUE),
+        ("CREDIT_SIGN_INCONSISTENCY", S.MSG_CREDIT_SIGN),
+        ("SUBTOTAL_MISMATCH", S.MSG_SUBTOTAL_MISMATCH),
+        ("TOTAL_MISMATCH", S.MSG_TOTAL_MISMATCH),
+    )
+)
+
+EXTRACTION_SQL["batch_envelopes"] = with_rules(
+    f"""SELECT path AS doc_key, page_count, sheet_count, n_notices, pos, code, severity, message, field, error_code FROM (
+  SELECT f.path, f.page_count, f.sheet_count, f.n_notices, f.error_code, i.code, i.severity, i.field,
+         CASE WHEN i.code IS NOT NULL THEN CAST(row_number() OVER (PARTITION BY f.k ORDER BY i.g, i.line_idx, i.sub) - 1 AS INTEGER) END AS pos,
+         CASE WHEN i.code = 'CREDIT_TOTAL_UNVERIFIABLE' THEN CASE i.sub WHEN 0 THEN '{S.MSG_CREDIT_NO_POLARITY}' ELSE '{S.MSG_CREDIT_INCOMPLETE}' END
+              WHEN i.g = 14 THEN i.message ELSE CASE i.code {_MESSAGES} END END AS message
+  FROM (
+    SELECT *, CASE WHEN error_code IS NULL AND kind <> 'xlsx' THEN 1 END AS page_count,
+           CASE WHEN error_code IS NULL AND kind = 'xlsx' THEN least(n, 2) END AS sheet_count,
+           CASE WHEN error_code IS NULL THEN CASE WHEN kind = 'pdf' AND k % 4 = 0 OR kind = 'xlsx' AND k % 7 = 0 THEN 1 ELSE 0 END END AS n_notices
+    FROM (
+      SELECT k, 'in/wb-' || k || '.' || kind AS path, kind, n,
+             CASE WHEN kind = 'pdf' AND k % 31 = 0 THEN 3
+                  WHEN kind = 'xlsx' AND (n = 0 OR k % 97 = 0 OR (k % 7 = 0 AND n = 1)) THEN 3
+                  WHEN k % 29 = 0 THEN 4 END AS error_code
+      FROM (SELECT o_orderkey AS k, ['pdf', 'txt', 'xlsx'][o_orderkey % 3 + 1] AS kind, count(l_orderkey) AS n
+            FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey) a
+    ) b
+  ) f
+  LEFT JOIN (
+    SELECT doc_key, g, line_idx, sub, code, severity, field, NULL AS message FROM all_issues
+    UNION ALL
+    SELECT doc_key, 14, 0, 0, '{S.NOTICE_NO_NATIVE_TEXT[0]}', '{S.NOTICE_NO_NATIVE_TEXT[1]}', NULL, '{S.NOTICE_NO_NATIVE_TEXT[2]}'
+    FROM doc_header WHERE doc_key % 3 = 0 AND doc_key % 4 = 0
+    UNION ALL
+    SELECT doc_key, 14, 0, 0, '{S.NOTICE_XLSX_HIDDEN_CODE}', 'warning', NULL, '1{S.NOTICE_XLSX_HIDDEN_SUFFIX}'
+    FROM doc_header WHERE doc_key % 3 = 2 AND doc_key % 7 = 0
+  ) i ON i.doc_key = f.k AND f.error_code IS NULL
+) z"""
+)

@@ -126,7 +126,7 @@ EVALUATION_QUERIES: dict[str, Query] = {
     "issue_code_prf": _eval(lambda E, inp, fx: E.issue_code_prf(inp, fx), with_codes=True),
     "eval_breakdown": _eval(lambda E, inp, fx: E.breakdown(fx)),
     "eval_failures": _eval(lambda E, inp, fx: E.failures(fx)),
-    "eval_report": _eval(lambda E, inp, fx: E.report(inp), with_codes=True),
+    "eval_report": _eval(lambda E, inp, fx: E.report(inp, fx), with_codes=True),
 }
 
 
@@ -168,7 +168,22 @@ def revalidate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def revalidate_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F04/D16 over v2 envelopes of all types: stored validation is wrong on purpose, notices are planted."""
+    from docaudit.operators.strict_json import nest_documents
+    from docaudit.plans.jobs import build_envelopes, envelope_json, revalidate_envelopes
+    from docaudit.sources.records import planted_sources, wrong_validation
+
+    t = document_tables(spark, sf_dir)
+    env = build_envelopes(nest_documents(t.headers, t.lines), planted_sources(t.headers), wrong_validation(t.headers))
+    result = revalidate_envelopes(envelope_json(env))
+    return result.issues.groupBy("code", "severity").agg(
+        F.count(F.lit(1)).alias("n_issues"), F.count_distinct("doc_key").alias("n_docs")
+    )
+
+
 JSON_QUERIES: dict[str, Query] = {
+    "revalidate_v2": revalidate_v2,
     "strict_json": strict_json,
     "migrate_v1": migrate_v1,
     "revalidate": revalidate,
@@ -304,7 +319,7 @@ def replay_extract_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 def batch_summary_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docaudit.operators.extract import replay_extract
     from docaudit.operators.strict_json import flatten_documents
-    from docaudit.streaming.incremental import batch_summary
+    from docaudit.plans.jobs import batch_summary
 
     loaded, responses = _replay_inputs(spark, sf_dir)
     out = replay_extract(loaded, responses)
@@ -331,7 +346,64 @@ def request_parts_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stored_model(pdf):
+    """A model for tests: the text holds a first answer and a good one, parted by U+001E; every second document is mended."""
+    import pandas as pd
+
+    from docaudit.operators.extract import REPAIR_PREFIX, TEXT_LABEL
+
+    out = []
+    for key, parts in zip(pdf["doc_key"], pdf["parts"]):
+        texts = [p["text"] for p in parts if p["text"]]
+        first, _, good = next((x for x in texts if x.startswith(TEXT_LABEL)), TEXT_LABEL)[len(TEXT_LABEL) :].partition("\x1e")
+        again = any(x.startswith(REPAIR_PREFIX) for x in texts)
+        out.append(None if key % 29 == 0 else good if again and key % 2 == 0 else first)
+    return pd.Series(out, dtype=object)
+
+
+def repair_once_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docaudit.operators.extract import extract_with_repair
+    from docaudit.session import find_package
+    from docaudit.sources.records import damaged_document_json, document_json
+
+    find_package(spark)
+    t = document_tables(spark, sf_dir)
+    good = document_json(t).withColumnRenamed("json", "good")
+    both = damaged_document_json(t).join(good, "doc_key")
+    loaded = both.select(
+        "doc_key",
+        F.concat(F.lit("DOC-"), F.col("doc_key").cast("string"), F.lit(".txt")).alias("file_name"),
+        F.lit("text/plain; charset=utf-8").alias("media_type"),
+        F.concat("json", F.lit("\x1e"), "good").alias("text"),
+    )
+    return extract_with_repair(loaded, stored_model).select("doc_key", "attempts", "outcome", "exit_code")
+
+
+def batch_envelopes_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files, pages, cells and stored answers to envelopes; one row an issue, or one with the load or extraction error."""
+    from docaudit.plans.jobs import run_batch
+    from docaudit.sources.records import batch_inputs
+
+    run = run_batch(**batch_inputs(spark, sf_dir, document_tables(spark, sf_dir)))
+    env = run.envelopes.select(
+        "doc_key",
+        F.col("envelope.source.page_count").alias("page_count"),
+        F.col("envelope.source.sheet_count").alias("sheet_count"),
+        F.size("envelope.source.notices").alias("n_notices"),
+        F.posexplode_outer("envelope.validation.issues").alias("pos", "i"),
+    )
+    done = env.select(
+        "doc_key", "page_count", "sheet_count", "n_notices", F.col("pos").cast("int").alias("pos"), F.col("i.code").alias("code"),
+        F.col("i.severity").alias("severity"), F.col("i.message").alias("message"), F.col("i.field").alias("field"),
+        F.lit(None).cast("int").alias("error_code"),
+    )
+    failed = run.outcomes.filter(F.col("error_code").isNotNull()).select("doc_key", "error_code")
+    return done.unionByName(failed, allowMissingColumns=True)
+
+
 EXTRACTION_QUERIES: dict[str, Query] = {
+    "repair_once": repair_once_q,
+    "batch_envelopes": batch_envelopes_q,
     "replay_extract": replay_extract_q,
     "batch_summary": batch_summary_q,
     "request_parts": request_parts_q,

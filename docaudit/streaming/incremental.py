@@ -1,20 +1,23 @@
 """Incremental batch: the stateless batch job run over newly arrived files.
 
 ``readStream.format("binaryFile")`` picks up new files in a directory; each
-micro-batch is routed, guarded and summarised exactly like a batch run, and
-appended to a parquet sink.  ``trigger(availableNow=True)`` processes what has
-arrived and stops; the checkpoint (in the shared checkpoint folder unless one
-is given) records which files are done, so a restarted or retried run neither
-skips nor repeats files.
+micro-batch is loaded, and with stored answers also extracted and validated,
+exactly like a batch run.  ``trigger(availableNow=True)`` processes what has
+arrived and stops; the checkpoint records which files are done.  A micro-batch
+may be given out twice after a failure, so each epoch overwrites its own folder
+``epoch=<n>``: a retried one leaves no second copy.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docaudit.config import DEFAULT_LIMITS, Limits
+from docaudit.plans.jobs import run_batch
 from docaudit.session import ensure_checkpoint_dir
 from docaudit.sources.files import SUPPORTED_EXTENSIONS, route, suffix_of, text_guard
 
@@ -35,41 +38,45 @@ def load_stage(files: DataFrame, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
     return g.select("path", "file_name", "route", "media_type", "sha256", "byte_count", "error_code", "error")
 
 
-def run_incremental(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str | None = None,
-                    limits: Limits = DEFAULT_LIMITS):
-    """Process the files that arrived since the last run; returns the finished query."""
-    ckpt = checkpoint or f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/incremental"
+def run_incremental(
+    spark: SparkSession,
+    in_dir: str,
+    out_dir: str,
+    checkpoint: str | None = None,
+    limits: Limits = DEFAULT_LIMITS,
+    responses: DataFrame | None = None,
+):
+    """Process the files that arrived since the last run; returns the finished query.
+
+    Without ``responses`` an epoch holds the load outcomes; with them
+    ``out_dir/outcomes`` and ``out_dir/envelopes`` hold the batch run's tables.
+    The default checkpoint is named after the two folders.
+    """
+    name = hashlib.sha256(f"{in_dir}\n{out_dir}".encode()).hexdigest()[:16]
+    ckpt = checkpoint or f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}"
     stream = (
         spark.readStream.format("binaryFile")
         .schema(BINARY_FILE_SCHEMA)
         .option("recursiveFileLookup", "false")
         .load(in_dir)
     )
-
-    def write_batch(batch: DataFrame, epoch: int) -> None:
-        load_stage(batch, limits).withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(out_dir)
-
-    q = stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
+    q = (
+        stream.writeStream.foreachBatch(lambda batch, epoch: write_epoch(batch, epoch, out_dir, limits, responses))
+        .option("checkpointLocation", ckpt)
+        .trigger(availableNow=True)
+        .start()
+    )
     q.awaitTermination()
     return q
 
 
-def batch_summary(outcomes: DataFrame, review: DataFrame | None = None, strict: bool = False) -> DataFrame:
-    """processed / failed counts and the run's outcome code.
-
-    ``outcomes(doc_key, exit_code)`` (null = processed), ``review(doc_key,
-    review_required)``.  Code = max failure code; else 2 when strict and any
-    document needs review; else 0.
-    """
-    if review is not None:
-        rows = outcomes.join(review.select("doc_key", "review_required"), "doc_key", "left")
+def write_epoch(batch: DataFrame, epoch: int, out_dir: str, limits: Limits = DEFAULT_LIMITS, responses: DataFrame | None = None) -> None:
+    """Write one micro-batch to its own folder; writing it again replaces it."""
+    if responses is None:
+        tables = {out_dir: load_stage(batch, limits)}
     else:
-        rows = outcomes.withColumn("review_required", F.lit(False))
-    agg = rows.agg(
-        F.count_if(F.col("exit_code").isNull()).alias("processed"),
-        F.count_if(F.col("exit_code").isNotNull()).alias("failed"),
-        F.max("exit_code").alias("max_code"),
-        F.coalesce(F.bool_or(F.col("exit_code").isNull() & F.coalesce("review_required", F.lit(False))), F.lit(False)).alias("any_review"),
-    )
-    code = F.coalesce(F.col("max_code"), F.when(F.lit(strict) & F.col("any_review"), F.lit(2)).otherwise(F.lit(0)))
-    return agg.select("processed", "failed", code.cast("int").alias("exit_code"))
+        supported = batch.filter(suffix_of(F.col("path")).isin(*SUPPORTED_EXTENSIONS))
+        run = run_batch(supported, responses, limits=limits)
+        tables = {f"{out_dir}/outcomes": run.outcomes, f"{out_dir}/envelopes": run.envelopes}
+    for path, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
