@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import io
 import json
-import zipfile
 
 import pandas as pd
 from pyspark.sql import functions as F
 
 from docaudit.config import Limits
 from docaudit.operators.extract import extract_with_repair
-from docaudit.sources.archive import archive_guard, list_parts
+from docaudit.sources.archive import PART_SCHEMA, archive_guard
 from docaudit.sources.files import discover, route, text_guard
-from docaudit.sources.tabular import csv_cells, python_row_line, row_lines
-from docaudit.streaming.incremental import run_incremental
+from docaudit.sources.tabular import CELL_SCHEMA, canonical_text, cell_limits, row_lines
+from docaudit.streaming.incremental import run_incremental, write_epoch
 
 
 def _write(d, name, data: bytes):
@@ -48,49 +46,148 @@ def test_discover_route_and_guard(spark, tmp_path):
 
 def test_size_guard_before_content(spark, tmp_path):
     _write(tmp_path, "big.txt", b"x" * 100)
-    r = route(discover(spark, str(tmp_path)), limits=Limits(max_file_bytes=50)).collect()[0]
-    assert r.error == "Input is 100 bytes; limit is 50 bytes"
-
-
-def test_csv_job_and_canonical_rows(spark):
-    text = 'section,field,value\nheader,"multi\nline",1\nlines,x\n'
-    files = spark.createDataFrame([("a.csv", text), ("b.csv", "onlyone")], "file_name string, text string")
-    cells = csv_cells(files).withColumnRenamed("file_name", "file")
-    lines = {(r.file, r.row): r.line for r in row_lines(cells, trim_trailing_nulls=False).collect()}
-    assert lines[("a.csv", 2)] == python_row_line(2, ["header", "multi\nline", "1"])
-    assert lines[("a.csv", 3)] == python_row_line(3, ["lines", "x"])
-    notices = {r.file: r.notice for r in cells.filter(F.col("notice").isNotNull()).collect()}
-    assert notices.get("b.csv") == "CSV_DIALECT_FALLBACK"
-
-
-def _zip(entries: dict[str, bytes]) -> bytes:
-    buf = io.BytesIO()
-    with zipfile.ZipFile(buf, "w") as z:
-        for k, v in entries.items():
-            z.writestr(k, v)
-    return buf.getvalue()
-
-
-def test_archive_listing_and_guard(spark):
-    ct = b'<?xml version="1.0"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="xml" ContentType="application/xml"/></Types>'
-    wb = b'<workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheets><sheet name="A"/></sheets></workbook>'
-    rels_ext = b'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="http://x/hyperlink" Target="http://e" TargetMode="External"/></Relationships>'
-    files = spark.createDataFrame(
+    _write(tmp_path, "none.txt", b"")
+    _write(tmp_path, "fine.txt", b"y")
+    # above the source's own limit Spark fails as soon as a file's content is read
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "50")
+    try:
+        out = {r.file_name: r for r in text_guard(route(discover(spark, str(tmp_path)), limits=Limits(max_file_bytes=50))).collect()}
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    assert out["big.txt"].error == "Input is 100 bytes; limit is 50 bytes" and out["big.txt"].error_code == 3
+    assert out["none.txt"].error == "Input file is empty"
+    assert out["fine.txt"].error is None and out["fine.txt"].text == "y"
+
+
+def test_nothing_found_is_an_input_error(spark, tmp_path):
+    from docaudit.plans.jobs import run_batch
+
+    (tmp_path / "empty").mkdir()
+    none = spark.createDataFrame([], "name string, json string")
+    for folder in (tmp_path / "empty", tmp_path / "absent"):
+        s = run_batch(discover(spark, str(folder)), none).summary.collect()[0]
+        assert (s.processed, s.failed, s.exit_code) == (0, 0, 3)
+
+
+def _cells(spark, rows):
+    """(file, sheet, row, col, value[, error]) rows of one visible sheet each."""
+    full = [(f, sh, f"S{sh}", "visible", r, c, v, None, None, False, e[0] if e else None) for f, sh, r, c, v, *e in rows]
+    return spark.createDataFrame(full, CELL_SCHEMA)
+
+
+def test_canonical_rows(spark):
+    cells = _cells(spark, [("a.csv", 1, 2, 1, "header"), ("a.csv", 1, 2, 2, "multi\nline"), ("a.csv", 1, 2, 3, "é"), ("a.csv", 1, 3, 1, "lines"), ("a.csv", 1, 3, 3, "x")])
+    lines = {r.row: r.line for r in row_lines(cells, trim_trailing_nulls=False).collect()}
+    assert lines[2] == 'row 2: ["header", "multi\\nline", "é"]'
+    assert lines[3] == 'row 3: ["lines", null, "x"]'
+
+
+def test_every_file_has_one_canonical_row(spark):
+    cells = _cells(
+        spark,
         [
-            ("ok.xlsx", _zip({"[Content_Types].xml": ct, "xl/workbook.xml": wb})),
-            ("nowb.xlsx", _zip({"[Content_Types].xml": ct})),
-            ("macro.xlsx", _zip({"[Content_Types].xml": ct, "xl/workbook.xml": wb, "xl/vbaProject.bin": b"x"})),
-            ("ext.xlsx", _zip({"[Content_Types].xml": ct, "xl/workbook.xml": wb, "_rels/.rels": rels_ext})),
-            ("bad.xlsx", b"PK\x03\x04 not really"),
+            ("ok", 1, 1, 1, "a"), ("ok", 1, 3, 2, "b"), ("ok", 2, 12, 1, "c"),
+            ("long", 1, 1, 1, "a"), ("long", 2, 2, 3, "x" * 9), ("wide", 1, 1, 7, "a"),
+            ("broken", 1, 1, 1, "a"), ("broken", 1, 2, 1, "b", "ended inside a quote"),
         ],
-        "file_name string, content binary",
     )
-    out = {r.file: r.error for r in archive_guard(list_parts(files)).collect()}
-    assert out["ok.xlsx"] is None
-    assert out["nowb.xlsx"] == "XLSX is missing required package parts: xl/workbook.xml"
-    assert out["macro.xlsx"] == "XLSX active content is not supported"
-    assert out["ext.xlsx"] == "XLSX external relationships are not supported"
-    assert out["bad.xlsx"] == "XLSX package is corrupt"
+    files = spark.createDataFrame([(f,) for f in ("ok", "long", "wide", "broken", "nothing")], "file string")
+    lim = Limits(max_tabular_columns=5, max_cell_chars=8)
+    out = {r.file: r for r in canonical_text(cells, lim, files=files).collect()}
+    assert len(out) == 5
+    body = out["ok"].text.split("\n", 1)[1]
+    assert body.startswith('sheet 1: "S1"\nrow 1: ["a"]\nrow 2: []\nrow 3: [null, "b"]\nsheet 2: "S2"\n') and body.endswith('row 12: ["c"]\n')
+    assert out["ok"].error is None
+    assert out["long"].error == "limit cell_chars is 8; found 9 at sheet 2 row 2 column 3" and out["long"].text is None
+    assert out["wide"].error == "limit columns is 5; found 7 at sheet 1"
+    assert out["broken"].error == "ended inside a quote" and out["nothing"].error == "Input contains no logical rows"
+    assert all(out[f].error_code == 3 for f in ("long", "wide", "broken", "nothing"))
+    sizes = {r.file: r.canonical_chars for r in cell_limits(cells, lim, files=files).collect()}
+    assert sizes["ok"] == len(out["ok"].text)
+
+
+def test_archive_guard(spark):
+    ct = "<?xml version=\"1.0\"?><Types xmlns='u'><Default Extension='xml' ContentType='application/xml'/></Types>"
+    wb = "<workbook xmlns='u'><sheets><sheet name='A'/></sheets></workbook>"
+    ext = "<Relationships><Relationship Id='r1' Type='u/hyperlink' Target='http://e' TargetMode='External'/></Relationships>"
+    base = [("[Content_Types].xml", 0, True, ct), ("xl/workbook.xml", 0, True, wb)]
+    packages = {
+        "ok": base, "nowb": base[:1], "macro": [*base, ("xl/vbaProject.bin", 0, True, None)], "ext": [*base, ("_rels/.rels", 0, True, ext)],
+        "encrypted": [*base, ("x", 1, True, None)], "damaged": [*base, ("x", 0, False, None)],
+        "badxml": [base[0], ("xl/workbook.xml", 0, True, "<workbook><a></workbook>")], "entity": [base[0], ("xl/workbook.xml", 0, True, "<a>&b;</a>")],
+    }
+    rows = [(f, part, 10, flags, ok, xml, None) for f, parts in packages.items() for part, flags, ok, xml in parts]
+    rows.append(("unlisted", None, None, None, None, None, "not a package"))
+    out = {r.file: r.error for r in archive_guard(spark.createDataFrame(rows, PART_SCHEMA)).collect()}
+    assert out == {
+        "ok": None, "nowb": "XLSX is missing required package parts: xl/workbook.xml", "macro": "XLSX active content is not supported",
+        "ext": "XLSX external relationships are not supported", "encrypted": "Encrypted XLSX ZIP entries are not supported",
+        "damaged": "XLSX ZIP checksum failed for x", "badxml": "XLSX package is corrupt", "entity": "XLSX package is corrupt",
+        "unlisted": "XLSX package is corrupt",
+    }
+
+
+def test_safe_names(spark):
+    from docaudit.functions.text import safe_filename, safe_upload_name
+
+    df = spark.createDataFrame([("a\\b\\c.pdf",), ("..",), (" \u0000",), ("x/ y.txt ",)], "n string")
+    assert [r[0] for r in df.select(safe_upload_name(F.col("n"))).collect()] == ["c.pdf", "document", "document", "y.txt"]
+    assert [r[0] for r in df.select(safe_filename(F.col("n"))).collect()][3] == "y.txt"
+
+
+def test_money_forms(spark):
+    from docaudit.functions.dates import normalize_money
+
+    known = {
+        "$1,234.00": "1234.00", "1.234,56": "1234.56", "(12.00)": "-12.00", "-€5": "-5", "EUR 7.5": "7.5", "12,5 EUR": "12.5", "1 234,56": "1234.56",
+        "1e5": None, "EUR 5 of 7": None, "1,23.00": None, "--5": None, "(-5)": None, "": None, "total 4": None, None: None, "007": None,
+    }
+    df = spark.createDataFrame([(k,) for k in known], "s string")
+    assert {r.s: r.m for r in df.select("s", normalize_money(F.col("s")).alias("m")).collect()} == known
+
+
+def test_write_envelopes_last_path_wins(spark, tmp_path):
+    from docaudit.plans.jobs import write_envelopes
+
+    df = spark.createDataFrame([("in/a.txt", "{1}"), ("in/a.pdf", "{0}"), ("in/b.csv", "{2}")], "path string, json string")
+    write_envelopes(df, str(tmp_path / "out"))
+    write_envelopes(df, str(tmp_path / "out"))
+    assert {(r.stem, r.json) for r in spark.read.json(str(tmp_path / "out")).collect()} == {("a", "{1}"), ("b", "{2}")}
+
+
+def test_limits_are_checked():
+    import pytest
+
+    for bad in ({"max_pages": 0}, {"max_pages": 101}, {"render_dpi": 71}, {"max_file_bytes": 0}, {"request_timeout_seconds": 601}):
+        with pytest.raises(ValueError):
+            Limits(**bad)
+
+
+def test_checkpoint_folder_must_be_shared(monkeypatch):
+    import pytest
+
+    from docaudit import session
+
+    class Fake:
+        class conf:
+            get = staticmethod(lambda *a: None)
+
+        class sparkContext:
+            master = "yarn"
+            getConf = staticmethod(lambda: Fake.conf)
+
+    with pytest.raises(RuntimeError):
+        session.ensure_checkpoint_dir(Fake)
+
+
+def test_retried_epoch_is_not_doubled(spark, tmp_path):
+    inp, out = tmp_path / "in", str(tmp_path / "out")
+    inp.mkdir()
+    _write(inp, "a.txt", b"first")
+    batch = discover(spark, str(inp))
+    write_epoch(batch, 3, out)
+    write_epoch(batch, 3, out)
+    assert [(r.file_name, r.epoch) for r in spark.read.parquet(out).collect()] == [("a.txt", 3)]
 
 
 def test_incremental_processes_only_new_files(spark, tmp_path):
@@ -106,7 +203,10 @@ def test_incremental_processes_only_new_files(spark, tmp_path):
     assert len({r.epoch for r in rows}) == 2
 
 
-def test_repair_once(spark):
+def test_repair_once(spark, tmp_path):
+    from docaudit.operators.extract import REPAIR_PREFIX
+
+    log = tmp_path / "calls"
     good = json.dumps({
         "document_type": "receipt", "document_id": "R-1", "reference_document_id": None,
         "vendor": {"name": None, "tax_id": None, "address": None}, "customer_name": None,
@@ -118,7 +218,9 @@ def test_repair_once(spark):
     def fake(pdf: pd.DataFrame) -> pd.Series:
         out = []
         for key, parts in zip(pdf["doc_key"], pdf["parts"]):
-            repair = any(p["text"] and p["text"].startswith("SCHEMA REPAIR ONLY") for p in parts)
+            repair = any(p["text"] and p["text"].startswith(REPAIR_PREFIX) for p in parts)
+            with open(log, "a") as f:
+                f.write(f"{key}\n")
             if key == 0:
                 out.append(good)
             elif key == 1:
@@ -138,6 +240,8 @@ def test_repair_once(spark):
     assert (res[1].outcome, res[1].attempts) == ("ok", 2)
     assert (res[2].outcome, res[2].exit_code, res[2].error) == ("schema_error", 5, "total: value_error")
     assert (res[3].outcome, res[3].attempts) == ("provider_error", 1)
+    # one call a document, two for those that a repair was asked for
+    assert sorted(log.read_text().split()) == ["0", "1", "1", "2", "2", "3"]
 
 
 def test_run_batch_isolates_failures(spark, tmp_path):
@@ -146,20 +250,20 @@ def test_run_batch_isolates_failures(spark, tmp_path):
     good = json.dumps({
         "document_type": "invoice", "document_id": None, "reference_document_id": None,
         "vendor": {"name": "V", "tax_id": None, "address": None}, "customer_name": None,
-        "issue_date": "2026-08-10", "due_date": None, "delivery_date": None, "currency": "USD",
-        "line_items": [{"description": "Paper", "quantity": "4", "unit_price": "12.50", "amount": "50.00"}],
-        "subtotal": "50.00", "discount": None, "tax": None, "shipping": None, "total": "50.00",
+        "issue_date": "2025-03-04", "due_date": None, "delivery_date": None, "currency": "GBP",
+        "line_items": [{"description": "Ink", "quantity": "6", "unit_price": "3.25", "amount": "19.50"}],
+        "subtotal": "19.50", "discount": None, "tax": None, "shipping": None, "total": "19.50",
     })
-    _write(tmp_path, "invoice_c.txt", b"Invoice\nPaper 4 x 12.50")
+    _write(tmp_path, "ink.txt", b"Ink 6 x 3.25")
     _write(tmp_path, "other.txt", b"no response for me")
     _write(tmp_path, "bad.pdf", b"corrupt")
-    responses = spark.createDataFrame([("invoice_c.json", good)], "name string, json string")
+    responses = spark.createDataFrame([("ink.json", good)], "name string, json string")
     files = spark.read.format("binaryFile").load(str(tmp_path))
     run = run_batch(files, responses, strict=True)
     out = {r.doc_key.rsplit("/", 1)[-1]: (r.stage, r.error_code) for r in run.outcomes.collect()}
-    assert out == {"invoice_c.txt": ("done", None), "other.txt": ("extract", 4), "bad.pdf": ("load", 3)}
+    assert out == {"ink.txt": ("done", None), "other.txt": ("extract", 4), "bad.pdf": ("load", 3)}
     s = run.summary.collect()[0]
     assert (s.processed, s.failed, s.exit_code) == (1, 2, 4)
     env = run.envelopes.collect()[0].envelope
     assert env.validation.status == "warning" and [i.code for i in env.validation.issues] == ["MISSING_IDENTIFIER"]
-    assert env.source.file_name == "invoice_c.txt" and env.source.page_count == 1
+    assert env.source.file_name == "ink.txt" and env.source.page_count == 1
