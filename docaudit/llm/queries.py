@@ -17,7 +17,7 @@ from docaudit.llm.packing import pack_tokens, packed_digest
 from docaudit.llm.pq_dedup import pq_dedup
 from docaudit.llm.quality import quality
 from docaudit.llm.secrets import scan_secrets, secret_digest
-from docaudit.llm.sql import EXACT_DEDUP_SQL, NGRAM_JOIN_SQL
+from docaudit.llm.sql import EXACT_DEDUP_SQL, NGRAM_JOIN_SQL, PQ_DEDUP_SQL
 from docaudit.session import read_table
 
 #: Tokenizer file of the token queries; any byte-level BPE file with word ends will do.
@@ -87,4 +87,5 @@ def llm_oracle_sql() -> dict[str, str]:
     return {
         "op3_exact_dedup": EXACT_DEDUP_SQL,
         "op5_ngram_join": NGRAM_JOIN_SQL,
+        "op7_pq_dedup": PQ_DEDUP_SQL,
     }

@@ -43,3 +43,23 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
        doc_id = max(doc_id) OVER g AS kept, sha256(norm) AS text_sha256
 FROM n WINDOW g AS (PARTITION BY norm)
 """
+
+#: Cosines of all pairs, and components by recursion (one link below the index's recall would show).
+PQ_DEDUP_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.95
+),
+reach(x, y) AS (
+  SELECT x, y FROM links
+  UNION
+  SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x
+),
+found AS (
+  SELECT v.vec_id, (SELECT count(*) FROM links l WHERE l.x = v.vec_id) AS n_links,
+         least(v.vec_id, coalesce((SELECT min(y) FROM reach r WHERE r.x = v.vec_id), v.vec_id)) AS component_id
+  FROM v
+)
+SELECT vec_id, n_links, component_id, vec_id = component_id AS kept FROM found
+"""
