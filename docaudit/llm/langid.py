@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docaudit.llm.textvec import byte_ngrams, row_chunks, unit_roots
+from docaudit.llm.textvec import byte_ngrams, pack_rows, row_chunks, unit_roots, unpack_rows
 
 DIMS = 1 << 12
 #: About so many training documents in all.
@@ -70,18 +70,17 @@ def features(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
 
 
 def fit(langs: list[str], x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> Model:
-    """Bit classifiers by ridge regression, and each one's accuracy on each language."""
+    """Bit classifiers by ridge regression, and each one's accuracy on each language; ``x`` ends in ones and is scaled in place."""
     codes = codewords(len(langs))
-    ones = np.hstack([x.astype(np.float64), np.ones((len(x), 1))])
-    goal = codes[y].astype(np.float64)
+    goal = codes[y].astype(np.float32)
     share = 1 / np.bincount(y, minlength=len(langs)).clip(1)[y]  # every language counts alike
-    root = np.sqrt(share * len(x) / len(langs))[:, None]
-    a = ones * root
-    if len(a) < a.shape[1]:
-        w = a.T @ np.linalg.solve(a @ a.T + ridge * len(a) * np.eye(len(a)), goal * root)
-    else:
-        w = np.linalg.solve(a.T @ a + ridge * len(a) * np.eye(a.shape[1]), a.T @ (goal * root))
-    right = np.sign(ones @ w) == goal
+    root = np.sqrt(share * len(x) / len(langs)).astype(np.float32)[:, None]
+    x *= root
+    few = len(x) < x.shape[1]
+    gram = (x @ x.T if few else x.T @ x).astype(np.float64)
+    gram[np.diag_indices_from(gram)] += ridge * len(x)
+    w = x.T @ np.linalg.solve(gram, goal * root) if few else np.linalg.solve(gram, x.T @ (goal * root))
+    right = np.sign(x @ w) == goal  # the scale of a row does not turn its sign
     accuracy = np.array([right[y == k].mean(axis=0) if (y == k).any() else np.ones(codes.shape[1]) for k in range(len(langs))]) + 1e-6
     return Model(langs, codes, accuracy / accuracy.sum(axis=1, keepdims=True), w.astype(np.float32))
 
@@ -117,17 +116,15 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, n, x in features(batch.column(1)):
-                packed = [r.tobytes() for r in x.astype(np.float16)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), pa.array(packed, pa.binary())], ["lang", "x"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), pack_rows(x)], ["lang", "x"])
 
-    got = rows.mapInArrow(task, "lang string, x binary").toArrow()
+    # in order of language and features: the same model whatever order the rows arrive in
+    got = rows.mapInArrow(task, "lang string, x binary").orderBy("lang", "x").toArrow()
     if not got.num_rows:
         return None
     place = {k: i for i, k in enumerate(langs)}
-    x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float16).reshape(-1, DIMS).astype(np.float32)
     y = np.array([place[k] for k in got["lang"].to_pylist()])
-    order = np.lexsort((*x[:, :8].T, y))  # the same model whatever order the rows arrive in
-    return fit(langs, x[order], y[order])
+    return fit(langs, unpack_rows(got["x"], DIMS), y)
 
 
 def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", margin: float = MARGIN) -> DataFrame:

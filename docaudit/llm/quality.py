@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docaudit.llm.textvec import byte_ngrams, row_chunks, shingles, unit_roots, word_hashes, word_spans
+from docaudit.llm.textvec import byte_ngrams, pack_rows, row_chunks, shingles, unit_roots, unpack_rows, word_hashes, word_spans
 
 DIMS = 1 << 12
 #: Dimensions for binned quantities, and their weight beside the unit n-gram row.
@@ -171,8 +171,7 @@ def features(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 
 def fit_scorer(x: np.ndarray, y: np.ndarray, rounds: int = 150, rate: float = 4.0, decay: float = 1e-5) -> np.ndarray:
-    """Logistic regression on soft labels by accelerated gradient steps; good and bad count alike."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
+    """Logistic regression on soft labels by accelerated gradient steps; good and bad count alike, ``x`` ends in ones."""
     weight = np.where(y >= 0.5, 0.5 / max((y >= 0.5).sum(), 1), 0.5 / max((y < 0.5).sum(), 1)).astype(np.float32)
     w = ahead = np.zeros(x.shape[1], np.float32)
     for k in range(rounds):
@@ -197,7 +196,7 @@ def _sample_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words, v, x = features(raw, at)
             some = np.flatnonzero(words > 0)
             text = ["".join("01"[c] for c in row) for row in v[some].tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(text, pa.string()), pa.array([r.tobytes() for r in x[some].astype(np.float16)], pa.binary())], ["pattern", "x"])
+            yield pa.RecordBatch.from_arrays([pa.array(text, pa.string()), pack_rows(x[some])], ["pattern", "x"])
 
 
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> tuple[np.ndarray | None, dict[str, float], np.ndarray]:
@@ -215,9 +214,8 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
     got = rows.mapInArrow(_sample_task, "pattern string, x binary").orderBy("pattern", "x").toArrow()
     if not got.num_rows:
         return None, label, chance
-    x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float16).reshape(-1, DIMS + BINNED).astype(np.float32)
     y = np.array([label[p] for p in got["pattern"].to_pylist()], np.float32)
-    return fit_scorer(x, y), label, chance
+    return fit_scorer(unpack_rows(got["x"], DIMS + BINNED), y), label, chance
 
 
 def score(df: DataFrame, scorer: np.ndarray | None, label: dict[str, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

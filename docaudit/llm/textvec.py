@@ -139,3 +139,23 @@ def shingles(words: np.ndarray, at: np.ndarray, k: int = 5) -> tuple[np.ndarray,
     counts = np.zeros(n + 1, np.int64)
     np.cumsum(valid, out=counts[1:])
     return mix(total[valid]), counts[at]
+
+
+def pack_rows(x: np.ndarray) -> pa.Array:
+    """Feature rows as bytes: 16-bit columns and half-precision values of what is not zero."""
+    out = []
+    for row in x:
+        at = np.flatnonzero(row)
+        out.append(at.astype("<u2").tobytes() + row[at].astype("<f2").tobytes())
+    return pa.array(out, pa.binary())
+
+
+def unpack_rows(column: pa.ChunkedArray, dims: int) -> np.ndarray:
+    """The float32 matrix of packed rows with a last column of ones; the one large array that is made."""
+    x = np.zeros((len(column), dims + 1), np.float32)
+    x[:, -1] = 1
+    for i, item in enumerate(column):
+        raw = item.as_buffer()
+        n = raw.size // 4
+        x[i, np.frombuffer(raw, "<u2", n)] = np.frombuffer(raw, "<f2", n, 2 * n)
+    return x
