@@ -86,8 +86,20 @@ def drop_written(spark: SparkSession) -> int:
     return len(paths)
 
 
+#: Bytes of an Arrow batch, so that a Python task's memory does not follow the length of its rows.
+BATCH = {"spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+
+
 def find_package(spark: SparkSession) -> None:
-    """Let Python workers on this host find the package where the driver did; a cluster gets it by --py-files."""
+    """Make a session ready for Python tasks.
+
+    Workers on this host find the package where the driver did (a cluster gets
+    it by --py-files), and batches are bounded in bytes unless the session's own
+    configuration says how.
+    """
+    for key, value in BATCH.items():
+        if not spark.sparkContext.getConf().contains(key):
+            spark.conf.set(key, value)
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[1]))
 
 
