@@ -159,7 +159,7 @@ def _zero_aside(plan):
 
 
 def take_mix(df: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Rows of ``df`` as often as ``mixed`` takes them (0 to REPEATS times), its columns unchanged."""
+    """Rows of ``df`` as often as ``mixed`` takes them (0 to REPEATS times), its columns unchanged; rows that share an id are taken alike."""
     times = (
         mixed.where("taken > 0")
         .groupBy(F.col(id_col).alias("__mix_id"))

@@ -105,22 +105,19 @@ def surviving(a: np.ndarray, b: np.ndarray, need: list[int]) -> tuple[np.ndarray
     return np.concatenate(left), np.concatenate(right)
 
 
-def _sketch(id_col: str):
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, n, words, at in word_chunks(batch.column(1)):
-                grams, at = shingles(words, at)
-                out = [(0, 0, 0, None)] * n
-                for r in np.flatnonzero(np.diff(at)):
-                    own = np.unique(grams[at[r] : at[r + 1]])
-                    out[r] = (*fingerprint(own), len(own), minhash(own).tobytes())
-                h1, h2, size, sig = zip(*out)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, n), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(size, pa.int64()), pa.array(sig, pa.binary())],
-                    ["id", "h1", "h2", "n_shingles", "sig"],
-                )
-
-    return task
+def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for first, n, words, at in word_chunks(batch.column(1)):
+            grams, at = shingles(words, at)
+            out = [(0, 0, 0, None)] * n
+            for r in np.flatnonzero(np.diff(at)):
+                own = np.unique(grams[at[r] : at[r + 1]])
+                out[r] = (*fingerprint(own), len(own), minhash(own).tobytes())
+            h1, h2, size, sig = zip(*out)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).slice(first, n), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(size, pa.int64()), pa.array(sig, pa.binary())],
+                ["id", "h1", "h2", "n_shingles", "sig"],
+            )
 
 
 def _signatures(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -206,6 +203,7 @@ def _verify(need: list[int], threshold: float):
         if not len(a) or not len(b):
             return None
         sig = _signatures(run["sig"])
+        size = np.array([len(s) for s in sets], np.int64)
         links, tied = np.zeros(len(run), np.int64), []
         whole = a[0] == b[0]
         for i in range(0, len(a), 512):
@@ -214,7 +212,6 @@ def _verify(need: list[int], threshold: float):
                 if not len(x):
                     continue
                 both = common_sizes(sets, a[i : i + 512], b[j : j + 512], x, y)
-                size = np.array([len(s) for s in sets], np.int64)
                 joined = size[x] + size[y] - both
                 on = both >= np.ceil(threshold * joined - 1e-9)
                 x, y = x[on], y[on]
@@ -263,7 +260,7 @@ def ngram_join(df: DataFrame, threshold: float = 0.8, tolerance: float = 1e-6, i
     """
     need = needed(threshold, tolerance)
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sketches = cut_lineage(texts.mapInArrow(_sketch(id_col), "id long, h1 long, h2 long, n_shingles long, sig binary"), "sketches")
+    sketches = cut_lineage(texts.mapInArrow(_sketch, "id long, h1 long, h2 long, n_shingles long, sig binary"), "sketches")
     classes = cut_lineage(
         sketches.where("id is not null and n_shingles > 0")
         .groupBy("h1", "h2", "n_shingles", "sig")
