@@ -2,9 +2,10 @@
 
 Money travels as a plain decimal string (``-?(0|[1-9]\\d*)(\\.\\d+)?``, no
 exponent, no ``+``, no leading zeros) of any length.  Rules compute in
-``decimal(18,6)``: a value with more than 12 integer or 6 fraction digits is
-valid but takes no part in arithmetic instead of being rounded silently, and
-``validate.unchecked_money`` names it.
+``decimal(28,12)``, exactly: sums of 2^31 lines fit, and products are taken in
+parts (``product_parts``).  A value with more than 16 integer or 12 fraction
+digits keeps its sign and equality as text (``wide_text``); the sums and
+products it would enter are skipped and ``validate`` names it in an issue.
 
 ``decimal_text`` prints an exact decimal the way Python's ``str(Decimal)``
 does for a given exponent: the scale of a product is the sum of the operand
@@ -18,7 +19,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 PLAIN_DECIMAL = r"\A-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?\z"
-DECIMAL_TYPE = "decimal(18,6)"
+DECIMAL_TYPE = "decimal(28,12)"
 
 
 def is_plain_decimal(s: Column) -> Column:
@@ -31,15 +32,56 @@ def scale_of(s: Column) -> Column:
     return F.when(dot > 0, F.length(s) - dot).otherwise(F.lit(0))
 
 
-# plain decimal with at most 12 integer and 6 fraction digits: fits decimal(18,6) exactly
-BOUNDED_DECIMAL = r"\A-?(?:0|[1-9][0-9]{0,11})(?:\.[0-9]{1,6})?\z"
+# plain decimal with at most 16 integer and 12 fraction digits besides closing zeros: fits decimal(28,12) exactly
+BOUNDED_DECIMAL = r"\A-?(?:0|[1-9][0-9]{0,15})(?:\.[0-9]{1,12}0*)?\z"
 
 
 def to_decimal(s: Column) -> Column:
-    """Exact decimal(18,6) of a valid money string, else null (one regex, then the cast)."""
+    """Exact decimal(28,12) of a valid money string, else null (one regex, then the cast)."""
     return F.when(s.rlike(BOUNDED_DECIMAL), s.try_cast(DECIMAL_TYPE))
 
 
+def wide_text(s: Column) -> Column:
+    """A valid money string that ``to_decimal`` has no value for, without closing zeros of its fraction; else null."""
+    short = F.when(F.instr(s, ".") > 0, F.regexp_replace(s, r"\.?0*\z", "")).otherwise(s)
+    return F.when(~s.rlike(BOUNDED_DECIMAL) & is_plain_decimal(s), short)
+
+
+def product_parts(x: Column, y: Column) -> tuple[Column, Column, Column]:
+    """(negative, integer part, fraction part) of the exact product of two decimal(28,12), as decimal(35,0) and decimal(24,24)."""
+
+    def split(v: Column) -> tuple[Column, Column]:
+        whole = F.floor(F.abs(v)).cast("decimal(16,0)")
+        return whole, (F.abs(v) - whole).cast("decimal(12,12)")
+
+    (xi, xf), (yi, yf) = split(x), split(y)
+    middle = xi * yf + xf * yi
+    above = F.floor(middle).cast("decimal(18,0)")
+    below = (middle - above).cast("decimal(12,12)") + xf * yf
+    carry = F.floor(below).cast("decimal(1,0)")
+    return (x < 0) != (y < 0), (xi * yi + above + carry).cast("decimal(35,0)"), (below - carry).cast("decimal(24,24)")
+
+
+def product_differs(x: Column, y: Column, z: Column, tolerance: Column) -> Column:
+    """|x * y - z| > tolerance, exactly; the tolerance is a decimal(18,6)."""
+    negative, whole, part = product_parts(x, y)
+    signed = lambda v: F.when(negative, -v).otherwise(v)
+    z_whole = F.when(z < 0, F.ceil(z)).otherwise(F.floor(z)).cast("decimal(16,0)")
+    gap = signed(whole) - z_whole
+    rest = signed(part) - (z - z_whole).cast("decimal(12,12)")
+    return F.when(F.abs(gap) >= F.lit(10**13).cast("decimal(14,0)"), F.lit(True)).otherwise(
+        F.abs(gap.try_cast("decimal(13,0)") + rest) > tolerance
+    )
+
+
+def product_text(x: Column, y: Column, scale: Column) -> Column:
+    """``decimal_text`` of the exact product of two decimal(28,12)."""
+    negative, whole, part = product_parts(x, y)
+    nonzero = (x != 0) & (y != 0)
+    fraction = F.substring_index(part.cast("string"), ".", -1)
+    return F.when(x.isNotNull() & y.isNotNull(), _python_text(negative & nonzero, whole.cast("string"), fraction, scale))
+
+
 def decimal_text(value: Column, scale: Column) -> Column:
     """Python ``str(Decimal)`` of ``value`` carried at exponent ``-scale``.
 
@@ -52,6 +94,11 @@ def decimal_text(value: Column, scale: Column) -> Column:
     body = F.regexp_replace(raw, "^-", "")
     int_part = F.substring_index(body, ".", 1)
     frac_raw = F.when(F.instr(body, ".") > 0, F.substring_index(body, ".", -1)).otherwise(F.lit(""))
+    return F.when(value.isNull(), F.lit(None).cast("string")).otherwise(_python_text(negative, int_part, frac_raw, scale))
+
+
+def _python_text(negative: Column, int_part: Column, frac_raw: Column, scale: Column) -> Column:
+    """Python ``str(Decimal)`` at exponent ``-scale`` from the digits before and after the point."""
     frac = F.substring(F.concat(frac_raw, F.repeat(F.lit("0"), scale)), F.lit(1), scale)
     sign = F.when(negative, F.lit("-")).otherwise(F.lit(""))
     plain = F.concat(sign, int_part, F.when(scale > 0, F.concat(F.lit("."), frac)).otherwise(F.lit("")))
@@ -68,9 +115,7 @@ def decimal_text(value: Column, scale: Column) -> Column:
         F.lit("E"),
         (left_digits - 1).cast("string"),
     )
-    return F.when(value.isNull(), F.lit(None).cast("string")).when(
-        left_digits > -6, plain
-    ).otherwise(scientific)
+    return F.when(left_digits > -6, plain).otherwise(scientific)
 
 
 def money_text(d: Column, scale: int) -> Column:

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from docaudit import schema as S
 from docaudit.config import TOLERANCE
 from docaudit.functions.dates import is_canonical_date, parse_date
-from docaudit.functions.money import decimal_text, scale_of, to_decimal
+from docaudit.functions.money import decimal_text, is_plain_decimal, product_differs, product_text, scale_of, to_decimal, wide_text
 from docaudit.functions.text import normalize
 from docaudit.session import cut_lineage
 
@@ -88,7 +88,17 @@ def _issue(
 
 
 def _different(left: Column, right: Column, tolerance: Decimal) -> Column:
-    return F.abs(left - right) > F.lit(tolerance).cast("decimal(18,6)")
+    # not their difference: that of a sum of lines could lose its last digit
+    bound = F.lit(tolerance).cast("decimal(18,6)")
+    return (left > right + bound) | (left < right - bound)
+
+
+def _below(d: Column, wide: Column) -> Column:
+    return F.coalesce(d < 0, wide.startswith("-"))
+
+
+def _above(d: Column, wide: Column) -> Column:
+    return F.coalesce(d > 0, ~wide.startswith("-"))
 
 
 def _collect_issues(df: DataFrame, candidates: list[Column]) -> DataFrame:
@@ -122,6 +132,9 @@ def prepare_lines(lines: DataFrame, headers: DataFrame | None = None) -> DataFra
         to_decimal(F.col("quantity")).alias("q"),
         to_decimal(F.col("unit_price")).alias("u"),
         to_decimal(F.col("amount")).alias("a"),
+        wide_text(F.col("quantity")).alias("qw"),
+        wide_text(F.col("unit_price")).alias("uw"),
+        wide_text(F.col("amount")).alias("aw"),
     )
 
 
@@ -138,7 +151,7 @@ def reversal_pairs(prepared: DataFrame, block_size: int = 4096) -> DataFrame:
     negative and one positive line.
     """
     eligible = prepared.filter(
-        F.col("description").isNotNull() & F.col("a").isNotNull() & (F.col("a") != 0)
+        F.col("description").isNotNull() & F.coalesce(F.col("a") != 0, F.col("aw").isNotNull())
     ).select(
         "doc_key",
         "idx",
@@ -147,8 +160,9 @@ def reversal_pairs(prepared: DataFrame, block_size: int = 4096) -> DataFrame:
             F.abs("q").alias("q"),
             F.abs("u").alias("u"),
             F.abs("a").alias("a"),
+            *[F.ltrim(F.col(w), F.lit("-")).alias(w) for w in ("qw", "uw", "aw")],
         ).alias("rk"),
-        (F.col("a") < 0).alias("neg"),
+        _below(F.col("a"), F.col("aw")).alias("neg"),
         F.floor(F.col("idx") / F.lit(block_size)).cast("int").alias("blk"),
     )
     grp = ["doc_key", "rk", "neg"]
@@ -186,7 +200,7 @@ def reversal_pairs(prepared: DataFrame, block_size: int = 4096) -> DataFrame:
 
 def duplicate_lines(prepared: DataFrame, block_size: int = 4096) -> DataFrame:
     """(doc_key, idx) of lines that equal the line before: lag inside idx blocks, a join for their borders."""
-    value = F.struct("description", "q", "u", "a")
+    value = F.struct("description", "q", "u", "a", "qw", "uw", "aw")
     rows = prepared.select("doc_key", "idx", value.alias("v"), F.floor(F.col("idx") / F.lit(block_size)).cast("int").alias("blk"))
     before = Window.partitionBy("doc_key", "blk").orderBy("idx")
     inside = rows.select(
@@ -215,11 +229,11 @@ def amount_issues(prepared: DataFrame, tolerance: Decimal) -> DataFrame:
         prepared,
         [
             F.when(
-                q.isNotNull() & u.isNotNull() & a.isNotNull() & _different(q * u, a, tolerance),
+                q.isNotNull() & u.isNotNull() & a.isNotNull() & product_differs(q, u, a, F.lit(tolerance).cast("decimal(18,6)")),
                 _issue(
                     9, i, 0, "LINE_AMOUNT_MISMATCH", "warning", S.MSG_LINE_AMOUNT_MISMATCH,
                     F.concat(F.lit("line_items."), i.cast("string"), F.lit(".amount")),
-                    decimal_text(q * u, scale_of(F.col("quantity")) + scale_of(F.col("unit_price"))),
+                    product_text(q, u, scale_of(F.col("quantity")) + scale_of(F.col("unit_price"))),
                     F.col("amount"),
                 ),
             )
@@ -232,7 +246,7 @@ def negative_line_issues(prepared: DataFrame, pairs: DataFrame) -> DataFrame:
     values = (("quantity", "q"), ("unit_price", "u"), ("amount", "a"))
     below = F.lit(False)
     for _, c in values:
-        below = below | F.coalesce(F.col(c) < 0, F.lit(False))
+        below = below | F.coalesce(_below(F.col(c), F.col(c + "w")), F.lit(False))
     halves = pairs.select("doc_key", F.col("neg_idx").alias("idx"))
     rows = prepared.filter(~F.coalesce(F.col("is_credit"), F.lit(False)) & below).join(halves, ["doc_key", "idx"], "left_anti")
     i = F.col("idx")
@@ -240,7 +254,7 @@ def negative_line_issues(prepared: DataFrame, pairs: DataFrame) -> DataFrame:
         rows,
         [
             F.when(
-                F.col(c) < 0,
+                _below(F.col(c), F.col(c + "w")),
                 _issue(
                     10, i, sub, "NEGATIVE_VALUE", "error", S.MSG_NEGATIVE_VALUE,
                     F.concat(F.lit("line_items."), i.cast("string"), F.lit("." + name)),
@@ -276,19 +290,20 @@ def line_aggregates(prepared: DataFrame, pairs: DataFrame) -> DataFrame:
 
     A pair has one positive and one negative amount, so it lowers both counts by one.
     """
-    a = F.col("a")
+    a, aw = F.col("a"), F.col("aw")
     sums = prepared.groupBy("doc_key").agg(
         F.count(F.lit(1)).alias("n_lines"),
-        F.count_if(a.isNull()).alias("n_amount_null"),
+        F.count_if(a.isNull() & aw.isNull()).alias("n_amount_null"),
+        F.count_if(aw.isNotNull()).alias("n_amount_wide"),
         F.sum(a).alias("amount_sum"),
         F.max(scale_of(F.col("amount"))).alias("amount_scale"),
-        F.count_if(a > 0).alias("n_above"),
-        F.count_if(a < 0).alias("n_below"),
+        F.count_if(_above(a, aw)).alias("n_above"),
+        F.count_if(_below(a, aw)).alias("n_below"),
     )
     paired = pairs.groupBy("doc_key").agg(F.count(F.lit(1)).alias("n_pairs"))
     n = F.coalesce(F.col("n_pairs"), F.lit(0))
     return sums.join(paired, "doc_key", "left").select(
-        "doc_key", "n_lines", "n_amount_null", "amount_sum", "amount_scale",
+        "doc_key", "n_lines", "n_amount_null", "n_amount_wide", "amount_sum", "amount_scale",
         (F.col("n_above") - n).alias("core_pos"), (F.col("n_below") - n).alias("core_neg"),
     )
 
@@ -302,16 +317,17 @@ def header_stage(headers: DataFrame, line_agg: DataFrame) -> DataFrame:
         "document_type",
         *S.MONEY_FIELDS,
         *[to_decimal(F.col(f)).alias(f"{f}_d") for f in S.MONEY_FIELDS],
+        *[wide_text(F.col(f)).alias(f"{f}_w") for f in S.MONEY_FIELDS],
     )
     j = h.join(line_agg, "doc_key", "left")
     n_lines = F.coalesce(F.col("n_lines"), F.lit(0))
     is_credit = F.col("document_type") == "credit_note"
-    sub, tot = F.col("subtotal_d"), F.col("total_d")
+    sub, tot = [(F.col(f"{f}_d"), F.col(f"{f}_w")) for f in ("subtotal", "total")]
     def flag(cond: Column) -> Column:
         return F.coalesce(cond.cast("int"), F.lit(0))
 
-    n_pos = F.coalesce(F.col("core_pos"), F.lit(0)) + flag(sub > 0) + flag(tot > 0)
-    n_neg = F.coalesce(F.col("core_neg"), F.lit(0)) + flag(sub < 0) + flag(tot < 0)
+    n_pos = F.coalesce(F.col("core_pos"), F.lit(0)) + flag(_above(*sub)) + flag(_above(*tot))
+    n_neg = F.coalesce(F.col("core_neg"), F.lit(0)) + flag(_below(*sub)) + flag(_below(*tot))
     mixed = (n_pos > 0) & (n_neg > 0)
     no_polarity = (n_pos == 0) & (n_neg == 0)
     positive = n_pos > 0
@@ -319,9 +335,8 @@ def header_stage(headers: DataFrame, line_agg: DataFrame) -> DataFrame:
         F.array(
             *[
                 F.when(
-                    F.col(f"{f}_d").isNotNull()
-                    & (F.col(f"{f}_d") != 0)
-                    & ((F.col(f"{f}_d") > 0) != positive),
+                    F.coalesce(F.col(f"{f}_d") != 0, F.col(f"{f}_w").isNotNull())
+                    & (_above(F.col(f"{f}_d"), F.col(f"{f}_w")) != positive),
                     F.lit(f),
                 )
                 for f in ("discount", "tax", "shipping")
@@ -334,8 +349,8 @@ def header_stage(headers: DataFrame, line_agg: DataFrame) -> DataFrame:
     profile_known = ~mixed & ~no_polarity
     incomplete = F.filter(
         F.array(
-            F.when(sub.isNull(), F.lit("subtotal")),
-            F.when(tot.isNull(), F.lit("total")),
+            F.when(F.coalesce(sub[0].cast("string"), sub[1]).isNull(), F.lit("subtotal")),
+            F.when(F.coalesce(tot[0].cast("string"), tot[1]).isNull(), F.lit("total")),
             F.when((n_lines > 0) & (F.col("n_amount_null") > 0), F.lit("line_items.amount")),
         ),
         lambda x: x.isNotNull(),
@@ -401,7 +416,7 @@ def header_only_issues(headers: DataFrame, codes: frozenset[str] | None = None)
     for sub, f in enumerate(S.MONEY_FIELDS):
         candidates.append(
             F.when(
-                ~F.coalesce(is_credit, F.lit(False)) & (to_decimal(c(f)) < 0),
+                ~F.coalesce(is_credit, F.lit(False)) & _below(to_decimal(c(f)), wide_text(c(f))),
                 _issue(10, -1, sub, "NEGATIVE_VALUE", "error", S.MSG_NEGATIVE_VALUE, f,
                        S.EXPECTED_NON_NEGATIVE, c(f)),
             )
@@ -439,6 +454,7 @@ def header_issues(stage: DataFrame, tolerance: Decimal) -> DataFrame:
     ]
     sub_d, zero = c("subtotal_d"), F.lit(0).cast("decimal(18,6)")
     adjustments = [c(f"{f}_d") for f in ("discount", "tax", "shipping")]
+    no_wide = F.coalesce(*[c(f"{f}_w") for f in ("discount", "tax", "shipping")]).isNull()
     expected_total = (
         sub_d - F.coalesce(adjustments[0], zero) + F.coalesce(adjustments[1], zero)
         + F.coalesce(adjustments[2], zero)
@@ -453,14 +469,14 @@ def header_issues(stage: DataFrame, tolerance: Decimal) -> DataFrame:
     )
     candidates += [
         F.when(
-            c("can_check") & sub_d.isNotNull() & (c("n_lines_") > 0) & (c("n_amount_null") == 0)
+            c("can_check") & sub_d.isNotNull() & (c("n_lines_") > 0) & (c("n_amount_null") == 0) & (c("n_amount_wide") == 0)
             & _different(c("amount_sum"), sub_d, tolerance),
             _issue(12, -1, 0, "SUBTOTAL_MISMATCH", "error", S.MSG_SUBTOTAL_MISMATCH, "subtotal",
                    decimal_text(c("amount_sum"), F.greatest(F.lit(0), c("amount_scale"))),
                    c("subtotal")),
         ),
         F.when(
-            c("can_check") & sub_d.isNotNull() & c("total_d").isNotNull()
+            c("can_check") & sub_d.isNotNull() & c("total_d").isNotNull() & no_wide
             & _different(expected_total, c("total_d"), tolerance),
             _issue(13, -1, 0, "TOTAL_MISMATCH", "error", S.MSG_TOTAL_MISMATCH, "total",
                    decimal_text(expected_total, total_scale), c("total")),
@@ -480,15 +496,15 @@ def mixed_credit_issues(stage: DataFrame, prepared: DataFrame, pairs: DataFrame)
         "doc_key",
         F.filter(
             F.array(
-                F.when(F.col("subtotal_d") != 0, F.lit("subtotal")),
-                F.when(F.col("total_d") != 0, F.lit("total")),
+                F.when(F.coalesce(F.col("subtotal_d") != 0, F.col("subtotal_w").isNotNull()), F.lit("subtotal")),
+                F.when(F.coalesce(F.col("total_d") != 0, F.col("total_w").isNotNull()), F.lit("total")),
             ),
             lambda x: x.isNotNull(),
         ).alias("head_fields"),
     )
     halves = pairs.select("doc_key", F.explode(F.array("neg_idx", "pos_idx")).alias("idx"))
     core_lines = (
-        prepared.filter(F.col("is_credit") & F.col("a").isNotNull() & (F.col("a") != 0))
+        prepared.filter(F.col("is_credit") & F.coalesce(F.col("a") != 0, F.col("aw").isNotNull()))
         .select("doc_key", "idx")
         .join(mixed.select("doc_key"), "doc_key", "left_semi")
         .join(halves, ["doc_key", "idx"], "left_anti")
@@ -570,11 +586,29 @@ def nested_validation(issues: DataFrame, status: DataFrame) -> DataFrame:
     )
 
 
+def unchecked_issues(headers: DataFrame, prepared: DataFrame) -> DataFrame:
+    """UNCHECKED_MONEY: valid values beyond decimal(28,12), left out of sums and products."""
+
+    def issue(name: str, sub: int, line: Column | int, field: Column | str, wide: Column) -> Column:
+        made = _issue(15, line, sub, "UNCHECKED_MONEY", "warning", S.MSG_UNCHECKED_MONEY, field, S.EXPECTED_MONEY_DIGITS, F.col(name))
+        return F.when(wide.isNotNull(), made)
+
+    head = _collect_issues(headers, [issue(f, k, -1, f, wide_text(F.col(f))) for k, f in enumerate(S.MONEY_FIELDS)])
+    i = F.col("idx")
+    of_line = lambda f: F.concat(F.lit("line_items."), i.cast("string"), F.lit("." + f))
+    names = (("quantity", "qw"), ("unit_price", "uw"), ("amount", "aw"))
+    return head.unionByName(_collect_issues(prepared, [issue(f, k, i, of_line(f), F.col(w)) for k, (f, w) in enumerate(names)]))
+
+
+#: At most 12 integer and 6 fraction digits.
+NARROW_DECIMAL = r"\A-?(?:0|[1-9][0-9]{0,11})(?:\.[0-9]{1,6})?\z"
+
+
 def unchecked_money(headers: DataFrame, lines: DataFrame) -> DataFrame:
-    """(doc_key, field) of money values that are valid but beyond the rules' arithmetic range, decimal(18,6)."""
+    """(doc_key, field) of valid money values beyond decimal(18,6); the rules check those within decimal(28,12) and name the rest in UNCHECKED_MONEY."""
 
     def beyond(df: DataFrame, fields: tuple[str, ...], name) -> DataFrame:
-        out = F.filter(F.array(*[F.when(F.col(f).isNotNull() & to_decimal(F.col(f)).isNull(), name(f)) for f in fields]), lambda x: x.isNotNull())
+        out = F.filter(F.array(*[F.when(is_plain_decimal(F.col(f)) & ~F.col(f).rlike(NARROW_DECIMAL), name(f)) for f in fields]), lambda x: x.isNotNull())
         return df.select("doc_key", F.explode(out).alias("field"))
 
     line = lambda f: F.concat(F.lit("line_items."), F.col("idx").cast("string"), F.lit("." + f))
@@ -636,6 +670,8 @@ def validate(
         parts.append(duplicate_issues(duplicate_lines(prepared, block_size)))
     if any_of(frozenset(("NEGATIVE_VALUE",))):
         parts.append(negative_line_issues(prepared, pairs))
+    if any_of(frozenset(("UNCHECKED_MONEY",))):
+        parts.append(unchecked_issues(headers, prepared))
     if notices is not None:
         parts.append(notice_issues(notices))
     issues = parts[0]
