@@ -12,6 +12,8 @@ Kinds, leftmost and not overlapping within a kind: ``assign`` (a name such as
 password or token, = or :, and 6 or more value characters), ``access`` (AKIA
 and capitals or digits, 20 or more in all), ``hex`` (24 or more of 0-9a-f).
 
+Compressed data is looked for at any place of a decoded layer.
+
 Rows are independent; a task holds one batch of texts.  The decoded size of one
 compressed layer is limited to ``max_layer`` bytes against decompression bombs;
 ``n_unscanned`` counts layers beyond it, so none goes by unseen.
@@ -45,8 +47,13 @@ ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa
 #: 16 base64 characters are the 12 bytes of the shortest finding.
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}")
 PRINTABLE = re.compile(rb"[\t\n\r\x20-\x7e]{12,}")
-#: First bytes of gzip, bzip2, xz and Zstandard data; zlib's two bytes are checked by rule.
+#: Escapes of one character, as printed bytes and JSON have them; read only in search of compressed data.
+SHORT = re.compile(ESCAPE.pattern + r"""|\\([abfnrtv0\\'"/])""")
+SHORT_CHARS = dict(zip("abfnrtv0\\'\"/", "\a\b\f\n\r\t\v\0\\'\"/"))
+#: First bytes of gzip, bzip2, xz and Zstandard data, and the two of zlib (window size, check of both, no dictionary).
 MAGIC = (b"\x1f\x8b\x08", b"BZh", b"\xfd7zXZ\x00", b"\x28\xb5\x2f\xfd")
+_ZLIB = [re.escape(bytes((c, f))) for c in range(8, 128, 16) for f in range(256) if (c << 8 | f) % 31 == 0 and not f & 32]
+START = re.compile(b"|".join([re.escape(MAGIC[0]), rb"BZh[1-9](?:1AY&SY|\x17rE8P\x90)", *map(re.escape, MAGIC[2:]), *_ZLIB]), re.DOTALL)
 MAX_LAYER = 64 << 20
 
 
@@ -123,78 +130,111 @@ def _escape(m: re.Match) -> tuple[str | None, int]:
     return (chr(code), m.end() - m.start()) if code < 0x110000 and not 0xD800 <= code < 0xE000 else (None, 0)
 
 
-def _compressed(data: bytes) -> bool:
-    return data.startswith(MAGIC) or (len(data) > 8 and data[0] & 15 == 8 and data[0] >> 4 < 8 and (data[0] << 8 | data[1]) % 31 == 0 and not data[1] & 32)
-
-
-def unpack(data: bytes, most: int) -> bytes | None:
-    """Decompressed bytes, as far as they are sound; None beyond ``most`` bytes; empty if it was no such data."""
-    if data.startswith(MAGIC[0]) or not data.startswith(MAGIC):
-        tool = zlib.decompressobj(47)  # gzip or zlib
-    elif data.startswith(MAGIC[3]):
-        tool = zstandard.ZstdDecompressor().decompressobj()
-    else:
-        tool = bz2.BZ2Decompressor() if data.startswith(MAGIC[1]) else lzma.LZMADecompressor()
-    out, size = [], 0
-    try:
-        if isinstance(tool, (bz2.BZ2Decompressor, lzma.LZMADecompressor)):
-            got = tool.decompress(data, most + 1)
-            return None if len(got) > most else got
-        for at in range(0, len(data), 4096):  # in steps, so that a bomb is noticed early
-            out.append(tool.decompress(data[at : at + 4096]))
-            size += len(out[-1])
-            if size > most:
-                return None
-    except (zlib.error, zstandard.ZstdError, OSError, EOFError, lzma.LZMAError, ValueError):
-        pass
-    return b"".join(out)
+def _short(m: re.Match) -> tuple[str | None, int]:
+    return (SHORT_CHARS[m[7]], 2) if m[7] else _escape(m)
+
+
+class Stream:
+    """Compressed data from ``start`` of ``data`` on: the chunks it unpacks to, then its ``end`` and whether it broke off (``open``) there or is ``sound``."""
+
+    def __init__(self, data: bytes, start: int):
+        self.data, self.start, self.end, self.open, self.sound = data, start, start + 1, False, False
+
+    def _kind(self, at: int) -> int:
+        return next((k for k, magic in enumerate(MAGIC) if self.data.startswith(magic, at)), -1)
+
+    def _member(self, kind: int, at: int) -> Iterator[bytes]:
+        """One member; a small step first, since most that only look like zlib data fail at once."""
+        tool = zstandard.ZstdDecompressor().decompressobj() if kind == 3 else bz2.BZ2Decompressor() if kind == 1 else lzma.LZMADecompressor() if kind == 2 else zlib.decompressobj(47)
+        step = 64
+        while at < len(self.data) and not tool.eof:
+            part = self.data[at : at + step]
+            at += len(part)
+            step = 32 if kind == 3 else 4096  # Zstandard objects have no bound but that of their input
+            if kind in (1, 2):
+                yield tool.decompress(part, 1 << 20)
+                while not tool.eof and not tool.needs_input:
+                    yield tool.decompress(b"", 1 << 20)
+            elif kind == 3:
+                yield tool.decompress(part)
+            else:
+                yield (got := tool.decompress(part, 1 << 20))
+                while not tool.eof and (tool.unconsumed_tail or len(got) == 1 << 20):
+                    yield (got := tool.decompress(tool.unconsumed_tail, 1 << 20))
+        self.open = not tool.eof
+        self.end = at - len(tool.unused_data)
+
+    def __iter__(self) -> Iterator[bytes]:
+        try:
+            yield from self._member(self._kind(self.start), self.start)
+            self.sound = not self.open
+        except (zlib.error, zstandard.ZstdError, OSError, EOFError, lzma.LZMAError, ValueError):
+            self.open = False  # what was sound has been given
+
+
+def _unpacked(data: bytes, layer: Layer, start: np.ndarray | None, end: np.ndarray | None, most: int, lost: list[int], taken: list[tuple[int, int]]) -> Iterator[Layer]:
+    """Layers of what ``data`` holds compressed, at any place; byte i came from characters start[i] to end[i] - 1 of the layer (None: i)."""
+    at = 0
+    while (m := START.search(data, at)) is not None:
+        s = m.start()
+        extent, out, size = Stream(data, s), [], 0
+        for part in extent:
+            size += len(part)
+            if size <= most:
+                out.append(part)
+        stop = extent.end if extent.sound or extent.open else len(data)
+        if size > most:
+            lost[0] += 1
+        elif size >= 12:
+            lo, hi = layer.span(int(s if start is None else start[s]), int(stop if end is None else end[stop - 1]))
+            yield Layer(b"".join(out).decode("latin-1"), lo, hi)
+        if extent.sound:
+            taken.append((s, extent.end))
+        at = max(extent.end if extent.sound else 0, s + 1)
 
 
 def _bytes_layers(data: bytes, layer: Layer, start: np.ndarray, end: np.ndarray, most: int, lost: list[int]) -> Iterator[Layer]:
-    """Layers of decoded bytes: what they unpack to, or their printable runs."""
-    if _compressed(data):
-        got = unpack(data, most)
-        if got is None:
-            lost[0] += 1
-        elif got:
-            lo, hi = layer.span(int(start[0]), int(end[-1]))
-            yield Layer(got.decode("latin-1"), lo, hi)
-            return
-    for m in PRINTABLE.finditer(data):
-        yield layer.part(m[0].decode("ascii"), start[m.start() : m.end()], end[m.start() : m.end()])
+    """Layers of decoded bytes: what they unpack to, and the printable runs of the rest."""
+    taken: list[tuple[int, int]] = []
+    yield from _unpacked(data, layer, start, end, most, lost, taken)
+    at = 0
+    for lo, hi in [*taken, (len(data), len(data))]:
+        for m in PRINTABLE.finditer(data, at, lo):
+            yield layer.part(m[0].decode("ascii"), start[m.start() : m.end()], end[m.start() : m.end()])
+        at = hi
+
+
+def _base64_run(layer: Layer, body: str, index: np.ndarray, most: int, lost: list[int]) -> Iterator[Layer]:
+    """Layers of base64 text; its character i stands at index[i] of the layer."""
+    body = body.replace("-", "+").replace("_", "/")
+    for shift in range(4):  # what stands before the data may be of its alphabet too
+        own = body[shift:]
+        keep = len(own) - (len(own) % 4 == 1)
+        if keep < 16:
+            break
+        data = binascii.a2b_base64(own[:keep] + "=" * (-keep % 4))
+        if PRINTABLE.search(data) or START.search(data):
+            k = np.arange(len(data))
+            yield from _bytes_layers(data, layer, index[shift + k * 4 // 3], index[shift + (k * 4 + 4 + 2) // 3 - 1] + 1, most, lost)
 
 
 def _base64(layer: Layer, most: int, lost: list[int]) -> Iterator[Layer]:
     for m in BASE64.finditer(layer.text):
-        body = m[0].replace("-", "+").replace("_", "/")
-        for shift in range(4):  # what stands before the data may be of its alphabet too
-            own = body[shift:]
-            keep = len(own) - (len(own) % 4 == 1)
-            if keep < 16:
-                break
-            data = binascii.a2b_base64(own[:keep] + "=" * (-keep % 4))
-            if PRINTABLE.search(data) or _compressed(data):
-                k = np.arange(len(data))
-                at = m.start() + shift
-                yield from _bytes_layers(data, layer, at + k * 4 // 3, at + (k * 4 + 4 + 2) // 3, most, lost)
+        yield from _base64_run(layer, m[0], np.arange(m.start(), m.end()), most, lost)
 
 
 def unwrap(layer: Layer, raw: bytes, most: int, lost: list[int]) -> Iterator[Layer]:
     """The layers one decoding below."""
     if b"%" in raw and (got := _in_place(layer, PERCENT, _percent)):
         yield got
-        for m in PERCENT.finditer(layer.text):
-            data = bytes.fromhex(m[0].replace("%", ""))
-            if _compressed(data):
-                k = m.start() + 3 * np.arange(len(data))
-                yield from _bytes_layers(data, layer, k, k + 3, most, lost)
     if (b"\\" in raw or b"&#" in raw) and (got := _in_place(layer, ESCAPE, _escape)):
         yield got
+        if b"\\" in raw and (got := _in_place(layer, SHORT, _short)):
+            yield from _unpacked(got.text.encode("latin-1", "replace"), got, None, None, most, lost, [])
     if b"x" * 16 in raw.translate(_B64_RUN):
         yield from _base64(layer, most, lost)
-    if isinstance(layer.lo, int) and layer.text and _compressed(data := layer.text.encode("latin-1", "replace")):
-        zero = np.zeros(1, np.int64)
-        yield from _bytes_layers(data, layer, zero, zero + 1, most, lost)
+    if layer.lo is not None:
+        yield from _unpacked(layer.text.encode("latin-1", "replace"), layer, None, None, most, lost, [])
 
 
 def scan(text: str, max_layer: int = MAX_LAYER) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int, int]:
@@ -202,9 +242,12 @@ def scan(text: str, max_layer: int = MAX_LAYER) -> tuple[list[tuple[int, int, in
     raw = text.encode("utf-8", "surrogatepass")
     base = sorted(find(text, raw))
     found, seen, lost = set(base), set(), [0]
-    work = list(unwrap(Layer(text), raw, max_layer, lost))
-    while work:
-        layer = work.pop()
+    work = [unwrap(Layer(text), raw, max_layer, lost)]
+    while work:  # the innermost decoding first, one layer at a time
+        layer = next(work[-1], None)
+        if layer is None:
+            work.pop()
+            continue
         raw = layer.text.encode("utf-8", "surrogatepass")
         key = (hashlib.sha1(raw).digest(), layer.span(0, len(layer.text)))
         if key in seen:
@@ -213,7 +256,7 @@ def scan(text: str, max_layer: int = MAX_LAYER) -> tuple[list[tuple[int, int, in
         for start, kind, end in find(layer.text, raw):
             lo, hi = layer.span(start, end)
             found.add((lo, kind, hi))
-        work += unwrap(layer, raw, max_layer, lost)
+        work.append(unwrap(layer, raw, max_layer, lost))
     return base, sorted(found), len(seen), lost[0]
 
 

@@ -1,9 +1,15 @@
 import base64
+import bz2
 import gzip
+import lzma
+import random
 import re
 import zlib
 from urllib.parse import quote
 
+import pytest
+import zstandard
+
 from docaudit.llm.secrets import scan, scan_secrets, secret_digest
 
 SECRET = "password = hunter2hunter2"
@@ -61,6 +67,32 @@ def test_nothing_in_prose_and_bomb_is_counted():
     assert scan(bomb, max_layer=1 << 20)[3] >= 1
 
 
+PACKERS = (gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.ZstdCompressor().compress)
+
+
+def noise(n):
+    return bytes(random.Random(n).choices(b"ghijklmnopqrstuvwxyz ,", k=n))
+
+
+def hidden(text):
+    base, found, _, lost = scan(text)
+    assert not base and not lost
+    return {(s, e) for s, k, e in found if k == 0}
+
+
+@pytest.mark.parametrize("pack", PACKERS)
+def test_compressed_data_at_any_place(pack):
+    data = pack(SECRET.encode())
+    b64 = base64.b64encode(data).decode()
+    for own in (
+        "".join(f"\\x{b:02x}" for b in data), "".join(f"\\u{b:04x}" for b in data), "".join(f"&#{b};" for b in data),
+        repr(pack(SECRET.encode() + noise(300)))[2:-1], quote(data), quote(data, safe=""),
+    ):
+        assert any(2 <= s and e <= 2 + len(own) and e - s > len(own) // 2 for s, e in hidden(f"A {own}")), own
+    for prefix in ("path/to/", "blob_", "abc", "some/longer/path/x/"):
+        assert hidden(f"A {prefix}{b64} end"), prefix
+
+
 def test_query_edges(spark):
     rows = [(1, None, "x"), (2, "", "x"), (3, SECRET, None), (3, SECRET, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, base string")
