@@ -12,7 +12,8 @@ Kinds, leftmost and not overlapping within a kind: ``assign`` (a name such as
 password or token, = or :, and 6 or more value characters), ``access`` (AKIA
 and capitals or digits, 20 or more in all), ``hex`` (24 or more of 0-9a-f).
 
-Compressed data is looked for at any place of a decoded layer.
+Compressed data is looked for at any place of a decoded layer.  Base64 runs go on
+over line breaks.
 
 Rows are independent; a task holds one batch of texts.  The decoded size of one
 compressed layer is limited to ``max_layer`` bytes against decompression bombs;
@@ -46,6 +47,8 @@ PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 #: 16 base64 characters are the 12 bytes of the shortest finding.
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}")
+#: The same over line breaks; the last line may be short.
+BASE64_LINES = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]{16,})*(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]{1,15}(?![A-Za-z0-9+/_-]))?")
 PRINTABLE = re.compile(rb"[\t\n\r\x20-\x7e]{12,}")
 #: Escapes of one character, as printed bytes and JSON have them; read only in search of compressed data.
 SHORT = re.compile(ESCAPE.pattern + r"""|\\([abfnrtv0\\'"/])""")
@@ -221,6 +224,12 @@ def _base64_run(layer: Layer, body: str, index: np.ndarray, most: int, lost: lis
 def _base64(layer: Layer, most: int, lost: list[int]) -> Iterator[Layer]:
     for m in BASE64.finditer(layer.text):
         yield from _base64_run(layer, m[0], np.arange(m.start(), m.end()), most, lost)
+    if "\n" in layer.text:
+        for m in BASE64_LINES.finditer(layer.text):
+            if "\n" in m[0]:
+                chars = np.frombuffer(m[0].encode("ascii"), np.uint8)
+                index = np.flatnonzero(chars > 32)
+                yield from _base64_run(layer, chars[index].tobytes().decode("ascii"), index + m.start(), most, lost)
 
 
 def unwrap(layer: Layer, raw: bytes, most: int, lost: list[int]) -> Iterator[Layer]:

@@ -93,6 +93,16 @@ def test_compressed_data_at_any_place(pack):
         assert hidden(f"A {prefix}{b64} end"), prefix
 
 
+@pytest.mark.parametrize("pack", PACKERS)
+def test_base64_over_line_breaks(pack):
+    for data in (noise(40) + SECRET.encode() + noise(200), pack(noise(400) + SECRET.encode()), pack(base64.encodebytes(pack(noise(400) + SECRET.encode())))):
+        for columns in (64, 76):
+            for brk in ("\n", "\r\n", " \n  "):
+                code = base64.b64encode(data).decode()
+                own = brk.join(code[i : i + columns] for i in range(0, len(code), columns))
+                assert any(6 <= s and e <= 6 + len(own) for s, e in hidden(f"begin\n{own}\nend")), (columns, brk)
+
+
 def test_query_edges(spark):
     rows = [(1, None, "x"), (2, "", "x"), (3, SECRET, None), (3, SECRET, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, base string")
