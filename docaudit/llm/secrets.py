@@ -12,8 +12,8 @@ Kinds, leftmost and not overlapping within a kind: ``assign`` (a name such as
 password or token, = or :, and 6 or more value characters), ``access`` (AKIA
 and capitals or digits, 20 or more in all), ``hex`` (24 or more of 0-9a-f).
 
-Compressed data is looked for at any place of a decoded layer.  Base64 runs go on
-over line breaks.
+Compressed data is looked for at any place of a decoded layer; members or frames
+that follow each other are one stream.  Base64 runs go on over line breaks.
 
 Rows are independent; a task holds one batch of texts.  The decoded size of one
 compressed layer is limited to ``max_layer`` bytes against decompression bombs;
@@ -168,12 +168,29 @@ class Stream:
         self.end = at - len(tool.unused_data)
 
     def __iter__(self) -> Iterator[bytes]:
+        kind, at = self._kind(self.start), self.start
         try:
-            yield from self._member(self._kind(self.start), self.start)
-            self.sound = not self.open
+            while True:
+                yield from self._member(kind, at)
+                self.sound = self.sound or not self.open
+                if self.open or kind < 0:
+                    return
+                at = self._next(kind)
+                if self._kind(at) != kind:
+                    return
         except (zlib.error, zstandard.ZstdError, OSError, EOFError, lzma.LZMAError, ValueError):
             self.open = False  # what was sound has been given
 
+    def _next(self, kind: int) -> int:
+        """Where the next member may begin: behind zero bytes, or Zstandard's skippable frames."""
+        at = self.end
+        if kind in (0, 2):
+            while self.data.startswith(b"\0", at):
+                at += 1
+        while kind == 3 and 0x50 <= (self.data[at : at + 1] or b"\0")[0] <= 0x5F and self.data.startswith(b"\x2a\x4d\x18", at + 1):
+            at += 8 + int.from_bytes(self.data[at + 4 : at + 8], "little")
+        return at
+
 
 def _unpacked(data: bytes, layer: Layer, start: np.ndarray | None, end: np.ndarray | None, most: int, lost: list[int], taken: list[tuple[int, int]]) -> Iterator[Layer]:
     """Layers of what ``data`` holds compressed, at any place; byte i came from characters start[i] to end[i] - 1 of the layer (None: i)."""

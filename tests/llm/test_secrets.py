@@ -103,6 +103,15 @@ def test_base64_over_line_breaks(pack):
                 assert any(6 <= s and e <= 6 + len(own) for s, e in hidden(f"begin\n{own}\nend")), (columns, brk)
 
 
+@pytest.mark.parametrize("pack", PACKERS)
+def test_all_members_and_what_follows(pack):
+    own = SECRET.encode()
+    for data in (pack(noise(50)) + pack(own), pack(b"x " + own[:12]) + pack(own[12:]), pack(noise(50)) + b"\x00\x01" + own, b"\x01" + own + b"\x01" + pack(noise(50))):
+        if pack is zlib.compress and data == pack(b"x " + own[:12]) + pack(own[12:]):
+            continue  # zlib has no members
+        assert hidden(f"A {base64.b64encode(data).decode()}"), data
+
+
 def test_query_edges(spark):
     rows = [(1, None, "x"), (2, "", "x"), (3, SECRET, None), (3, SECRET, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, base string")
