@@ -15,9 +15,11 @@ and capitals or digits, 20 or more in all), ``hex`` (24 or more of 0-9a-f).
 Compressed data is looked for at any place of a decoded layer; members or frames
 that follow each other are one stream.  Base64 runs go on over line breaks.
 
-Rows are independent; a task holds one batch of texts.  The decoded size of one
-compressed layer is limited to ``max_layer`` bytes against decompression bombs;
-``n_unscanned`` counts layers beyond it, so none goes by unseen.
+Rows are independent; a task holds one batch of texts.  Compressed data is
+unpacked in windows that end where no finding or encoded run can cross; layers
+are taken up one at a time, so a long one is never held whole.  A run without
+such a place for ``max_layer`` bytes (a decompression bomb) is cut there;
+``n_unscanned`` counts these cuts, so none goes by unseen.
 
 Defined results: a null or empty text has no findings; repeated rows repeat
 their result; other columns are not read.
@@ -28,6 +30,7 @@ from __future__ import annotations
 import binascii
 import bz2
 import hashlib
+import itertools
 import lzma
 import re
 import zlib
@@ -57,6 +60,8 @@ SHORT_CHARS = dict(zip("abfnrtv0\\'\"/", "\a\b\f\n\r\t\v\0\\'\"/"))
 MAGIC = (b"\x1f\x8b\x08", b"BZh", b"\xfd7zXZ\x00", b"\x28\xb5\x2f\xfd")
 _ZLIB = [re.escape(bytes((c, f))) for c in range(8, 128, 16) for f in range(256) if (c << 8 | f) % 31 == 0 and not f & 32]
 START = re.compile(b"|".join([re.escape(MAGIC[0]), rb"BZh[1-9](?:1AY&SY|\x17rE8P\x90)", *map(re.escape, MAGIC[2:]), *_ZLIB]), re.DOTALL)
+#: Places that no finding and no encoded run crosses.
+SAFE = re.compile(rb"\s[A-Za-z]{1,15} (?=[A-Za-z])|\s\S{0,15}[ \t]*\r?\n")
 MAX_LAYER = 64 << 20
 
 
@@ -192,22 +197,66 @@ class Stream:
         return at
 
 
+def _cut(data: bytes) -> int:
+    """The last place of ``data`` that nothing crosses, 0 if there is none."""
+    cut, back = 0, 1 << 12
+    while not cut and back < 2 * len(data):
+        for m in SAFE.finditer(data, max(0, len(data) - back)):
+            cut = m.end()
+        back *= 8
+    at = 0
+    while (m := START.search(data, at, cut)) is not None:
+        stream = Stream(data, m.start())
+        for _ in stream:
+            pass
+        if stream.open or (stream.sound and stream.end > cut):
+            return m.start()
+        at = max(stream.end if stream.sound else 0, m.start() + 1)
+    return cut
+
+
+def _windows(parts: Iterator[bytes], most: int, lost: list[int]) -> Iterator[bytes]:
+    held, limit = bytearray(), max(1, most // 8)
+    for part in parts:
+        held += part
+        while len(held) >= limit:
+            if cut := _cut(bytes(held)):
+                yield bytes(held[:cut])
+                del held[:cut]
+                limit = max(1, most // 8, 2 * len(held))
+            elif len(held) < most:
+                limit = min(most, 2 * len(held))
+            else:
+                lost[0] += 1
+                yield bytes(held)
+                held.clear()
+                limit = max(1, most // 8)
+    if held:
+        yield bytes(held)
+
+
 def _unpacked(data: bytes, layer: Layer, start: np.ndarray | None, end: np.ndarray | None, most: int, lost: list[int], taken: list[tuple[int, int]]) -> Iterator[Layer]:
     """Layers of what ``data`` holds compressed, at any place; byte i came from characters start[i] to end[i] - 1 of the layer (None: i)."""
     at = 0
     while (m := START.search(data, at)) is not None:
         s = m.start()
-        extent, out, size = Stream(data, s), [], 0
-        for part in extent:
+        stream, first, size = Stream(data, s), [], 0
+        parts = iter(stream)
+        for part in parts:
+            first.append(part)
             size += len(part)
-            if size <= most:
-                out.append(part)
+            if size >= max(1, most // 8):
+                extent = Stream(data, s)
+                for _ in extent:
+                    pass
+                break
+        else:
+            extent = stream
         stop = extent.end if extent.sound or extent.open else len(data)
-        if size > most:
-            lost[0] += 1
-        elif size >= 12:
+        if size >= 12:
             lo, hi = layer.span(int(s if start is None else start[s]), int(stop if end is None else end[stop - 1]))
-            yield Layer(b"".join(out).decode("latin-1"), lo, hi)
+            for window in _windows(itertools.chain(first, parts), most, lost):
+                yield Layer(window.decode("latin-1"), lo, hi)
         if extent.sound:
             taken.append((s, extent.end))
         at = max(extent.end if extent.sound else 0, s + 1)

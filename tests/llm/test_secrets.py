@@ -112,6 +112,25 @@ def test_all_members_and_what_follows(pack):
         assert hidden(f"A {base64.b64encode(data).decode()}"), data
 
 
+@pytest.mark.parametrize("pack", PACKERS)
+def test_long_layers_are_scanned_in_windows(pack):
+    line = b"2024-01-01 12:00:00 INFO nothing to see here today\n"
+    data = line * 20_000 + SECRET.encode() + b"\n" + line * 20_000 + base64.encodebytes(pack(noise(3000) + b"\npasswd: abcdefgh\n")) + pack(noise(900) + b" token = abcdef1") + line * 9
+    for most in (1 << 16, 1 << 20):
+        text = "A " + base64.b64encode(pack(data)).decode()
+        base, found, layers, lost = scan(text, max_layer=most)
+        assert lost == 0 and {k for _, k, _ in found} == {0} and layers > 2
+        from docaudit.llm import secrets
+
+        texts = []
+        old, secrets.find = secrets.find, lambda t, raw: texts.append(t) or old(t, raw)
+        try:
+            scan(text, max_layer=most)
+        finally:
+            secrets.find = old
+        assert max(map(len, texts[1:])) <= 2 * most + (1 << 20) and all(any(x in t for t in texts) for x in (SECRET, "passwd: abcdefgh", "token = abcdef1"))
+
+
 def test_query_edges(spark):
     rows = [(1, None, "x"), (2, "", "x"), (3, SECRET, None), (3, SECRET, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, base string")
