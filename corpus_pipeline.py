@@ -30,16 +30,21 @@ def dedup_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """N-gram Jaccard join: of each group the document with the smallest id stays; documents without id stay."""
+    """N-gram Jaccard join: of each group the document with the smallest id stays; rows without id come last.  Rows are told apart by number, so rows that share an id are judged each by its own text."""
     find_package(spark)
-    out = ngram_join(docs).where("doc_id <> class_id").select(F.col("doc_id").alias("__out_id")).distinct()
-    return docs.join(out, F.col("doc_id") == F.col("__out_id"), "left_anti")
+    rows = cut_lineage(docs.withColumn("__row", F.monotonically_increasing_id()), "near-rows")
+    classes = ngram_join(rows, id_col="__row").select("__row", "class_id")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__row")
+    first = classes.join(rows.select("__row", "doc_id"), "__row").groupBy("class_id").agg(F.min(order).alias("__first"))
+    return rows.join(first.select(F.col("__first.__row").alias("__row")), "__row", "left_semi").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mixing sources to target weights: a document stands as often as the mix takes it."""
+    """Mixing sources to target weights: a document stands as often as the mix takes it.  A row is known by id and text, which exact dedup leaves unique."""
     find_package(spark)
-    return take_mix(docs, mix_sources(docs))
+    own = F.concat_ws(":", F.col("doc_id").cast("string"), F.sha2(F.coalesce("text", F.lit("")), 256))
+    rows = docs.withColumn("__row", F.unhex(F.sha2(own, 256)))
+    return take_mix(rows, mix_sources(rows, id_col="__row"), "__row").select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

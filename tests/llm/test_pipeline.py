@@ -63,3 +63,23 @@ def test_awkward_and_empty_input(spark):
             docs = cut_lineage(stage(spark, docs, SF), "stage")
             if n + 1 < len(corpus_pipeline.STAGES):
                 assert docs.columns == columns
+
+
+def test_rows_that_share_or_lack_an_id(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    other = " ".join(f"v{i}" for i in range(50))
+    rows = [(1, long), (2, long + " near"), (2, other), (3, long + " twin"), (None, long + " none"), (None, other + " x y z " * 20), (5, "u " * 8), (5, "u " * 8 + "near " * 9), (6, None)]
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = cut_lineage(corpus_pipeline.dedup_near(spark, docs, SF), "stage")
+    assert {(r.doc_id, r.text) for r in kept.collect()} == {x for x in rows if x[0] == 1 or (x[0] is not None and not (x[1] or "").startswith("w0"))}
+    pair = spark.createDataFrame([(7, long, "en", "a", 0), (7, long + " near", "en", "a", 0)], docs.schema)
+    assert corpus_pipeline.dedup_near(spark, pair, SF).count() == 1
+
+    # sources a, b, c at weights 1, 2, 3: half of a's rows go, rows that share or lack an id too
+    parts = [(i if i % 3 else None if i % 2 else 4, f"{s} " * 9 + f"{s}{i}", "en", s, 0) for s in "abc" for i in range(40)]
+    mixed = corpus_pipeline.mix(spark, spark.createDataFrame(parts, docs.schema), SF).collect()
+    from test_mixing import plain_targets
+
+    for s, goal in plain_targets({s: 400 for s in "abc"}).items():
+        own = [r.text for r in mixed if r.source == s]
+        assert abs(10 * len(own) - goal) <= 10 and max(own.count(t) for t in own) - min(own.count(t) for t in own) <= 1, s
