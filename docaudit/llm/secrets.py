@@ -19,7 +19,8 @@ Rows are independent; a task holds one batch of texts.  Compressed data is
 unpacked in windows that end where no finding or encoded run can cross; layers
 are taken up one at a time, so a long one is never held whole.  A run without
 such a place for ``max_layer`` bytes (a decompression bomb) is cut there;
-``n_unscanned`` counts these cuts, so none goes by unseen.
+``n_unscanned`` counts these cuts.  Not counted: compressed data that a window
+holds as escapes between bare line breaks or words may be cut in two.
 
 Defined results: a null or empty text has no findings; repeated rows repeat
 their result; other columns are not read.
