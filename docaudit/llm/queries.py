@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from docaudit.llm.bpe import bpe_digest
+from docaudit.llm.byte_bpe import byte_bpe_digest
 from docaudit.llm.exact_dedup import exact_dedup
 from docaudit.llm.hilbert import hilbert_shards
 from docaudit.llm.langid import language_id
@@ -24,6 +25,10 @@ from docaudit.session import read_table
 TOKENIZER = "word_bpe_49k.json"
 
 
+#: Rank file of the byte-level token query.
+RANKS = "byte_bpe_multi_50k.tiktoken"
+
+
 def tokenizer_path() -> str:
     return str(public_tokenizers.path(TOKENIZER))
 
@@ -68,6 +73,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(read_table(spark, sf_dir, "documents"))
 
 
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe_digest(read_table(spark, sf_dir, "documents"), str(public_tokenizers.path(RANKS)), public_tokenizers.PATTERN)
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": op1_mix_sources,
@@ -80,6 +89,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_hilbert_shards": op8_hilbert_shards,
         "op9_quality": op9_quality,
         "op10_language_id": op10_language_id,
+        "op13_byte_bpe": op13_byte_bpe,
     }
 
 
