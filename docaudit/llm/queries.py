@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from docaudit.llm.bpe import bpe_digest
 from docaudit.llm.byte_bpe import byte_bpe_digest
@@ -19,6 +20,7 @@ from docaudit.llm.pq_dedup import pq_dedup
 from docaudit.llm.quality import quality
 from docaudit.llm.secrets import scan_secrets, secret_digest
 from docaudit.llm.sql import EXACT_DEDUP_SQL, NGRAM_JOIN_SQL, PQ_DEDUP_SQL
+from docaudit.llm.whiten import whiten
 from docaudit.session import read_table
 
 #: Tokenizer file of the token queries; any byte-level BPE file with word ends will do.
@@ -73,6 +75,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(read_table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(read_table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe_digest(read_table(spark, sf_dir, "documents"), str(public_tokenizers.path(RANKS)), public_tokenizers.PATTERN)
 
@@ -89,6 +95,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_hilbert_shards": op8_hilbert_shards,
         "op9_quality": op9_quality,
         "op10_language_id": op10_language_id,
+        "op11_whitening": op11_whitening,
         "op13_byte_bpe": op13_byte_bpe,
     }
 
