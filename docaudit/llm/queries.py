@@ -18,6 +18,7 @@ from docaudit.llm.ngram_join import ngram_join
 from docaudit.llm.packing import pack_tokens, packed_digest
 from docaudit.llm.pq_dedup import pq_dedup
 from docaudit.llm.quality import quality
+from docaudit.llm.repair import conversation_repair
 from docaudit.llm.secrets import scan_secrets, secret_digest
 from docaudit.llm.sql import EXACT_DEDUP_SQL, NGRAM_JOIN_SQL, PQ_DEDUP_SQL
 from docaudit.llm.whiten import whiten
@@ -79,6 +80,10 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(read_table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").try_cast("long"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair(read_table(spark, sf_dir, "conversations"))
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe_digest(read_table(spark, sf_dir, "documents"), str(public_tokenizers.path(RANKS)), public_tokenizers.PATTERN)
 
@@ -96,6 +101,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_quality": op9_quality,
         "op10_language_id": op10_language_id,
         "op11_whitening": op11_whitening,
+        "op12_conversation_repair": op12_conversation_repair,
         "op13_byte_bpe": op13_byte_bpe,
     }
 
