@@ -1,11 +1,10 @@
 """Money: plain-decimal strings, exact decimal values, Python-style decimal text.
 
 Money travels as a plain decimal string (``-?(0|[1-9]\\d*)(\\.\\d+)?``, no
-exponent, no ``+``, no leading zeros) of any length.  Rules compute in
-``decimal(28,12)``, exactly: sums of 2^31 lines fit, and products are taken in
-parts (``product_parts``).  A value with more than 16 integer or 12 fraction
-digits keeps its sign and equality as text (``wide_text``); the sums and
-products it would enter are skipped and ``validate`` names it in an issue.
+exponent, no ``+``, no leading zeros) of any length.  Signs and equality are
+read from its canonical text (``plain``).  Sums and products are exact: in
+``decimal(28,12)``, products in parts (``product_parts``), where every value
+fits; in limbs (``functions.limbs``) where one does not.
 
 ``decimal_text`` prints an exact decimal the way Python's ``str(Decimal)``
 does for a given exponent: the scale of a product is the sum of the operand
@@ -32,19 +31,32 @@ def scale_of(s: Column) -> Column:
     return F.when(dot > 0, F.length(s) - dot).otherwise(F.lit(0))
 
 
-# plain decimal with at most 16 integer and 12 fraction digits besides closing zeros: fits decimal(28,12) exactly
-BOUNDED_DECIMAL = r"\A-?(?:0|[1-9][0-9]{0,15})(?:\.[0-9]{1,12}0*)?\z"
+def plain(s: Column) -> Column:
+    """Canonical text of a valid money string, else null: no closing zeros of the fraction, no minus on zero.  Equal numbers have equal texts."""
+    short = F.when(F.instr(s, ".") > 0, F.rtrim(F.rtrim(s, F.lit("0")), F.lit("."))).otherwise(s)
+    return F.when(is_plain_decimal(s), F.when(short == "-0", F.lit("0")).otherwise(short))
 
 
-def to_decimal(s: Column) -> Column:
-    """Exact decimal(28,12) of a valid money string, else null (one regex, then the cast)."""
-    return F.when(s.rlike(BOUNDED_DECIMAL), s.try_cast(DECIMAL_TYPE))
+def below(text: Column) -> Column:
+    """Whether a canonical text is below zero."""
+    return text.startswith("-")
+
+
+def above(text: Column) -> Column:
+    """Whether a canonical text is above zero."""
+    return ~text.startswith("-") & (text != "0")
 
 
-def wide_text(s: Column) -> Column:
-    """A valid money string that ``to_decimal`` has no value for, without closing zeros of its fraction; else null."""
-    short = F.when(F.instr(s, ".") > 0, F.regexp_replace(s, r"\.?0*\z", "")).otherwise(s)
-    return F.when(~s.rlike(BOUNDED_DECIMAL) & is_plain_decimal(s), short)
+def decimal_of(text: Column) -> Column:
+    """Exact decimal(28,12) of a canonical text of at most 16 integer and 12 fraction digits, else null."""
+    dot = F.instr(text, ".")
+    whole = F.when(dot > 0, dot - 1).otherwise(F.length(text)) - text.startswith("-").cast("int")
+    return F.when((whole <= 16) & (scale_of(text) <= 12), text.try_cast(DECIMAL_TYPE))
+
+
+def to_decimal(s: Column) -> Column:
+    """Exact decimal(28,12) of a valid money string that fits, else null."""
+    return decimal_of(plain(s))
 
 
 def product_parts(x: Column, y: Column) -> tuple[Column, Column, Column]:
@@ -79,7 +91,7 @@ def product_text(x: Column, y: Column, scale: Column) -> Column:
     negative, whole, part = product_parts(x, y)
     nonzero = (x != 0) & (y != 0)
     fraction = F.substring_index(part.cast("string"), ".", -1)
-    return F.when(x.isNotNull() & y.isNotNull(), _python_text(negative & nonzero, whole.cast("string"), fraction, scale))
+    return F.when(x.isNotNull() & y.isNotNull(), python_text(negative & nonzero, whole.cast("string"), fraction, scale))
 
 
 def decimal_text(value: Column, scale: Column) -> Column:
@@ -94,10 +106,10 @@ def decimal_text(value: Column, scale: Column) -> Column:
     body = F.regexp_replace(raw, "^-", "")
     int_part = F.substring_index(body, ".", 1)
     frac_raw = F.when(F.instr(body, ".") > 0, F.substring_index(body, ".", -1)).otherwise(F.lit(""))
-    return F.when(value.isNull(), F.lit(None).cast("string")).otherwise(_python_text(negative, int_part, frac_raw, scale))
+    return F.when(value.isNull(), F.lit(None).cast("string")).otherwise(python_text(negative, int_part, frac_raw, scale))
 
 
-def _python_text(negative: Column, int_part: Column, frac_raw: Column, scale: Column) -> Column:
+def python_text(negative: Column, int_part: Column, frac_raw: Column, scale: Column) -> Column:
     """Python ``str(Decimal)`` at exponent ``-scale`` from the digits before and after the point."""
     frac = F.substring(F.concat(frac_raw, F.repeat(F.lit("0"), scale)), F.lit(1), scale)
     sign = F.when(negative, F.lit("-")).otherwise(F.lit(""))

@@ -39,8 +39,9 @@ from pyspark.sql import functions as F
 
 from docaudit import schema as S
 from docaudit.config import TOLERANCE
+from docaudit.functions import limbs
 from docaudit.functions.dates import is_canonical_date, parse_date
-from docaudit.functions.money import decimal_text, is_plain_decimal, product_differs, product_text, scale_of, to_decimal, wide_text
+from docaudit.functions.money import above, below, decimal_of, decimal_text, plain, product_differs, product_text, scale_of
 from docaudit.functions.text import normalize
 from docaudit.session import cut_lineage
 
@@ -50,12 +51,17 @@ ORDER_FIELDS = ("g", "line_idx", "sub")
 
 @dataclass
 class Validation:
+    headers: DataFrame  # doc_key and more
     issues: DataFrame  # doc_key, g, line_idx, sub, code, severity, message, field, expected, actual
-    status: DataFrame  # doc_key, status, review_required, n_error, n_warning, n_info
+
+    @property
+    def status(self) -> DataFrame:
+        """doc_key, status, review_required, n_error, n_warning, n_info"""
+        return document_status(self.headers, self.issues)
 
     def nested(self) -> DataFrame:
         """doc_key, validation struct<status, review_required, issues[]> in contract order."""
-        return nested_validation(self.issues, self.status)
+        return nested_validation(self.headers, self.issues)
 
 
 def _issue(
@@ -93,14 +99,6 @@ def _different(left: Column, right: Column, tolerance: Decimal) -> Column:
     return (left > right + bound) | (left < right - bound)
 
 
-def _below(d: Column, wide: Column) -> Column:
-    return F.coalesce(d < 0, wide.startswith("-"))
-
-
-def _above(d: Column, wide: Column) -> Column:
-    return F.coalesce(d > 0, ~wide.startswith("-"))
-
-
 def _collect_issues(df: DataFrame, candidates: list[Column]) -> DataFrame:
     """Keep the non-null candidate structs of each row, one output row per issue."""
     arr = F.filter(F.array(*candidates), lambda x: x.isNotNull())
@@ -117,6 +115,7 @@ def _blank(c: Column) -> Column:
 
 
 def prepare_lines(lines: DataFrame, headers: DataFrame | None = None) -> DataFrame:
+    """Lines with their money as canonical text (q, u, a) and, where it fits, as decimal (qd, ud, ad)."""
     if "document_type" not in lines.columns:
         if headers is None:
             raise ValueError("lines need document_type, or pass headers to join it")
@@ -129,13 +128,10 @@ def prepare_lines(lines: DataFrame, headers: DataFrame | None = None) -> DataFra
         "quantity",
         "unit_price",
         "amount",
-        to_decimal(F.col("quantity")).alias("q"),
-        to_decimal(F.col("unit_price")).alias("u"),
-        to_decimal(F.col("amount")).alias("a"),
-        wide_text(F.col("quantity")).alias("qw"),
-        wide_text(F.col("unit_price")).alias("uw"),
-        wide_text(F.col("amount")).alias("aw"),
-    )
+        plain(F.col("quantity")).alias("q"),
+        plain(F.col("unit_price")).alias("u"),
+        plain(F.col("amount")).alias("a"),
+    ).select("*", *[decimal_of(F.col(c)).alias(c + "d") for c in ("q", "u", "a")])
 
 
 def reversal_pairs(prepared: DataFrame, block_size: int = 4096) -> DataFrame:
@@ -151,18 +147,15 @@ def reversal_pairs(prepared: DataFrame, block_size: int = 4096) -> DataFrame:
     negative and one positive line.
     """
     eligible = prepared.filter(
-        F.col("description").isNotNull() & F.coalesce(F.col("a") != 0, F.col("aw").isNotNull())
+        F.col("description").isNotNull() & (F.col("a") != "0")
     ).select(
         "doc_key",
         "idx",
         F.struct(
             normalize(F.col("description")).alias("d"),
-            F.abs("q").alias("q"),
-            F.abs("u").alias("u"),
-            F.abs("a").alias("a"),
-            *[F.ltrim(F.col(w), F.lit("-")).alias(w) for w in ("qw", "uw", "aw")],
+            *[F.ltrim(F.col(c), F.lit("-")).alias(c) for c in ("q", "u", "a")],
         ).alias("rk"),
-        _below(F.col("a"), F.col("aw")).alias("neg"),
+        below(F.col("a")).alias("neg"),
         F.floor(F.col("idx") / F.lit(block_size)).cast("int").alias("blk"),
     )
     grp = ["doc_key", "rk", "neg"]
@@ -200,7 +193,7 @@ def reversal_pairs(prepared: DataFrame, block_size: int = 4096) -> DataFrame:
 
 def duplicate_lines(prepared: DataFrame, block_size: int = 4096) -> DataFrame:
     """(doc_key, idx) of lines that equal the line before: lag inside idx blocks, a join for their borders."""
-    value = F.struct("description", "q", "u", "a", "qw", "uw", "aw")
+    value = F.struct("description", "q", "u", "a")
     rows = prepared.select("doc_key", "idx", value.alias("v"), F.floor(F.col("idx") / F.lit(block_size)).cast("int").alias("blk"))
     before = Window.partitionBy("doc_key", "blk").orderBy("idx")
     inside = rows.select(
@@ -225,15 +218,22 @@ def duplicate_issues(duplicates: DataFrame) -> DataFrame:
 def amount_issues(prepared: DataFrame, tolerance: Decimal) -> DataFrame:
     """LINE_AMOUNT_MISMATCH: a projection of the lines."""
     q, u, a, i = F.col("q"), F.col("u"), F.col("a"), F.col("idx")
+    qd, ud, ad = F.col("qd"), F.col("ud"), F.col("ad")
+    fit = qd.isNotNull() & ud.isNotNull() & ad.isNotNull()
+    exact = limbs.times(limbs.number("q"), limbs.number("u"))
+    differs = F.when(fit, product_differs(qd, ud, ad, F.lit(tolerance).cast("decimal(18,6)"))).otherwise(
+        F.expr(limbs.exceeds(limbs.plus(exact, limbs.minus(limbs.number("a"))), tolerance))
+    )
+    scale = scale_of(F.col("quantity")) + scale_of(F.col("unit_price"))
     return _collect_issues(
         prepared,
         [
             F.when(
-                q.isNotNull() & u.isNotNull() & a.isNotNull() & product_differs(q, u, a, F.lit(tolerance).cast("decimal(18,6)")),
+                q.isNotNull() & u.isNotNull() & a.isNotNull() & differs,
                 _issue(
                     9, i, 0, "LINE_AMOUNT_MISMATCH", "warning", S.MSG_LINE_AMOUNT_MISMATCH,
                     F.concat(F.lit("line_items."), i.cast("string"), F.lit(".amount")),
-                    product_text(q, u, scale_of(F.col("quantity")) + scale_of(F.col("unit_price"))),
+                    F.when(fit, product_text(qd, ud, scale)).otherwise(F.expr(limbs.decimal_text(exact, f"{limbs.scale('quantity')} + {limbs.scale('unit_price')}"))),
                     F.col("amount"),
                 ),
             )
@@ -244,17 +244,17 @@ def amount_issues(prepared: DataFrame, tolerance: Decimal) -> DataFrame:
 def negative_line_issues(prepared: DataFrame, pairs: DataFrame) -> DataFrame:
     """NEGATIVE_VALUE of lines: only lines with a negative value meet the reversal pairs."""
     values = (("quantity", "q"), ("unit_price", "u"), ("amount", "a"))
-    below = F.lit(False)
+    any_below = F.lit(False)
     for _, c in values:
-        below = below | F.coalesce(_below(F.col(c), F.col(c + "w")), F.lit(False))
+        any_below = any_below | F.coalesce(below(F.col(c)), F.lit(False))
     halves = pairs.select("doc_key", F.col("neg_idx").alias("idx"))
-    rows = prepared.filter(~F.coalesce(F.col("is_credit"), F.lit(False)) & below).join(halves, ["doc_key", "idx"], "left_anti")
+    rows = prepared.filter(~F.coalesce(F.col("is_credit"), F.lit(False)) & any_below).join(halves, ["doc_key", "idx"], "left_anti")
     i = F.col("idx")
     return _collect_issues(
         rows,
         [
             F.when(
-                _below(F.col(c), F.col(c + "w")),
+                below(F.col(c)),
                 _issue(
                     10, i, sub, "NEGATIVE_VALUE", "error", S.MSG_NEGATIVE_VALUE,
                     F.concat(F.lit("line_items."), i.cast("string"), F.lit("." + name)),
@@ -288,26 +288,39 @@ def pair_issues(pairs: DataFrame) -> DataFrame:
 def line_aggregates(prepared: DataFrame, pairs: DataFrame) -> DataFrame:
     """Per document: counts, amount sum and scale, and signs of amounts outside reversal pairs.
 
-    A pair has one positive and one negative amount, so it lowers both counts by one.
+    A pair has one positive and one negative amount, so it lowers both counts by
+    one.  ``amount_sum`` has the amounts that a decimal holds, ``wide_sum`` the
+    others as text (null if there are none).
     """
-    a, aw = F.col("a"), F.col("aw")
+    a = F.col("a")
     sums = prepared.groupBy("doc_key").agg(
         F.count(F.lit(1)).alias("n_lines"),
-        F.count_if(a.isNull() & aw.isNull()).alias("n_amount_null"),
-        F.count_if(aw.isNotNull()).alias("n_amount_wide"),
-        F.sum(a).alias("amount_sum"),
+        F.count_if(a.isNull()).alias("n_amount_null"),
+        F.sum("ad").alias("amount_sum"),
         F.max(scale_of(F.col("amount"))).alias("amount_scale"),
-        F.count_if(_above(a, aw)).alias("n_above"),
-        F.count_if(_below(a, aw)).alias("n_below"),
+        F.count_if(above(a)).alias("n_above"),
+        F.count_if(below(a)).alias("n_below"),
     )
     paired = pairs.groupBy("doc_key").agg(F.count(F.lit(1)).alias("n_pairs"))
     n = F.coalesce(F.col("n_pairs"), F.lit(0))
-    return sums.join(paired, "doc_key", "left").select(
-        "doc_key", "n_lines", "n_amount_null", "n_amount_wide", "amount_sum", "amount_scale",
+    return sums.join(paired, "doc_key", "left").join(wide_sums(prepared), "doc_key", "left").select(
+        "doc_key", "n_lines", "n_amount_null", "amount_sum", "wide_sum", "amount_scale",
         (F.col("n_above") - n).alias("core_pos"), (F.col("n_below") - n).alias("core_neg"),
     )
 
 
+def wide_sums(prepared: DataFrame) -> DataFrame:
+    """(doc_key, wide_sum): exact sum, as plain text, of the amounts that no decimal holds.
+
+    Limbs are summed by place (partial aggregates); what is gathered for a
+    document is one row a place, so as many as its longest amount has limbs.
+    """
+    wide = prepared.where(F.col("a").isNotNull() & F.col("ad").isNull())
+    by_place = wide.select("doc_key", F.inline(F.expr(limbs.places("a")))).groupBy("doc_key", "place").agg(F.sum("limb").alias("limb"))
+    gathered = by_place.groupBy("doc_key").agg(F.array_sort(F.collect_list(F.struct("place", "limb"))).alias("sums"))
+    return gathered.select("doc_key", F.expr(limbs.plain_text(limbs.of_places("sums"))).alias("wide_sum"))
+
+
 # --------------------------------------------------------------------------- headers
 
 
@@ -316,29 +329,25 @@ def header_stage(headers: DataFrame, line_agg: DataFrame) -> DataFrame:
         "doc_key",
         "document_type",
         *S.MONEY_FIELDS,
-        *[to_decimal(F.col(f)).alias(f"{f}_d") for f in S.MONEY_FIELDS],
-        *[wide_text(F.col(f)).alias(f"{f}_w") for f in S.MONEY_FIELDS],
-    )
+        *[plain(F.col(f)).alias(f"{f}_t") for f in S.MONEY_FIELDS],
+    ).select("*", *[decimal_of(F.col(f"{f}_t")).alias(f"{f}_d") for f in S.MONEY_FIELDS])
     j = h.join(line_agg, "doc_key", "left")
     n_lines = F.coalesce(F.col("n_lines"), F.lit(0))
     is_credit = F.col("document_type") == "credit_note"
-    sub, tot = [(F.col(f"{f}_d"), F.col(f"{f}_w")) for f in ("subtotal", "total")]
+    sub, tot = F.col("subtotal_t"), F.col("total_t")
+
     def flag(cond: Column) -> Column:
         return F.coalesce(cond.cast("int"), F.lit(0))
 
-    n_pos = F.coalesce(F.col("core_pos"), F.lit(0)) + flag(_above(*sub)) + flag(_above(*tot))
-    n_neg = F.coalesce(F.col("core_neg"), F.lit(0)) + flag(_below(*sub)) + flag(_below(*tot))
+    n_pos = F.coalesce(F.col("core_pos"), F.lit(0)) + flag(above(sub)) + flag(above(tot))
+    n_neg = F.coalesce(F.col("core_neg"), F.lit(0)) + flag(below(sub)) + flag(below(tot))
     mixed = (n_pos > 0) & (n_neg > 0)
     no_polarity = (n_pos == 0) & (n_neg == 0)
     positive = n_pos > 0
     contradictions = F.filter(
         F.array(
             *[
-                F.when(
-                    F.coalesce(F.col(f"{f}_d") != 0, F.col(f"{f}_w").isNotNull())
-                    & (_above(F.col(f"{f}_d"), F.col(f"{f}_w")) != positive),
-                    F.lit(f),
-                )
+                F.when((F.col(f"{f}_t") != "0") & (above(F.col(f"{f}_t")) != positive), F.lit(f))
                 for f in ("discount", "tax", "shipping")
             ]
         ),
@@ -349,8 +358,8 @@ def header_stage(headers: DataFrame, line_agg: DataFrame) -> DataFrame:
     profile_known = ~mixed & ~no_polarity
     incomplete = F.filter(
         F.array(
-            F.when(F.coalesce(sub[0].cast("string"), sub[1]).isNull(), F.lit("subtotal")),
-            F.when(F.coalesce(tot[0].cast("string"), tot[1]).isNull(), F.lit("total")),
+            F.when(sub.isNull(), F.lit("subtotal")),
+            F.when(tot.isNull(), F.lit("total")),
             F.when((n_lines > 0) & (F.col("n_amount_null") > 0), F.lit("line_items.amount")),
         ),
         lambda x: x.isNotNull(),
@@ -416,7 +425,7 @@ def header_only_issues(headers: DataFrame, codes: frozenset[str] | None = None)
     for sub, f in enumerate(S.MONEY_FIELDS):
         candidates.append(
             F.when(
-                ~F.coalesce(is_credit, F.lit(False)) & _below(to_decimal(c(f)), wide_text(c(f))),
+                ~F.coalesce(is_credit, F.lit(False)) & below(plain(c(f))),
                 _issue(10, -1, sub, "NEGATIVE_VALUE", "error", S.MSG_NEGATIVE_VALUE, f,
                        S.EXPECTED_NON_NEGATIVE, c(f)),
             )
@@ -452,34 +461,47 @@ def header_issues(stage: DataFrame, tolerance: Decimal) -> DataFrame:
                    "document", S.EXPECTED_CREDIT_COMPLETE, F.array_join("incomplete", ", ")),
         ),
     ]
-    sub_d, zero = c("subtotal_d"), F.lit(0).cast("decimal(18,6)")
+    sub, tot, zero = c("subtotal_t"), c("total_t"), F.lit(0).cast("decimal(18,6)")
+    sub_d, tot_d = c("subtotal_d"), c("total_d")
+    lines_fit = sub_d.isNotNull() & c("wide_sum").isNull()
+    or_zero = lambda name: limbs.number(f"coalesce(string({name}), '0')")
+    lines_exact = limbs.plus(or_zero("amount_sum"), or_zero("wide_sum"))
+    lines_differ = F.when(lines_fit, _different(c("amount_sum"), sub_d, tolerance)).otherwise(
+        F.expr(limbs.exceeds(limbs.plus(lines_exact, limbs.minus(limbs.number("subtotal_t"))), tolerance))
+    )
+    lines_scale = F.greatest(F.lit(0), c("amount_scale"))
+    texts = [c(f"{f}_t") for f in ("discount", "tax", "shipping")]
     adjustments = [c(f"{f}_d") for f in ("discount", "tax", "shipping")]
-    no_wide = F.coalesce(*[c(f"{f}_w") for f in ("discount", "tax", "shipping")]).isNull()
+    total_fits = sub_d.isNotNull() & tot_d.isNotNull()
+    for text, adjustment in zip(texts, adjustments):
+        total_fits = total_fits & (text.isNull() | adjustment.isNotNull())
     expected_total = (
         sub_d - F.coalesce(adjustments[0], zero) + F.coalesce(adjustments[1], zero)
         + F.coalesce(adjustments[2], zero)
     )
+    total_exact = limbs.plus(limbs.number("subtotal_t"), limbs.minus(or_zero("discount_t")), or_zero("tax_t"), or_zero("shipping_t"))
+    total_differs = F.when(total_fits, _different(expected_total, tot_d, tolerance)).otherwise(
+        F.expr(limbs.exceeds(limbs.plus(total_exact, limbs.minus(limbs.number("total_t"))), tolerance))
+    )
     # a zero (or absent) adjustment is replaced by Decimal(0): it adds no scale
     total_scale = F.greatest(
         scale_of(c("subtotal")),
-        *[
-            F.when(adj.isNotNull() & (adj != 0), scale_of(c(f))).otherwise(F.lit(0))
-            for adj, f in zip(adjustments, ("discount", "tax", "shipping"))
-        ],
+        *[F.when(t != "0", scale_of(c(f))).otherwise(F.lit(0)) for t, f in zip(texts, ("discount", "tax", "shipping"))],
     )
+    exact_scale = ", ".join(f"if({f}_t <> '0', {limbs.scale(f)}, 0)" for f in ("discount", "tax", "shipping"))
+    exact_scale = f"greatest({limbs.scale('subtotal')}, {exact_scale})"
     candidates += [
         F.when(
-            c("can_check") & sub_d.isNotNull() & (c("n_lines_") > 0) & (c("n_amount_null") == 0) & (c("n_amount_wide") == 0)
-            & _different(c("amount_sum"), sub_d, tolerance),
+            c("can_check") & sub.isNotNull() & (c("n_lines_") > 0) & (c("n_amount_null") == 0) & lines_differ,
             _issue(12, -1, 0, "SUBTOTAL_MISMATCH", "error", S.MSG_SUBTOTAL_MISMATCH, "subtotal",
-                   decimal_text(c("amount_sum"), F.greatest(F.lit(0), c("amount_scale"))),
+                   F.when(lines_fit, decimal_text(c("amount_sum"), lines_scale)).otherwise(F.expr(limbs.decimal_text(lines_exact, "greatest(0, amount_scale)"))),
                    c("subtotal")),
         ),
         F.when(
-            c("can_check") & sub_d.isNotNull() & c("total_d").isNotNull() & no_wide
-            & _different(expected_total, c("total_d"), tolerance),
+            c("can_check") & sub.isNotNull() & tot.isNotNull() & total_differs,
             _issue(13, -1, 0, "TOTAL_MISMATCH", "error", S.MSG_TOTAL_MISMATCH, "total",
-                   decimal_text(expected_total, total_scale), c("total")),
+                   F.when(total_fits, decimal_text(expected_total, total_scale)).otherwise(F.expr(limbs.decimal_text(total_exact, exact_scale))),
+                   c("total")),
         ),
     ]
     return _collect_issues(stage, candidates)
@@ -496,15 +518,15 @@ def mixed_credit_issues(stage: DataFrame, prepared: DataFrame, pairs: DataFrame)
         "doc_key",
         F.filter(
             F.array(
-                F.when(F.coalesce(F.col("subtotal_d") != 0, F.col("subtotal_w").isNotNull()), F.lit("subtotal")),
-                F.when(F.coalesce(F.col("total_d") != 0, F.col("total_w").isNotNull()), F.lit("total")),
+                F.when(F.col("subtotal_t") != "0", F.lit("subtotal")),
+                F.when(F.col("total_t") != "0", F.lit("total")),
             ),
             lambda x: x.isNotNull(),
         ).alias("head_fields"),
     )
     halves = pairs.select("doc_key", F.explode(F.array("neg_idx", "pos_idx")).alias("idx"))
     core_lines = (
-        prepared.filter(F.col("is_credit") & F.coalesce(F.col("a") != 0, F.col("aw").isNotNull()))
+        prepared.filter(F.col("is_credit") & (F.col("a") != "0"))
         .select("doc_key", "idx")
         .join(mixed.select("doc_key"), "doc_key", "left_semi")
         .join(halves, ["doc_key", "idx"], "left_anti")
@@ -547,36 +569,40 @@ def notice_issues(notices: DataFrame) -> DataFrame:
     )
 
 
+def _severities() -> list[Column]:
+    return [F.count_if(F.col("severity") == kind).alias(f"n_{kind}") for kind in ("error", "warning", "info")]
+
+
+def _judged(headers: DataFrame, counted: DataFrame) -> DataFrame:
+    """Every document with its counts (0 without issues), status and review flag."""
+    j = headers.select("doc_key").join(counted, "doc_key", "left")
+    n_err, n_warn, n_info = (F.coalesce(F.col(c), F.lit(0)) for c in ("n_error", "n_warning", "n_info"))
+    return j.withColumns(
+        {
+            "status": F.when(n_err > 0, "fail").when(n_warn > 0, "warning").otherwise("pass"),
+            "review_required": (n_err > 0) | (n_warn > 0),
+            "n_error": n_err, "n_warning": n_warn, "n_info": n_info,
+        }
+    )
+
+
 def document_status(headers: DataFrame, issues: DataFrame) -> DataFrame:
-    flags = issues.groupBy("doc_key").agg(
-        F.count_if(F.col("severity") == "error").alias("n_error"),
-        F.count_if(F.col("severity") == "warning").alias("n_warning"),
-        F.count_if(F.col("severity") == "info").alias("n_info"),
-    )
-    j = headers.select("doc_key").join(flags, "doc_key", "left")
-    n_err = F.coalesce(F.col("n_error"), F.lit(0))
-    n_warn = F.coalesce(F.col("n_warning"), F.lit(0))
-    return j.select(
-        "doc_key",
-        F.when(n_err > 0, "fail").when(n_warn > 0, "warning").otherwise("pass").alias("status"),
-        ((n_err > 0) | (n_warn > 0)).alias("review_required"),
-        n_err.alias("n_error"),
-        n_warn.alias("n_warning"),
-        F.coalesce(F.col("n_info"), F.lit(0)).alias("n_info"),
+    return _judged(headers, issues.groupBy("doc_key").agg(*_severities())).select(
+        "doc_key", "status", "review_required", "n_error", "n_warning", "n_info"
     )
 
 
-def nested_validation(issues: DataFrame, status: DataFrame) -> DataFrame:
-    ordered = issues.groupBy("doc_key").agg(
-        F.array_sort(
-            F.collect_list(F.struct(*[F.col(c) for c in ORDER_FIELDS + ISSUE_FIELDS]))
-        ).alias("all_issues")
+def nested_validation(headers: DataFrame, issues: DataFrame) -> DataFrame:
+    """Status and ordered issue list of every document, from one aggregate of the issues."""
+    counted = issues.groupBy("doc_key").agg(
+        *_severities(),
+        F.array_sort(F.collect_list(F.struct(*[F.col(c) for c in ORDER_FIELDS + ISSUE_FIELDS]))).alias("all_issues"),
     )
     issue_list = F.transform(
         F.coalesce(F.col("all_issues"), F.array()),
         lambda x: F.struct(*[x[c].alias(c) for c in ISSUE_FIELDS]),
     )
-    return status.join(ordered, "doc_key", "left").select(
+    return _judged(headers, counted).select(
         "doc_key",
         F.struct(
             F.col("status").alias("status"),
@@ -586,35 +612,6 @@ def nested_validation(issues: DataFrame, status: DataFrame) -> DataFrame:
     )
 
 
-def unchecked_issues(headers: DataFrame, prepared: DataFrame) -> DataFrame:
-    """UNCHECKED_MONEY: valid values beyond decimal(28,12), left out of sums and products."""
-
-    def issue(name: str, sub: int, line: Column | int, field: Column | str, wide: Column) -> Column:
-        made = _issue(15, line, sub, "UNCHECKED_MONEY", "warning", S.MSG_UNCHECKED_MONEY, field, S.EXPECTED_MONEY_DIGITS, F.col(name))
-        return F.when(wide.isNotNull(), made)
-
-    head = _collect_issues(headers, [issue(f, k, -1, f, wide_text(F.col(f))) for k, f in enumerate(S.MONEY_FIELDS)])
-    i = F.col("idx")
-    of_line = lambda f: F.concat(F.lit("line_items."), i.cast("string"), F.lit("." + f))
-    names = (("quantity", "qw"), ("unit_price", "uw"), ("amount", "aw"))
-    return head.unionByName(_collect_issues(prepared, [issue(f, k, i, of_line(f), F.col(w)) for k, (f, w) in enumerate(names)]))
-
-
-#: At most 12 integer and 6 fraction digits.
-NARROW_DECIMAL = r"\A-?(?:0|[1-9][0-9]{0,11})(?:\.[0-9]{1,6})?\z"
-
-
-def unchecked_money(headers: DataFrame, lines: DataFrame) -> DataFrame:
-    """(doc_key, field) of valid money values beyond decimal(18,6); the rules check those within decimal(28,12) and name the rest in UNCHECKED_MONEY."""
-
-    def beyond(df: DataFrame, fields: tuple[str, ...], name) -> DataFrame:
-        out = F.filter(F.array(*[F.when(is_plain_decimal(F.col(f)) & ~F.col(f).rlike(NARROW_DECIMAL), name(f)) for f in fields]), lambda x: x.isNotNull())
-        return df.select("doc_key", F.explode(out).alias("field"))
-
-    line = lambda f: F.concat(F.lit("line_items."), F.col("idx").cast("string"), F.lit("." + f))
-    return beyond(headers, S.MONEY_FIELDS, lambda f: F.lit(f)).unionByName(beyond(lines, S.LINE_MONEY_FIELDS, line))
-
-
 #: Rules by what they read.
 HEADER_ONLY = frozenset(
     ("INVALID_DATE", "DUE_BEFORE_ISSUE", "DELIVERY_BEFORE_ISSUE", "UNKNOWN_CURRENCY", "MISSING_IDENTIFIER", "MISSING_REFERENCE", "NEGATIVE_VALUE")
@@ -622,6 +619,8 @@ HEADER_ONLY = frozenset(
 NEEDS_PAIRS = frozenset(
     ("BALANCED_REVERSAL", "NEGATIVE_VALUE", "CREDIT_SIGN_INCONSISTENCY", "CREDIT_TOTAL_UNVERIFIABLE", "SUBTOTAL_MISMATCH", "TOTAL_MISMATCH")
 )
+#: Of these, what needs the pairs of credit notes alone.
+CREDIT_PAIRS = frozenset(("CREDIT_SIGN_INCONSISTENCY", "CREDIT_TOTAL_UNVERIFIABLE", "SUBTOTAL_MISMATCH", "TOTAL_MISMATCH"))
 NEEDS_SUMS = frozenset(
     ("NO_LINE_ITEMS", "CREDIT_SIGN_INCONSISTENCY", "CREDIT_TOTAL_UNVERIFIABLE", "SUBTOTAL_MISMATCH", "TOTAL_MISMATCH")
 )
@@ -651,7 +650,9 @@ def validate(
     parts: list[DataFrame] = []
     pairs = stage = None
     if any_of(NEEDS_PAIRS):
-        pairs = keep(reversal_pairs(prepared, block_size), "reversal_pairs")
+        # core signs count for credit notes only
+        of = prepared if want is None or want & (NEEDS_PAIRS - CREDIT_PAIRS) else prepared.where("is_credit")
+        pairs = keep(reversal_pairs(of, block_size), "reversal_pairs")
     if any_of(HEADER_ONLY):
         parts.append(header_only_issues(headers, want))
     if want == frozenset(("NO_LINE_ITEMS",)):
@@ -670,8 +671,6 @@ def validate(
         parts.append(duplicate_issues(duplicate_lines(prepared, block_size)))
     if any_of(frozenset(("NEGATIVE_VALUE",))):
         parts.append(negative_line_issues(prepared, pairs))
-    if any_of(frozenset(("UNCHECKED_MONEY",))):
-        parts.append(unchecked_issues(headers, prepared))
     if notices is not None:
         parts.append(notice_issues(notices))
     issues = parts[0]
@@ -679,4 +678,4 @@ def validate(
         issues = issues.unionByName(p)
     if want is not None:
         issues = issues.filter(F.col("code").isin(*codes))
-    return Validation(issues=issues, status=document_status(headers, issues))
+    return Validation(headers=headers, issues=issues)

@@ -319,6 +319,71 @@ VALIDATION_SQL: dict[str, str] = {
 }
 
 
+# --------------------------------------------------------------------------- long money
+_LONG_FACTOR = "CASE doc_key % 3 WHEN 0 THEN 100000000000001 WHEN 1 THEN 1.0000000000001 ELSE 1 END"
+
+
+def _long(x: str) -> str:
+    return f"CAST({x} * CAST({_LONG_FACTOR} AS DECIMAL(28,13)) AS DECIMAL(38,15))"
+
+
+def _long_text(x: str, computed: bool = False) -> str:
+    fine = f"CAST(CAST({x} AS DECIMAL(38,15)) AS VARCHAR)"
+    if computed:
+        fine = f"CASE WHEN {x} = 0 THEN '0E-15' ELSE {fine} END"
+    return f"CASE WHEN doc_key % 3 = 1 THEN {fine} ELSE CAST(CAST({x} AS DECIMAL(38,2)) AS VARCHAR) END"
+
+
+_LONG_TABLES = (
+    "long_header AS (SELECT * REPLACE (" + ", ".join(f"{_long(f)} AS {f}" for f in ("subtotal_d", "discount_d", "tax_d", "shipping_d", "total_d")) + ") FROM doc_header),\n"
+    "long_line AS (SELECT doc_key, idx, description, q, " + ", ".join(f"{_long(f)} AS {f}" for f in ("u", "a")) + " FROM doc_line)"
+)
+
+
+def _long_rules() -> str:
+    """The rules over the long tables; texts have 15 decimals where the factor is fine, else 2."""
+    sql = rules_for("w_", "long_header", "long_line")
+    total = "subtotal_d - coalesce(discount_d, 0) + coalesce(tax_d, 0) + coalesce(shipping_d, 0)"
+    shown = {
+        "CAST(q * u AS VARCHAR)": _long_text("(q * u)", True),
+        "CAST(CAST(amount_sum AS DECIMAL(18,2)) AS VARCHAR)": _long_text("amount_sum", True),
+        "CAST(CAST(" + total + "\n                   AS DECIMAL(18,2)) AS VARCHAR)": _long_text(f"({total})", True),
+        "CAST(v.val AS VARCHAR)": _long_text("v.val"),
+    } | {f"CAST({c} AS VARCHAR)": _long_text(c) for c in ("u", "a", "subtotal_d", "total_d")}
+    for old, new in shown.items():
+        assert old in sql, old
+        sql = sql.replace(old, new)
+    return sql
+
+
+def _long_money_sql() -> dict[str, str]:
+    codes = ("LINE_AMOUNT_MISMATCH", "DUPLICATE_LINE", "BALANCED_REVERSAL", "NEGATIVE_VALUE", "CREDIT_SIGN_INCONSISTENCY", "CREDIT_TOTAL_UNVERIFIABLE", "SUBTOTAL_MISMATCH", "TOTAL_MISMATCH")
+    start = "WITH " + ADAPTER.strip() + ",\n" + _LONG_TABLES
+    rules = start + ",\n" + _long_rules() + "\nSELECT doc_key, code, sub, field, expected, actual FROM w_all_issues WHERE code IN (" + ", ".join(f"'{c}'" for c in codes) + ")"
+
+    def bumped(x: str, when: str) -> str:
+        t = _long_text(x)
+        return f"CASE WHEN {when} THEN CAST(left({t}, -1) || CAST((CAST(right({t}, 1) AS INTEGER) + 1) % 10 AS VARCHAR) AS DECIMAL(38,15)) ELSE {x} END"
+
+    same = f"CASE WHEN total_d IS NOT DISTINCT FROM {bumped('total_d', 'doc_key % 23 = 0')} THEN 1 ELSE 0 END"
+    scores = start + f""",
+hm AS (SELECT sum({same}) AS s, count(*) AS n FROM long_header),
+keyed AS (
+  SELECT 'g' AS side, doc_key, {_norm('description')} AS nd, q, u, a FROM long_line
+  UNION ALL
+  SELECT 'p', doc_key, {_norm('description')}, q, u, {bumped('a', 'doc_key % 19 = 0 AND idx % 2 = 0')} FROM long_line
+),
+bag AS (
+  SELECT count(*) FILTER (WHERE side = 'g') AS cg, count(*) FILTER (WHERE side = 'p') AS cp FROM keyed GROUP BY doc_key, nd, q, u, a
+),
+lines AS (SELECT sum(least(cg, cp)) AS tp, sum(cp - least(cg, cp)) AS fp, sum(cg - least(cg, cp)) AS fn FROM bag)
+SELECT CAST(15 * n + s AS BIGINT) AS header_matched, CAST(16 * n AS BIGINT) AS header_compared,
+       CAST(4 * n + s AS BIGINT) AS decimal_matched, CAST(5 * n AS BIGINT) AS decimal_compared,
+       CAST(tp AS BIGINT) AS true_positive, CAST(fp AS BIGINT) AS false_positive, CAST(fn AS BIGINT) AS false_negative
+FROM hm, lines"""
+    return {"long_money_rules": rules, "long_money_scores": scores}
+
+
 def all_oracle_sql() -> dict[str, str]:
     from docaudit.plans.flagship import FLAGSHIP_SQL_SELECT
 
@@ -329,6 +394,7 @@ def all_oracle_sql() -> dict[str, str]:
     out.update(SOURCE_SQL)
     out.update(EXTRACTION_SQL)
     out.update(VALUE_SQL)
+    out.update(_long_money_sql())
     return out
 
 

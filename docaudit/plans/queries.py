@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docaudit.operators.validate import Validation, validate
-from docaudit.sources.adapter import DocumentTables, document_tables
+from docaudit.session import cut_lineage
+from docaudit.sources.adapter import DocumentTables, build_headers, document_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,12 +23,16 @@ def _validated(spark: SparkSession, sf_dir: str) -> tuple[DocumentTables, Valida
     return tables, validate(tables.headers, tables.lines)
 
 
-def _issues(codes: tuple[str, ...], cols: tuple[str, ...]) -> Query:
-    """Some rules only: built from what they read, nothing written before the action."""
+def _issues(codes: tuple[str, ...], cols: tuple[str, ...], several: bool = False) -> Query:
+    """Some rules only: built from what they read.  Lines that ``several`` branches read are written once, else nothing is."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         tables = document_tables(spark, sf_dir, materialize=False)
-        return validate(tables.headers, tables.lines, codes=codes).issues.select(*cols)
+        headers, lines = tables.headers, tables.lines
+        if several:
+            lines = cut_lineage(lines, "doc_lines")
+            headers = build_headers(spark, sf_dir, lines)
+        return validate(headers, lines, codes=codes).issues.select(*cols)
 
     return run
 
@@ -61,7 +66,35 @@ def issue_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Rules that compute with or compare money.
+MONEY_CODES = (
+    "LINE_AMOUNT_MISMATCH", "DUPLICATE_LINE", "BALANCED_REVERSAL", "NEGATIVE_VALUE", "CREDIT_SIGN_INCONSISTENCY",
+    "CREDIT_TOTAL_UNVERIFIABLE", "SUBTOTAL_MISMATCH", "TOTAL_MISMATCH",
+)
+
+
+def long_money_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All money rules over documents whose amounts have up to 21 integer digits or 15 decimals."""
+    from docaudit.sources.long_money import long_money_tables
+
+    long = long_money_tables(document_tables(spark, sf_dir))
+    return validate(long.headers, long.lines, codes=MONEY_CODES).issues.select("doc_key", "code", "sub", "field", "expected", "actual")
+
+
+def long_money_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Header, decimal and line scores of long amounts that differ in closing zeros or in their last digit."""
+    from docaudit.operators import evaluate as E
+    from docaudit.sources.long_money import long_money_pair, long_money_tables
+
+    inp = long_money_pair(long_money_tables(document_tables(spark, sf_dir)))
+    fx = E.fixtures(inp)
+    lines = E.line_item_prf(inp, fx).select("true_positive", "false_positive", "false_negative")
+    return E.header_match(inp, fx).crossJoin(lines)  # one row each
+
+
 VALIDATION_QUERIES: dict[str, Query] = {
+    "long_money_rules": long_money_rules,
+    "long_money_scores": long_money_scores,
     "issues_by_code": issues_by_code,
     "document_status": document_status,
     "review_by_type": review_by_type,
@@ -77,15 +110,16 @@ VALIDATION_QUERIES: dict[str, Query] = {
     "line_amount_mismatch": _issues(
         ("LINE_AMOUNT_MISMATCH",), ("doc_key", "field", "expected", "actual")
     ),
-    "duplicate_line": _issues(("DUPLICATE_LINE",), ("doc_key", "field")),
-    "balanced_reversal": _issues(("BALANCED_REVERSAL",), ("doc_key", "field", "expected", "actual")),
-    "negative_value": _issues(("NEGATIVE_VALUE",), ("doc_key", "field", "expected", "actual")),
+    "duplicate_line": _issues(("DUPLICATE_LINE",), ("doc_key", "field"), several=True),
+    "balanced_reversal": _issues(("BALANCED_REVERSAL",), ("doc_key", "field", "expected", "actual"), several=True),
+    "negative_value": _issues(("NEGATIVE_VALUE",), ("doc_key", "field", "expected", "actual"), several=True),
     "credit_sign": _issues(
         ("CREDIT_SIGN_INCONSISTENCY", "CREDIT_TOTAL_UNVERIFIABLE"),
         ("doc_key", "code", "severity", "sub", "expected", "actual"),
+        several=True,
     ),
-    "subtotal_mismatch": _issues(("SUBTOTAL_MISMATCH",), ("doc_key", "expected", "actual")),
-    "total_mismatch": _issues(("TOTAL_MISMATCH",), ("doc_key", "expected", "actual")),
+    "subtotal_mismatch": _issues(("SUBTOTAL_MISMATCH",), ("doc_key", "expected", "actual"), several=True),
+    "total_mismatch": _issues(("TOTAL_MISMATCH",), ("doc_key", "expected", "actual"), several=True),
     "issue_order": issue_order,
 }
 
@@ -109,8 +143,6 @@ def _eval(fn, with_codes: bool = False):
         from docaudit.operators import evaluate as E
         from docaudit.sources.pairs import evaluation_inputs
 
-        from docaudit.session import cut_lineage
-
         inp = evaluation_inputs(spark, sf_dir, with_codes=with_codes)
         # one row per fixture, read by several branches: written once
         return fn(E, inp, cut_lineage(E.fixtures(inp), "fixtures"))

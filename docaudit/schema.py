@@ -92,13 +92,11 @@ MSG_CREDIT_INCOMPLETE = (
 )
 MSG_SUBTOTAL_MISMATCH = "Sum of line amounts differs from subtotal"
 MSG_TOTAL_MISMATCH = "Subtotal minus discount plus tax and shipping differs from total"
-MSG_UNCHECKED_MONEY = "Value has more digits than sums and products are computed with"
 
 EXPECTED_DATE = "YYYY-MM-DD"
 EXPECTED_CURRENCY = "ISO 4217 code"
 EXPECTED_NON_NEGATIVE = "non-negative"
 EXPECTED_CREDIT_SIGN = "all non-zero values positive-magnitude or all negative-signed"
-EXPECTED_MONEY_DIGITS = "at most 16 integer and 12 fraction digits"
 EXPECTED_CREDIT_COMPLETE = "line amounts, subtotal, and total"
 
 # ---------------------------------------------------------------------------
