@@ -1013,6 +1013,14 @@ EXTRACTION_SQL["repair_once"] = with_adapter(
     _LINE_COUNTS,
 )
 
+EXTRACTION_SQL["extract_isolated"] = """
+SELECT o_orderkey AS doc_key,
+       CASE WHEN o_orderkey % 101 = 0 OR o_orderkey % 211 = 5 OR o_orderkey % 29 = 0 OR o_orderkey % 151 = 3 THEN NULL ELSE '{}' END AS json,
+       CASE WHEN o_orderkey % 101 = 0 THEN 'extractor raised ValueError' WHEN o_orderkey % 211 = 5 THEN 'extractor gave another number of answers'
+            WHEN o_orderkey % 151 = 3 THEN 'answer is no text' END AS call_error
+FROM orders
+"""
+
 _MESSAGES = " ".join(
     f"WHEN '{code}' THEN '{text}'"
     for code, text in (

@@ -411,6 +411,31 @@ def repair_once_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_with_repair(loaded, stored_model).select("doc_key", "attempts", "outcome", "exit_code")
 
 
+def faulty_model(pdf):
+    """A model for tests that raises, answers too few documents or gives no text when certain documents are in its call."""
+    import pandas as pd
+
+    keys = pdf["doc_key"]
+    if (keys % 101 == 0).any():
+        raise ValueError("no such document")
+    answers = pd.Series(["{}"] * len(pdf), dtype=object)
+    answers[keys % 29 == 0] = None
+    answers[keys % 151 == 3] = 7
+    return answers[:-1] if (keys % 211 == 5).any() else answers
+
+
+def extract_isolated_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose call fails, alone, are provider errors; all others of their batches have their answers."""
+    from docaudit.operators.extract import extract_with, request_parts
+    from docaudit.session import find_package
+
+    find_package(spark)
+    name = F.concat(F.lit("DOC-"), F.col("doc_key").cast("string"), F.lit(".txt"))
+    headers = document_tables(spark, sf_dir, materialize=False).headers
+    loaded = headers.select("doc_key", name.alias("file_name"), F.lit("text/plain").alias("media_type"), F.lit(None).cast("string").alias("text"))
+    return extract_with(request_parts(loaded), faulty_model, batch_rows=64)
+
+
 def batch_envelopes_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files, pages, cells and stored answers to envelopes; one row an issue, or one with the load or extraction error."""
     from docaudit.plans.jobs import run_batch
@@ -435,6 +460,7 @@ def batch_envelopes_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 EXTRACTION_QUERIES: dict[str, Query] = {
     "repair_once": repair_once_q,
+    "extract_isolated": extract_isolated_q,
     "batch_envelopes": batch_envelopes_q,
     "replay_extract": replay_extract_q,
     "batch_summary": batch_summary_q,

@@ -244,6 +244,55 @@ def test_repair_once(spark, tmp_path):
     assert sorted(log.read_text().split()) == ["0", "1", "1", "2", "2", "3"]
 
 
+def test_failing_calls_cost_only_their_own_documents():
+    import time
+
+    from docaudit.operators.extract import CALL_TIMED_OUT, NOT_TEXT, WRONG_COUNT, isolated
+
+    calls = []
+
+    def fn(pdf):
+        keys = pdf["doc_key"].tolist()
+        calls.append(keys)
+        if 5 in keys or 11 in keys:
+            raise KeyError("secret value")
+        if 8 in keys:
+            return pd.Series(["x"] * (len(keys) + 1))
+        return pd.Series([None if k == 2 else 3.5 if k == 3 else float("nan") if k == 4 else f"a{k}" for k in keys], dtype=object)
+
+    got = isolated(fn, pd.DataFrame({"doc_key": range(16)}))
+    want = [(f"a{k}", None) for k in range(16)]
+    want[2] = want[4] = (None, None)
+    want[3] = (None, NOT_TEXT)
+    want[5] = want[11] = (None, "extractor raised KeyError")
+    want[8] = (None, WRONG_COUNT)
+    assert got == want
+    # halves: every good document is answered once, and no call holds more than the failing one's half
+    assert [k for c in calls if not {5, 8, 11} & set(c) for k in c].__len__() == 13 and len(calls) < 2 * 3 * 5
+    assert isolated(fn, pd.DataFrame({"doc_key": []})) == []
+
+    def slow(pdf):
+        if 1 in pdf["doc_key"].tolist():
+            time.sleep(5)
+        return pd.Series(["ok"] * len(pdf))
+
+    began = time.time()
+    assert isolated(slow, pd.DataFrame({"doc_key": range(4)}), seconds=0.3) == [("ok", None), (None, CALL_TIMED_OUT), ("ok", None), ("ok", None)]
+    assert time.time() - began < 3
+
+
+def test_a_raising_extractor_ends_in_provider_errors(spark):
+    def fn(pdf):
+        if (pdf["doc_key"] == 3).any():
+            raise RuntimeError("boom")
+        return pd.Series(["{}"] * len(pdf))
+
+    loaded = spark.createDataFrame([(i, f"f{i}.txt", "text/plain; charset=utf-8", "t") for i in range(6)], "doc_key long, file_name string, media_type string, text string")
+    res = {r.doc_key: r for r in extract_with_repair(loaded, fn).collect()}
+    assert (res[3].outcome, res[3].exit_code, res[3].error, res[3].attempts) == ("provider_error", 4, "extractor raised RuntimeError", 1)
+    assert all(res[k].outcome == "schema_error" and res[k].attempts == 2 for k in res if k != 3)
+
+
 def test_run_batch_isolates_failures(spark, tmp_path):
     from docaudit.plans.jobs import run_batch
 
