@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docaudit.functions.money import is_plain_decimal
@@ -29,42 +29,83 @@ def parse_date(s: Column) -> Column:
     return F.when(is_canonical_date(s), s.try_cast("date"))
 
 
-def _try_date(s: Column, pattern: str) -> Column:
-    return F.try_to_date(s, pattern)
+#: Month names; a word is a month when it is a name or its first three letters or more.
+MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 
 
-def normalize_date(s: Column) -> Column:
+def month_of(word: Column) -> Column:
+    """Number of a month's name or of its beginning (three letters at least), in any case; else null."""
+    low, found = F.lower(word), None
+    for number, name in enumerate(MONTHS, 1):
+        cond = (F.length(low) >= 3) & F.lit(name).startswith(low)
+        found = F.when(cond, number) if found is None else found.when(cond, number)
+    return found
+
+
+_SLASH = r"\A([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})\z"
+_FORMS = (  # pattern, and the places of year, month and day in it
+    (r"\A([0-9]{4})-([0-9]{2})-([0-9]{2})\z", 1, 2, 3),
+    (r"\A([0-9]{4})/([0-9]{1,2})/([0-9]{1,2})\z", 1, 2, 3),
+    (r"\A([0-9]{1,2})\.([0-9]{1,2})\.([0-9]{4})\z", 3, 2, 1),
+)
+_WORD_FORMS = ((r"\A([0-9]{1,2}) ([A-Za-z]+) ([0-9]{4})\z", 3, 2, 1), (r"\A([A-Za-z]+) ([0-9]{1,2}), ([0-9]{4})\z", 3, 1, 2))
+
+
+def _iso(year: Column, month: Column, day: Column) -> Column:
+    """YYYY-MM-DD of texts or numbers if that is a real date, else null."""
+    text = F.concat_ws("-", year, F.lpad(month.cast("string"), 2, "0"), F.lpad(day.cast("string"), 2, "0"))
+    return F.when(is_canonical_date(text), text)
+
+
+def _spaced(s: Column) -> Column:
+    return F.trim(F.regexp_replace(s, r"\s+", " "))
+
+
+def _slash_parts(t: Column) -> tuple[Column, Column, Column]:
+    return tuple(F.regexp_extract(t, _SLASH, k).try_cast("int") for k in (1, 2, 3))
+
+
+def day_order(s: Column) -> Column:
+    """What a printed date proves of its source's slash dates: ``day`` first, ``month`` first, or null."""
+    a, b, _ = _slash_parts(_spaced(s))
+    return F.when((a > 12) & (b <= 12), "day").when((b > 12) & (a <= 12), "month")
+
+
+def normalize_date(s: Column, order: Column | None = None) -> Column:
     """Normalise a printed date to YYYY-MM-DD when unambiguous, else null.
 
     Forms: ``2026-08-12``, ``2026/08/10``, ``09.08.2026`` (day first),
     ``12 Aug 2026``, ``12 August 2026``, ``AUG 11, 2026``, ``August 13, 2026``,
-    and slash dates ``A/B/YYYY`` only when one part exceeds 12 or both parts
-    are equal.
+    and slash dates ``A/B/YYYY`` when one part exceeds 12, both are equal, or
+    ``order`` says which comes first.  A word is a month by ``month_of`` alone.
     """
-    t = F.trim(F.regexp_replace(s, r"\s+", " "))
-    slash = F.regexp_extract(t, r"^([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})$", 0) != ""
-    a = F.regexp_extract(t, r"^([0-9]{1,2})/", 1).try_cast("int")
-    b = F.regexp_extract(t, r"^[0-9]{1,2}/([0-9]{1,2})/", 1).try_cast("int")
-    y = F.regexp_extract(t, r"/([0-9]{4})$", 1)
-    day_first = F.concat_ws("-", y, F.lpad(b.cast("string"), 2, "0"), F.lpad(a.cast("string"), 2, "0"))
-    month_first = F.concat_ws("-", y, F.lpad(a.cast("string"), 2, "0"), F.lpad(b.cast("string"), 2, "0"))
-    slash_iso = (
-        F.when((a > 12) & (b <= 12), day_first)
-        .when((b > 12) & (a <= 12), month_first)
-        .when(a == b, month_first)
-    )
-    month_name = F.regexp_replace(
-        F.initcap(F.lower(t)), r"\b([A-Za-z]{3})[a-z]*\b", "$1"
-    )
-    parsed = (
-        F.when(t.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), _try_date(t, "yyyy-MM-dd"))
-        .when(t.rlike(r"^[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}$"), _try_date(t, "yyyy/M/d"))
-        .when(t.rlike(r"^[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}$"), _try_date(t, "d.M.yyyy"))
-        .when(t.rlike(r"^[0-9]{1,2} [A-Za-z]+ [0-9]{4}$"), _try_date(month_name, "d MMM yyyy"))
-        .when(t.rlike(r"^[A-Za-z]+ [0-9]{1,2}, [0-9]{4}$"), _try_date(month_name, "MMM d, yyyy"))
-        .when(slash, parse_date(slash_iso))
+    t = _spaced(s)
+    part = lambda pattern, k: F.regexp_extract(t, pattern, k)
+    found = None
+    for pattern, y, m, d in _FORMS:
+        made = _iso(part(pattern, y), part(pattern, m), part(pattern, d))
+        found = F.when(t.rlike(pattern), made) if found is None else found.when(t.rlike(pattern), made)
+    for pattern, y, m, d in _WORD_FORMS:
+        month = month_of(part(pattern, m))
+        found = found.when(t.rlike(pattern), F.when(month.isNotNull(), _iso(part(pattern, y), month, part(pattern, d))))
+    a, b, _ = _slash_parts(t)
+    year = part(_SLASH, 3)
+    first = F.coalesce(day_order(s), F.when(a == b, "day"), *([order] if order is not None else []))
+    slash = F.when(first == "day", _iso(year, b, a)).when(first == "month", _iso(year, a, b))
+    return found.when(t.rlike(_SLASH), slash)
+
+
+def normalize_source_dates(df: DataFrame, source: str, text: str, out: str) -> DataFrame:
+    """``normalize_date`` of ``text``, reading slash dates in the day order that other dates of the same ``source`` prove.
+
+    A source without proof, or with proof of both orders, has its ambiguous
+    dates left null; so has a null source.  What is joined is one row a source.
+    """
+    proof = F.col("__order")
+    by_source = df.select(source, day_order(F.col(text)).alias("__order")).where(proof.isNotNull()).groupBy(source).agg(
+        F.when(F.min(proof) == F.max(proof), F.min(proof)).alias("__order")
     )
-    return F.date_format(parsed, "yyyy-MM-dd")
+    return df.join(by_source, source, "left").withColumn(out, normalize_date(F.col(text), proof)).drop("__order")
 
 
 def normalize_currency(s: Column) -> Column:

@@ -519,6 +519,26 @@ def normalize_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def normalize_source_dates_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer's slash dates read in the order that its other dates prove; words that are no month."""
+    from docaudit.functions.dates import month_of, normalize_source_dates
+    from docaudit.session import read_table
+
+    k, c, od = F.col("o_orderkey"), F.col("o_custkey"), F.to_date("o_orderdate")
+    words = F.array(*[F.lit(w) for w in ("Marble", "Decoy", "Janus", "Sep", "Sept", "Octobe")])
+    word = F.element_at(words, (k % 6 + 1).cast("int"))
+    day_first = (c % 3 == 0) | ((c % 3 == 2) & (k % 2 == 0))
+    text = (
+        F.when(k % 7 == 0, F.concat_ws(" ", F.date_format(od, "d"), word, F.date_format(od, "yyyy")))
+        .when(day_first, F.date_format(od, "dd/MM/yyyy"))
+        .otherwise(F.date_format(od, "MM/dd/yyyy"))
+    )
+    rows = read_table(spark, sf_dir, "orders").select(
+        k.alias("doc_key"), c.alias("source"), text.alias("date_text"), F.when(k % 7 == 0, month_of(word)).alias("word_month")
+    )
+    return normalize_source_dates(rows, "source", "date_text", "date_norm")
+
+
 def grounding_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docaudit.operators.evaluate import grounding
 
@@ -543,6 +563,7 @@ def grounding_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 VALUE_QUERIES: dict[str, Query] = {
     "normalize_values": normalize_values,
     "grounding_check": grounding_check,
+    "normalize_source_dates": normalize_source_dates_q,
 }
 
 

@@ -135,6 +135,23 @@ def test_safe_names(spark):
     assert [r[0] for r in df.select(safe_filename(F.col("n"))).collect()][3] == "y.txt"
 
 
+def test_words_that_are_no_month_give_no_date(spark):
+    from docaudit.functions.dates import normalize_date, normalize_source_dates
+
+    want = {
+        "12 Marble 2026": None, "31 Decoy 2025": None, "Augustus 5, 2026": None, "5 Ma 2026": None, "5 May 2026": "2026-05-05", "SEPT 9, 2026": "2026-09-09",
+        "30 february 2026": None, "29 Feb 2024": "2024-02-29", "9.8.2026": "2026-08-09", "2026/8/1": "2026-08-01", "2026-8-01": None, "13/08/2026": "2026-08-13",
+        "08/13/2026": "2026-08-13", "07/08/2026": None, "08/08/2026": "2026-08-08", "13/13/2026": None, "  12   aug 2026 ": "2026-08-12", "": None, "2026": None,
+    }
+    df = spark.createDataFrame([(t,) for t in want], "t string")
+    assert {r.t: r.n for r in df.select("t", normalize_date(F.col("t")).alias("n")).collect()} == want
+    rows = [("a", "13/08/2026"), ("a", "07/08/2026"), ("b", "08/13/2026"), ("b", "07/08/2026"), ("c", "13/08/2026"), ("c", "08/13/2026"), ("c", "07/08/2026"), (None, "07/08/2026"), (None, "13/08/2026"), ("d", "07/08/2026")]
+    got = normalize_source_dates(spark.createDataFrame(rows, "s string, t string"), "s", "t", "n").collect()
+    by = {(r.s, r.t): r.n for r in got}
+    assert len(got) == len(rows)
+    assert [by[s, "07/08/2026"] for s in ("a", "b", "c", "d", None)] == ["2026-08-07", "2026-07-08", None, None, None]
+
+
 def test_money_forms(spark):
     from docaudit.functions.dates import normalize_money
 
