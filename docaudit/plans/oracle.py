@@ -981,8 +981,8 @@ FROM (
     WHEN p_partkey % 5 = 2 THEN ['Corrupt', 'XLSX package is corrupt']
     WHEN p_partkey % 5 IN (1, 3) THEN ['Unsupported', 'XLSX active content is not supported']
     WHEN p_partkey % 11 = 5 THEN ['Corrupt', 'XLSX package is corrupt']
-    WHEN p_partkey % 7 = 6 THEN ['Limit', 'XLSX has 24 sheets; limit is 20']
-    WHEN p_partkey % 13 = 3 THEN ['Corrupt', 'XLSX package is corrupt']
+    WHEN p_partkey % 7 = 6 AND p_partkey % 11 <> 6 THEN ['Limit', 'XLSX has 24 sheets; limit is 20']
+    WHEN p_partkey % 13 IN (3, 4) THEN ['Corrupt', 'XLSX package is corrupt']
     WHEN p_partkey % 13 = 1 THEN ['Unsupported', 'XLSX external relationships are not supported']
     WHEN p_partkey % 13 = 2 THEN ['Unsupported', 'XLSX active content is not supported']
     WHEN p_partkey % 19 = 6 THEN ['Corrupt', 'XLSX ZIP checksum failed for _rels/.rels']

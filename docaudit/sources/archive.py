@@ -3,9 +3,9 @@
 Part table: ``file, part, size, flags, crc_ok, xml, error`` -- one row per ZIP
 entry, as a lister gives it; ``error`` marks a package that could not be
 listed.  The rules are per-file aggregates, applied in the order the package
-guard checks them; the first failing check names the error.  XML is first
-parsed in permissive mode, and attributes are read by pattern from well-formed
-text only, so no part can stop the job.
+guard checks them; the first failing check names the error.  XML is read by
+Spark's parser in permissive mode, so no part can stop the job: attributes with
+their references resolved, comments, CDATA and nested elements apart.
 """
 
 from __future__ import annotations
@@ -68,17 +68,34 @@ EXTERNAL = "XLSX external relationships are not supported"
 PART_SCHEMA = "file string, part string, size bigint, flags int, crc_ok boolean, xml string, error string"
 
 
+#: What the guard reads of the three kinds of parts, by local names.
+TYPES = "Override array<struct<_ContentType string>>, Default array<struct<_ContentType string>>"
+RELATIONSHIPS = "Relationship array<struct<_TargetMode string, _Type string>>"
+#: Every child element, as text.
+CHILDREN = "xs_any array<string>"
+
+
+def parsed(xml: Column, schema: str, local_names: bool = True) -> Column:
+    """Struct of a part's root element; ``_bad`` holds the text if it is no XML."""
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad", "ignoreNamespace": str(local_names).lower()}
+    return F.from_xml(xml, f"{schema}, _bad string", options)
+
+
 def malformed(xml: Column) -> Column:
-    """Whether a text is no XML document (null is unknown)."""
-    parsed = F.from_xml(xml, "_bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
-    return parsed["_bad"].isNotNull() | ~xml.rlike(r">\s*\z")
+    """Whether a text is no XML document with one root (null is unknown)."""
+    body = F.regexp_replace(xml, r"\A\s*<\?xml\b.*?\?>", "")
+    roots = parsed(F.concat(F.lit("<r>"), body, F.lit("</r>")), CHILDREN)["xs_any"]
+    bad = parsed(xml, CHILDREN)["_bad"].isNotNull() | ~xml.rlike(r">\s*\z") | (F.size(F.coalesce(roots, F.array())) != 1)
+    return F.when(xml.isNotNull(), bad)
 
 
-def attribute_values(xml: Column, name: str) -> Column:
-    """Lower-cased values of an attribute anywhere in the text, outside comments."""
-    plain = F.regexp_replace(F.coalesce(xml, F.lit("")), r"(?s)<!--.*?-->", "")
-    found = F.regexp_extract_all(plain, F.lit(rf"""\s{name}\s*=\s*("[^"]*"|'[^']*')"""), F.lit(1))
-    return F.transform(found, lambda v: F.lower(v.substr(F.lit(2), F.length(v) - 2)))
+def declared_sheets(xml: Column) -> Column:
+    """Elements with the local name ``sheet`` in a namespace, at any depth below the root."""
+    # as the parser writes the children out again: without comments, prefixes kept
+    below = F.array_join(F.coalesce(parsed(xml, CHILDREN, local_names=False)["xs_any"], F.array()), "")
+    default = F.regexp_replace(xml, r"(?s)<!--.*?-->", "").rlike(r"""\sxmlns\s*=\s*("[^"]|'[^'])""")
+    prefixed = F.regexp_count(below, F.lit(r"<[\w.-]+:sheet[\s/>]"))
+    return prefixed + F.when(default, F.regexp_count(below, F.lit(r"<sheet[\s/>]"))).otherwise(F.lit(0))
 
 
 def _unsafe(part):
@@ -92,12 +109,15 @@ def archive_guard(parts: DataFrame, limits: Limits = DEFAULT_LIMITS) -> DataFram
     is_types, is_book, is_rels = low == "[content_types].xml", low == "xl/workbook.xml", low.endswith(".rels")
     sound = parts.withColumn("bad_xml", (is_types | is_book | is_rels) & F.coalesce(malformed(F.col("xml")), F.lit(False)))
     xml = F.when(~F.col("bad_xml"), F.col("xml"))
-    ct_active = is_types & F.exists(attribute_values(xml, "ContentType"), lambda t: t.rlike("|".join(ACTIVE_CONTENT_TYPE_MARKERS)))
-    declared_sheets = F.when(is_book, F.regexp_count(F.coalesce(xml, F.lit("")), F.lit(r"<(?:[\w.-]+:)?sheet[\s/>]")))
-    rel_external = is_rels & F.array_contains(attribute_values(xml, "TargetMode"), "external")
+    types = parsed(F.when(is_types, xml), TYPES)
+    declared = F.concat(*[F.coalesce(types[k]["_ContentType"], F.array().cast("array<string>")) for k in ("Override", "Default")])
+    ct_active = is_types & F.exists(declared, lambda t: F.lower(t).rlike("|".join(ACTIVE_CONTENT_TYPE_MARKERS)))
+    sheets = F.when(is_book, F.coalesce(declared_sheets(xml), F.lit(0)))
+    links = parsed(F.when(is_rels, xml), RELATIONSHIPS)["Relationship"]
+    rel_external = is_rels & F.exists(links, lambda r: F.lower(r["_TargetMode"]) == "external")
     rel_active = is_rels & F.exists(
-        attribute_values(xml, "Type"),
-        lambda t: F.element_at(F.split(F.regexp_replace(t, "/+$", ""), "/"), -1).isin(*ACTIVE_RELATIONSHIP_NAMES),
+        links,
+        lambda r: F.element_at(F.split(F.regexp_replace(F.lower(r["_Type"]), "/+$", ""), "/"), -1).isin(*ACTIVE_RELATIONSHIP_NAMES),
     )
     marker = F.lit(False)
     for m in ACTIVE_PART_MARKERS:
@@ -114,7 +134,7 @@ def archive_guard(parts: DataFrame, limits: Limits = DEFAULT_LIMITS) -> DataFram
         F.sum("size").alias("uncompressed"),
         F.array_sort(F.collect_set(F.when(F.col("part").isin(*REQUIRED_PARTS), F.col("part")))).alias("present_required"),
         F.bool_or(ct_active).alias("ct_active"),
-        F.max(declared_sheets).alias("declared_sheets"),
+        F.max(sheets).alias("declared_sheets"),
         F.bool_or(marker).alias("active_part"),
         F.bool_or(rel_external).alias("rel_external"),
         F.bool_or(rel_active).alias("rel_active"),

@@ -127,6 +127,40 @@ def test_archive_guard(spark):
     }
 
 
+def test_package_parts_are_read_as_xml(spark):
+    """References are resolved; comments, CDATA, nested elements and elements without a namespace do not count."""
+    ct = '<Types xmlns="u"><Default ContentType="application/xml"/></Types>'
+    wb = '<workbook xmlns="u"><sheets><sheet name="A"/></sheets></workbook>'
+    rel = '<Relationships xmlns="r">{}</Relationships>'
+    sheets = lambda n: "<sheet/>" * n
+    active, external = "XLSX active content is not supported", "XLSX external relationships are not supported"
+    cases = {  # (content types, workbook, relationships) and the error
+        "fine": (ct, wb, rel.format('<Relationship Type="u/worksheet"/>'), None),
+        "type_ref": ('<Types xmlns="u"><Override ContentType="application/&#109;acroEnabled"/></Types>', wb, None, active),
+        "type_prefixed": ('<t:Types xmlns:t="u"><t:Default ContentType="x/vbaProject"/></t:Types>', wb, None, active),
+        "type_comment": ('<Types xmlns="u"><!-- <Override ContentType="macroEnabled"/> --><Default ContentType="x"/></Types>', wb, None, None),
+        "type_cdata": ('<Types xmlns="u"><![CDATA[<Override ContentType="macroEnabled"/>]]></Types>', wb, None, None),
+        "mode_ref": (ct, wb, rel.format('<Relationship Type="u/a" TargetMode="&#69;xternal"/>'), external),
+        "mode_case": (ct, wb, rel.format("<Relationship Type='u/a' TargetMode='EXTERNAL'/>"), external),
+        "active_ref": (ct, wb, rel.format('<Relationship Type="u/&#111;leObject//"/>'), active),
+        "second_link": (ct, wb, rel.format('<Relationship Type="u/a"/><Relationship Type="u/connections"/>'), active),
+        "link_comment": (ct, wb, rel.format('<!-- <Relationship TargetMode="External"/> -->'), None),
+        "no_links": (ct, wb, '<Relationships xmlns="r"/>', None),
+        "two_roots": (ct, wb, '<Relationships xmlns="r"/><Relationships xmlns="r"/>', "XLSX package is corrupt"),
+        "entity": ('<!DOCTYPE a [<!ENTITY e "macroEnabled">]><Types><Override ContentType="&e;"/></Types>', wb, None, "XLSX package is corrupt"),
+        "sheets": (ct, f'<workbook xmlns="u"><sheets>{sheets(21)}</sheets></workbook>', None, "XLSX has 21 sheets; limit is 20"),
+        "sheets_prefixed": (ct, f'<w:workbook xmlns:w="u"><w:sheets>{"<w:sheet/>" * 21}</w:sheets></w:workbook>', None, "XLSX has 21 sheets; limit is 20"),
+        "sheets_deep": (ct, f'<workbook xmlns="u"><a><b>{sheets(21)}</b></a></workbook>', None, "XLSX has 21 sheets; limit is 20"),
+        "sheets_comment": (ct, f'<workbook xmlns="u"><sheets><sheet/><!--{sheets(5000)}--></sheets></workbook>', None, None),
+        "sheets_bare": (ct, f"<workbook><sheets>{sheets(21)}</sheets></workbook>", None, None),
+        "sheets_like": (ct, f'<workbook xmlns="u">{"<sheets/><sheetView/>" * 21}</workbook>', None, None),
+    }
+    parts = ("[Content_Types].xml", "xl/workbook.xml", "_rels/.rels")
+    rows = [(f, part, 10, 0, True, xml, None) for f, (*texts, _) in cases.items() for part, xml in zip(parts, texts)]
+    out = {r.file: r.error for r in archive_guard(spark.createDataFrame(rows, PART_SCHEMA)).collect()}
+    assert out == {f: c[3] for f, c in cases.items()}
+
+
 def test_safe_names(spark):
     from docaudit.functions.text import safe_filename, safe_upload_name
 
