@@ -730,35 +730,41 @@ cellv AS (
          unnest([length(c1), length(c2), length(c3), greatest(length(c4f), length(c4c)), length(c5_)]) AS size
   FROM (SELECT v.*, CASE WHEN width = 5 THEN 'x' END AS c5_ FROM v) t
 ),
-first_cell AS (
-  SELECT file, sheet_idx, row, col, size FROM (
-    SELECT *, row_number() OVER (PARTITION BY file ORDER BY sheet_idx, row, col) AS r FROM cellv WHERE size > {cell}) t WHERE r = 1
+per_sheet AS (SELECT file, sheet_idx, any_value(sheet) AS sheet, max(row) AS rows, max(width) AS cols, max(cell_chars) AS cc FROM v GROUP BY file, sheet_idx),
+steps AS (
+  SELECT file, sheet_idx, 0 AS row, length('sheet ' || sheet_idx || ': "' || sheet || '"') + 1 AS chars FROM per_sheet
+  UNION ALL SELECT file, sheet_idx, row, length(line) + 1 FROM v
 ),
-per_sheet AS (SELECT file, sheet_idx, max(row) AS rows, max(width) AS cols, max(cell_chars) AS cc FROM v GROUP BY file, sheet_idx),
-first_col AS (
-  SELECT file, sheet_idx, cols FROM (
-    SELECT *, row_number() OVER (PARTITION BY file ORDER BY sheet_idx) AS r FROM per_sheet WHERE cols > {columns}) t WHERE r = 1
+running AS (SELECT *, {_PREFIX_CHARS} + sum(chars) OVER (PARTITION BY file ORDER BY sheet_idx, row) AS so_far FROM steps),
+breaches AS (
+  SELECT file, sheet_idx, 0 AS row, 0 AS step, 0 AS col, 'columns' AS broken, cols AS size FROM per_sheet WHERE cols > {columns}
+  UNION ALL SELECT file, sheet_idx, 0, 1, 0, 'rows', NULL FROM (
+    SELECT *, sum(rows) OVER (PARTITION BY file ORDER BY sheet_idx) AS through FROM per_sheet) t WHERE through > {rows}
+  UNION ALL SELECT file, sheet_idx, row, CASE WHEN row = 0 THEN 2 ELSE 4 END, 0, 'canonical_chars', NULL FROM running WHERE so_far > {chars}
+  UNION ALL SELECT file, sheet_idx, row, 3, col, 'cell_chars', size FROM cellv WHERE size > {cell}
+),
+first_breach AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY sheet_idx, row, step, col) AS r FROM breaches) t WHERE r = 1
 ),
 st AS (SELECT file, sum(rows) AS n_rows, max(cols) AS max_cols, max(cc) AS max_cell_chars FROM per_sheet GROUP BY file),
 lc AS (SELECT file, sum(length(line) + 1) AS line_chars FROM v GROUP BY file),
 hc AS (SELECT file, sum(length('sheet ' || sheet_idx || ': "' || sheet || '"') + 1) AS heading_chars
        FROM (SELECT DISTINCT file, sheet_idx, sheet FROM v) GROUP BY file),
 j AS (SELECT 'wb-' || o.o_orderkey || '.xlsx' AS file, o.o_orderkey AS k, st.n_rows, st.max_cols, st.max_cell_chars,
-             {_PREFIX_CHARS} + lc.line_chars + hc.heading_chars AS canonical_chars, fc.sheet_idx AS col_sheet, fc.cols AS col_size,
-             fx.sheet_idx AS x_sheet, fx.row AS x_row, fx.col AS x_col, fx.size AS x_size,
+             {_PREFIX_CHARS} + lc.line_chars + hc.heading_chars AS canonical_chars, fb.broken,
+             CASE WHEN fb.broken IN ('columns', 'cell_chars') THEN fb.sheet_idx END AS b_sheet,
+             CASE WHEN fb.broken = 'cell_chars' THEN fb.row END AS b_row, CASE WHEN fb.broken = 'cell_chars' THEN fb.col END AS b_col, fb.size AS b_size,
              EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey) AS has_lines
       FROM orders o LEFT JOIN st ON st.file = 'wb-' || o.o_orderkey || '.xlsx'
       LEFT JOIN lc ON lc.file = st.file LEFT JOIN hc ON hc.file = st.file
-      LEFT JOIN first_col fc ON fc.file = st.file LEFT JOIN first_cell fx ON fx.file = st.file),
-b AS (SELECT *, CASE WHEN col_size IS NOT NULL THEN 'columns' WHEN n_rows > {rows} THEN 'rows'
-                     WHEN x_size IS NOT NULL THEN 'cell_chars' WHEN canonical_chars > {chars} THEN 'canonical_chars' END AS broken FROM j),
+      LEFT JOIN first_breach fb ON fb.file = st.file),
 judged AS (
   SELECT *, CASE WHEN k % 97 = 0 AND has_lines THEN 'decoding stopped'
-      WHEN broken = 'columns' THEN 'limit columns is {columns}; found ' || col_size || ' at sheet ' || col_sheet
+      WHEN broken = 'columns' THEN 'limit columns is {columns}; found ' || b_size || ' at sheet ' || b_sheet
       WHEN broken = 'rows' THEN 'limit rows is {rows}; found ' || n_rows
-      WHEN broken = 'cell_chars' THEN 'limit cell_chars is {cell}; found ' || x_size || ' at sheet ' || x_sheet || ' row ' || x_row || ' column ' || x_col
+      WHEN broken = 'cell_chars' THEN 'limit cell_chars is {cell}; found ' || b_size || ' at sheet ' || b_sheet || ' row ' || b_row || ' column ' || b_col
       WHEN broken = 'canonical_chars' THEN 'limit canonical_chars is {chars}; found ' || canonical_chars
-      WHEN n_rows IS NULL THEN 'Input contains no logical rows' END AS error FROM b
+      WHEN n_rows IS NULL THEN 'Input contains no logical rows' END AS error FROM j
 )
 """
 
@@ -767,11 +773,8 @@ CELL_LIMITS_SQL = "WITH " + _cells_judged(4, 6, 5, 400) + """
 SELECT file, CAST(n_rows AS BIGINT) AS n_rows, CAST(max_cols AS BIGINT) AS max_cols,
        CAST(max_cell_chars AS BIGINT) AS max_cell_chars, CAST(canonical_chars AS BIGINT) AS canonical_chars,
        broken AS broken_limit,
-       CASE broken WHEN 'columns' THEN col_sheet WHEN 'cell_chars' THEN x_sheet END AS at_sheet,
-       CASE broken WHEN 'cell_chars' THEN x_row END AS at_row,
-       CASE broken WHEN 'cell_chars' THEN x_col END AS at_col,
-       CAST(CASE broken WHEN 'columns' THEN col_size WHEN 'rows' THEN n_rows WHEN 'cell_chars' THEN x_size
-            WHEN 'canonical_chars' THEN canonical_chars END AS BIGINT) AS at_size,
+       b_sheet AS at_sheet, b_row AS at_row, b_col AS at_col,
+       CAST(CASE broken WHEN 'rows' THEN n_rows WHEN 'canonical_chars' THEN canonical_chars ELSE b_size END AS BIGINT) AS at_size,
        CASE WHEN error IS NOT NULL THEN 3 END AS error_code, error
 FROM judged
 """
