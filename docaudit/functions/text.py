@@ -1,16 +1,20 @@
 """String normalisation expressions (JVM-side, no UDF).
 
-``normalize`` mirrors Python's ``" ".join(s.casefold().split())``:
+``normalize`` equals Python's ``" ".join(s.casefold().split())``:
 
-* case folding: ``lower(upper(x))`` maps e.g. ``ß`` to ``ss`` like casefold.
-  The identity ``translate`` stops the optimizer from rewriting
-  ``lower(upper(x))`` into ``lower(x)``; final sigma is folded to ``σ``.
+* case folding by Python's own table: code points that fold to one are
+  translated, the some hundred that fold to several are looked up one by one,
+  only in texts that hold any.  Texts in ASCII are lower-cased.
 * whitespace: Python splits on Unicode whitespace plus U+001C..U+001F, so
   runs of that class collapse to one space and the ends are stripped.
 """
 
 from __future__ import annotations
 
+import sys
+from functools import cache
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,9 +23,22 @@ PY_VISIBLE = r"(?U)[^\s\x1c-\x1f]"
 PY_WHITESPACE_EDGES = r"^(?U)[\s\x1c-\x1f]+|(?U)[\s\x1c-\x1f]+$"
 
 
+@cache
+def _folds() -> tuple[str, str, dict[str, str]]:
+    """Code points that fold to another one, those they fold to, and the map of those that fold to several."""
+    pairs = [(chr(c), chr(c).casefold()) for c in range(0x80, sys.maxunicode + 1) if not 0xD800 <= c < 0xE000 and chr(c).casefold() != chr(c)]
+    single = [(a, b) for a, b in pairs if len(b) == 1]
+    return "".join(a for a, _ in single), "".join(b for _, b in single), {a: b for a, b in pairs if len(b) > 1}
+
+
 def casefold(col: Column) -> Column:
-    folded = F.lower(F.translate(F.upper(col), "\u0001", "\u0001"))
-    return F.translate(folded, "ς", "σ")
+    """Python's ``str.casefold``."""
+    before, after, several = _folds()
+    folded = F.translate(col, ascii_uppercase + before, ascii_lowercase + after)
+    table = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
+    one_by_one = F.array_join(F.transform(F.split(folded, ""), lambda ch: F.coalesce(F.try_element_at(table, ch), ch)), "")
+    rare = F.when(folded.rlike("[" + "".join(several) + "]"), one_by_one).otherwise(folded)
+    return F.when(col.rlike(r"[^\x00-\x7F]"), rare).otherwise(F.lower(col))
 
 
 def collapse_whitespace(col: Column) -> Column:
