@@ -110,7 +110,16 @@ def hilbert_shards(df: DataFrame, shards: int = 8, id_col: str = "doc_id", text_
     )
 
 
-def write_shards(df: DataFrame, placed: DataFrame, path: str, id_col: str = "doc_id") -> None:
-    """Parquet files by shard, rows in curve order, so that each file's value ranges are narrow."""
-    at = placed.select(F.col(id_col).alias("_id"), "shard", "slot")
-    df.join(at, F.col(id_col) == F.col("_id")).drop("_id").repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").drop("slot").write.partitionBy("shard").parquet(path)
+def write_shards(df: DataFrame, path: str, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", names: tuple[str, ...] = ("lang", "source"), seed: int = 5) -> None:
+    """Parquet files by shard, rows in curve order, so that each file's value ranges are narrow.
+
+    Rows are placed by a number of their own, so rows without id and rows that
+    share one are all written, once.  The folders are ``shard=<n>``; a column of
+    ``df`` named ``shard`` is kept as ``shard_``.
+    """
+    own = df.withColumnRenamed("shard", "shard_").select(F.struct("*").alias("row"))
+    rows = cut_lineage(own.withColumn("key", F.monotonically_increasing_id()), "shard-input")
+    flat = rows.select("key", F.col("row")[text_col].alias("text"), *[F.col("row")[c].alias(f"n{i}") for i, c in enumerate(names)])
+    placed = hilbert_shards(flat, shards, "key", "text", tuple(f"n{i}" for i in range(len(names))), seed).select("key", "shard", "slot")
+    ordered = rows.join(placed, "key").repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
+    ordered.select("row.*", "shard").write.partitionBy("shard").parquet(path)

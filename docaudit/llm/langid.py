@@ -109,17 +109,18 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         return None
     langs = sorted(counts)
     each = sample / len(langs)
-    draw = (F.pmod(F.xxhash64(F.lit(17), F.col(id_col)), F.lit(1 << 20)) + 0.5) / (1 << 20)
+    key = F.xxhash64(F.lit(17), F.col(id_col), F.col(text_col))
+    draw = (F.pmod(key, F.lit(1 << 20)) + 0.5) / (1 << 20)
     share = F.element_at(F.create_map(*[F.lit(v) for k in langs for v in (k, min(1.0, each / counts[k]))]), F.col(lang_col))
-    rows = learn.where(draw <= share).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    rows = learn.where(draw <= share).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), key.alias("key"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, n, x in features(batch.column(1)):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), pack_rows(x)], ["lang", "x"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), pack_rows(x), batch.column(2).slice(first, n)], ["lang", "x", "key"])
 
-    # in order of language and features: the same model whatever order the rows arrive in
-    got = rows.mapInArrow(task, "lang string, x binary").orderBy("lang", "x").toArrow()
+    # in a fixed order: the same model whatever order the rows arrive in.  Rows without id that share a text share their draw, hence the bound
+    got = rows.mapInArrow(task, "lang string, x binary, key long").orderBy("key", "lang", "x").limit(2 * sample + len(langs)).select("lang", "x").toArrow()
     if not got.num_rows:
         return None
     place = {k: i for i, k in enumerate(langs)}

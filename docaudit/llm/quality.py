@@ -192,11 +192,12 @@ def _votes_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sample_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for _, _, raw, at in row_chunks(batch.column(0), 256):
+        for first, n, raw, at in row_chunks(batch.column(0), 256):
             words, v, x = features(raw, at)
             some = np.flatnonzero(words > 0)
             text = ["".join("01"[c] for c in row) for row in v[some].tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(text, pa.string()), pack_rows(x[some])], ["pattern", "x"])
+            keys = batch.column(1).slice(first, n).take(pa.array(some))
+            yield pa.RecordBatch.from_arrays([pa.array(text, pa.string()), pack_rows(x[some]), keys], ["pattern", "x", "key"])
 
 
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> tuple[np.ndarray | None, dict[str, float], np.ndarray]:
@@ -209,9 +210,11 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
     patterns = np.array([[c == "1" for c in r["pattern"]] for r in counted])
     post, chance, _ = estimate(patterns, counts)
     label = {r["pattern"]: float(p) for r, p in zip(counted, post)}
-    draw = (F.pmod(F.xxhash64(F.lit(23), F.col(id_col)), F.lit(1 << 20)) + 0.5) / (1 << 20)
-    rows = df.where(draw <= min(1.0, sample / counts.sum())).select(F.col(text_col).alias("text"))
-    got = rows.mapInArrow(_sample_task, "pattern string, x binary").orderBy("pattern", "x").toArrow()
+    key = F.xxhash64(F.lit(23), F.col(id_col), F.col(text_col))
+    draw = (F.pmod(key, F.lit(1 << 20)) + 0.5) / (1 << 20)
+    rows = df.where(draw <= min(1.0, sample / counts.sum())).select(F.col(text_col).alias("text"), key.alias("key"))
+    # rows without id that share a text share their draw, hence the bound
+    got = rows.mapInArrow(_sample_task, "pattern string, x binary, key long").orderBy("key", "pattern", "x").limit(2 * sample).select("pattern", "x").toArrow()
     if not got.num_rows:
         return None, label, chance
     y = np.array([label[p] for p in got["pattern"].to_pylist()], np.float32)

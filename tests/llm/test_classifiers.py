@@ -80,3 +80,23 @@ def test_quality_awkward_rows(spark):
     rows = quality.quality(df).collect()
     assert len(rows) == df.count() and all(not r.kept and r.score == 0 for r in rows if r.doc_id in (1, 2, 3, 11))
     assert quality.quality(empty(spark)).count() == 0 and keep_good(empty(spark)).count() == 0
+
+
+def test_rows_without_id_are_learned_from(spark):
+    """Sampling goes by id and text, so a table without ids, or with one id, is sampled like any other."""
+    from pyspark.sql import functions as F
+
+    from docaudit.llm import langid, quality
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    for own in (F.lit(None).cast("long"), F.lit(1).cast("long")):
+        same = docs.withColumn("doc_id", own)
+        scorer, label, _ = quality.train(same, sample=100)
+        assert scorer is not None and label
+        model = langid.train(same.where("lang is not null"), sample=100)
+        assert model is not None and len(model.langs) >= 4
+        said = langid.predict(docs, model).join(docs, "doc_id").where("lang is not null and lang_pred <> 'und'")
+        assert said.where("lang = lang_pred").count() > 0.9 * said.count()
+    copies = docs.limit(1).crossJoin(spark.range(3000)).withColumn("doc_id", F.lit(None).cast("long")).select(*docs.columns)
+    quality.train(copies, sample=50)
+    langid.train(copies.withColumn("lang", F.lit("en")), sample=50)

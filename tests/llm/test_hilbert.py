@@ -3,6 +3,8 @@ import zlib
 import numpy as np
 from cases import awkward, empty
 
+from pyspark.sql import functions as F
+
 from docaudit.llm.hilbert import hilbert_index, hilbert_shards, write_shards
 
 
@@ -34,10 +36,19 @@ def test_cuts(spark):
 
 def test_files_prune(spark, tmp_path):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    placed = hilbert_shards(docs)
-    write_shards(docs, placed, str(tmp_path / "out"))
+    write_shards(docs, str(tmp_path / "out"))
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == docs.count()
     # fewer files hold a given value pair than an arbitrary split would need
     pairs = back.groupBy("lang", "source").agg({"shard": "approx_count_distinct"}).collect()
     assert np.mean([r[2] for r in pairs]) < 4
+
+
+def test_writer_keeps_every_row_once(spark, tmp_path):
+    """Rows without id, rows that share one, and columns named like the writer's own."""
+    df = awkward(spark).withColumn("shard", F.lit("mine")).withColumn("slot", F.lit(4)).withColumn("key", F.lit("k"))
+    write_shards(df, str(tmp_path / "out"), shards=3)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert set(back.select("shard").distinct().toPandas()["shard"]) == {0, 1, 2}
+    names = [c for c in df.columns if c != "shard"]
+    assert sorted(map(str, back.select(*names, "shard_").collect())) == sorted(map(str, df.withColumnRenamed("shard", "shard_").select(*names, "shard_").collect()))
