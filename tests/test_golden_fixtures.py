@@ -104,8 +104,8 @@ def test_summary_numbers(golden):
     assert rep["processing", "processed"] == (11, 11) and rep["processing", "schema_valid"] == (11, 11)
     assert rep["header_exact_match", "matched"] == (176, 176)
     assert rep["decimal_accuracy", "matched"] == (55, 55)
-    assert rep["line_items", "precision"] == (15, 15) and rep["line_items", "f1"] == (30, 30)
-    assert rep["validation_detection", "recall"] == (4, 4) and rep["validation_detection", "f1"] == (8, 8)
+    assert rep["line_items", "precision"] == (15, 15) and rep["line_items", "f1"] == (10_000, 10_000)
+    assert rep["validation_detection", "recall"] == (4, 4) and rep["validation_detection", "f1"] == (10_000, 10_000)
     assert rep["hallucinations", "count"] == (0, None)
     assert rep["breakdown", "format=pdf processed"] == (4, 4)
     assert not any(section == "failures" for section, _ in rep)
