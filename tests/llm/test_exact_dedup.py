@@ -1,5 +1,7 @@
 import hashlib
 
+from pyspark.sql import functions as F
+
 from cases import awkward, empty, folded
 
 from docaudit.llm.exact_dedup import directory, exact_dedup, keep_first_copies, keyed
@@ -44,6 +46,31 @@ def test_buckets_split_until_they_fit(spark):
     assert got.where("kept").count() == 2500 and got.where("group_size = 2").count() == 1000
 
 
+def test_bytes_decide_where_hashes_meet(spark):
+    df = awkward(spark)
+    want = sorted(map(str, map(tuple, exact_dedup(df).collect())))
+    one_hash = lambda norm: F.lit(7).cast("long")
+    by_length = lambda norm: F.shiftleft(F.char_length(norm).cast("long"), 59)
+    for hashed in (one_hash, by_length):
+        assert sorted(map(str, map(tuple, exact_dedup(df, hashed=hashed, capacity=2).collect()))) == want
+
+
+def test_directory_doubles_past_its_first_bits(spark):
+    # the first hashes share four bits, so the six bits at the start cannot part them
+    keys = spark.range(40).selectExpr("id", "shiftleft(id, 54) AS h").unionByName(spark.range(40, 50).selectExpr("id", "shiftleft(-id, 54) AS h"))
+    slots, bits = directory(keys, capacity=8)
+    rows = slots.collect()
+    assert bits > 6 and sum(r.n_rows for r in rows) == 50
+    loads = {}
+    for r in rows:
+        loads[r.depth, r.bucket] = loads.get((r.depth, r.bucket), 0) + r.n_rows
+    assert max(loads.values()) <= 8
+    number = lambda norm: F.shiftleft(F.substring(norm, 2, 9).cast("long"), 54)
+    df = spark.range(120).selectExpr("id AS doc_id", "concat('t', id % 40) AS text")
+    got = exact_dedup(df, capacity=8, hashed=number)
+    assert got.where("kept").count() == 40 and got.where("group_size = 3 AND keep_id = 80 + doc_id % 40").count() == 120
+
+
 def test_kept_rows_are_whole(spark):
     df = awkward(spark)
     kept = keep_first_copies(df, exact_dedup(df))
