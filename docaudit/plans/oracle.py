@@ -1100,3 +1100,18 @@ EXTRACTION_SQL["batch_envelopes"] = with_rules(
   ) i ON i.doc_key = f.k AND f.error_code IS NULL
 ) z"""
 )
+
+# the rows of batch_envelopes are one an issue, one an envelope without issues, one a failed file
+_BATCH_ROWS = EXTRACTION_SQL["batch_envelopes"]
+EXTRACTION_SQL["batch_resumed"] = f"""SELECT run, CASE run WHEN 'resumed' THEN asked ELSE 0 END AS asked, processed, failed,
+       CAST(coalesce(worst, CASE WHEN processed + failed = 0 THEN 3 WHEN n_review > 0 THEN 2 ELSE 0 END) AS INTEGER) AS exit_code,
+       processed AS n_envelopes, n_issues, n_review
+FROM (
+  SELECT count(*) FILTER (WHERE error_code IS NULL) AS processed, count(error_code) AS failed, max(error_code) AS worst,
+         count(*) FILTER (WHERE error_code IS NULL OR error_code = 4) AS asked,
+         CAST(coalesce(sum(issues), 0) AS BIGINT) AS n_issues, count(*) FILTER (WHERE serious > 0) AS n_review
+  FROM (
+    SELECT doc_key, max(error_code) AS error_code, count(code) AS issues, count(*) FILTER (WHERE severity IN ('error', 'warning')) AS serious
+    FROM ({_BATCH_ROWS}) r GROUP BY doc_key
+  ) d
+) t, (VALUES ('resumed'), ('repeated')) v(run)"""

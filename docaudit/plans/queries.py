@@ -458,7 +458,37 @@ def batch_envelopes_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.unionByName(failed, allowMissingColumns=True)
 
 
+def batch_resumed_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """a batch over all files that ended after one part of two, its continuation and a repetition; a row a run type with what it asked, its summary and its issues."""
+    import uuid
+
+    from docaudit.plans.jobs import routed_files
+    from docaudit.plans.ledger import commit_part, run_resumable, settings_key
+    from docaudit.session import cut_lineage, ensure_checkpoint_dir
+    from docaudit.sources.records import batch_inputs
+
+    b = batch_inputs(spark, sf_dir, document_tables(spark, sf_dir))
+    files, pages, cells, answers = (cut_lineage(b[n], f"batch-{n}") for n in ("files", "pages", "cells", "responses"))
+    out = f"{ensure_checkpoint_dir(spark).rstrip('/')}/batches/{uuid.uuid4().hex}"
+    first = routed_files(files).where(F.pmod(F.xxhash64("doc_key"), F.lit(2)) == 0)
+    before = commit_part(first, answers, out, settings_key("stored answers"), pages=pages, cells=cells)
+    go = lambda: run_resumable(files, answers, out, "stored answers", True, pages=pages, cells=cells, parts=2)
+    found = None
+    for name, earlier in (("resumed", before), ("repeated", 0)):
+        run = go()
+        issues = run.envelopes.agg(
+            F.count(F.lit(1)).alias("n_envelopes"),
+            F.coalesce(F.sum(F.size("envelope.validation.issues")), F.lit(0)).cast("long").alias("n_issues"),
+            F.count_if(F.col("envelope.validation.review_required")).alias("n_review"),
+        )
+        asked = F.lit(earlier + run.asked).cast("long").alias("asked")
+        row = run.summary.withColumn("run", F.lit(name)).join(issues.withColumn("run", F.lit(name)), "run").select("run", asked, "processed", "failed", "exit_code", "n_envelopes", "n_issues", "n_review")
+        found = row if found is None else found.unionByName(row)
+    return found
+
+
 EXTRACTION_QUERIES: dict[str, Query] = {
+    "batch_resumed": batch_resumed_q,
     "repair_once": repair_once_q,
     "extract_isolated": extract_isolated_q,
     "batch_envelopes": batch_envelopes_q,
