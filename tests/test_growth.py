@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import decimal
+import json
 import random
 from decimal import Decimal
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from docaudit.functions.money import decimal_of, plain, product_differs, sum_differs
 from docaudit.functions.text import json_string
+from docaudit.operators import strict_json as J
 from docaudit.operators.validate import prepare_lines, reversal_pairs, validate
 
 LINES = "doc_key bigint, idx int, document_type string, description string, quantity string, unit_price string, amount string"
@@ -69,3 +71,48 @@ def test_json_string(spark):
     texts = ["a]", "]", 'x"]]\\', "", "é\n", None]
     rows = spark.createDataFrame([(x,) for x in texts], "c string").select(json_string(F.col("c"))).collect()
     assert [r[0] for r in rows] == ['"a]"', '"]"', '"x\\"]]\\\\"', '""', '"é\\n"', "null"]
+
+
+ITEM = {"description": "Item", "quantity": "2", "unit_price": "5", "amount": None}
+RECORD = {
+    "document_type": "invoice", "document_id": "A", "reference_document_id": None, "vendor": {"name": "V", "tax_id": None, "address": None},
+    "customer_name": None, "issue_date": None, "due_date": None, "delivery_date": None, "currency": "USD", "line_items": [ITEM, ITEM],
+    "subtotal": "10", "discount": None, "tax": "-1.50", "shipping": None, "total": "123456789012345678901.5",
+}
+
+
+def test_records_are_checked_without_a_shuffle(spark, capsys):
+    """Also of rows that share a key, each has its own errors."""
+    lacking, more = {k: v for k, v in ITEM.items() if k != "amount"}, ITEM | {"extra": "x"}
+    value, form = "line_items.%d.quantity: value_error", "line_items.%d: model_type"
+    cases = [
+        ({}, "", True),
+        ({"line_items": []}, "", True),
+        ({"line_items": [ITEM] * 300}, "", True),
+        ({"line_items": [ITEM, lacking]}, "line_items.1.amount: missing", False),
+        ({"line_items": [ITEM, lacking, more]}, "line_items.1.amount: missing; line_items.2.extra: extra_forbidden", False),
+        ({"line_items": [None]}, form % 0, False),
+        ({"line_items": [ITEM, None, 5]}, f"{form % 1}; {form % 2}", False),
+        ({"line_items": None}, "line_items: list_type", False),
+        ({"line_items": [ITEM | {"quantity": 2}, ITEM, ITEM | {"quantity": "2\n3"}]}, f"{value % 0}; {value % 2}", False),
+        ({"line_items": [{"unit_price": "5", "amount": 1, "b": 1, "a": 1}]},
+         "line_items.0.description: missing; line_items.0.quantity: missing; line_items.0.amount: value_error; line_items.0.a: extra_forbidden; line_items.0.b: extra_forbidden", False),
+        ({"vendor": None}, "vendor: model_type", False),
+        ({"vendor": {"name": 5, "tax_id": None}}, "vendor.name: string_type; vendor.address: missing", False),
+        ({"total": 5, "currency: STRING, customer_name": "x"}, "total: value_error; currency: STRING, customer_name: extra_forbidden", False),
+        ({"total": "007", "document_type": None}, "document_type: literal_error; total: value_error", False),
+    ]
+    df = spark.createDataFrame([(i // 2, i, json.dumps(RECORD | c)) for i, (c, _, _) in enumerate(cases)], "doc_key long, i int, json string")
+    parsed = J.parse_documents(df, materialize=False)
+    plan = _plan(parsed.select("i", "schema_valid", "errors"), capsys)
+    assert "Exchange" not in plan and "Join" not in plan
+    got = {r.i: r for r in parsed.select("i", "schema_valid", J.error_summary(F.col("errors")).alias("e"), "document").collect()}
+    assert len(got) == len(cases)
+    for i, (changes, errors, sound) in enumerate(cases):
+        assert (got[i].e, got[i].schema_valid) == (errors, sound), i
+        assert (got[i].document is not None) == sound
+        if sound:
+            assert [x.asDict() for x in got[i].document.line_items] == (RECORD | changes)["line_items"]
+    # sound records pass the cheap test, so their fields are not looked at one by one
+    quick = J.parsed_json(df, "json").select("i", J._quick_ok(F.col("_v"), J.document_spec()).alias("q")).collect()
+    assert {r.i: r.q for r in quick} == {i: sound for i, (_, _, sound) in enumerate(cases)}
