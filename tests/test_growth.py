@@ -9,9 +9,11 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
+from docaudit import session
 from docaudit.functions.money import decimal_of, plain, product_differs, sum_differs
 from docaudit.functions.text import json_string
 from docaudit.operators import strict_json as J
+from docaudit.operators.extract import replay_extract
 from docaudit.operators.validate import prepare_lines, reversal_pairs, validate
 
 LINES = "doc_key bigint, idx int, document_type string, description string, quantity string, unit_price string, amount string"
@@ -116,3 +118,15 @@ def test_records_are_checked_without_a_shuffle(spark, capsys):
     # sound records pass the cheap test, so their fields are not looked at one by one
     quick = J.parsed_json(df, "json").select("i", J._quick_ok(F.col("_v"), J.document_spec()).alias("q")).collect()
     assert {r.i: r.q for r in quick} == {i: sound for i, (_, _, sound) in enumerate(cases)}
+
+
+def test_replay_writes_its_outcome_once_without_the_text(spark):
+    loaded = spark.createDataFrame([(1, "a.pdf"), (2, "b.pdf"), (3, "c.pdf"), (4, None)], "doc_key long, file_name string")
+    answers = spark.createDataFrame([("a.pdf", json.dumps(RECORD)), ("a.json", "{"), ("b.json", "{")], "name string, json string")
+    before = len(session._WRITTEN.get(spark.sparkContext.applicationId, []))
+    out = replay_extract(loaded, answers)
+    written = session._WRITTEN[spark.sparkContext.applicationId][before:]
+    assert len(written) == 1 and "json" not in spark.read.parquet(written[0]).columns
+    assert sorted(tuple(r) for r in out.select("doc_key", "outcome", "error").collect()) == [
+        (1, "ok", None), (2, "schema_error", "stored answer is no valid record: root: json_invalid"), (3, "provider_error", "no stored answer for c.pdf"), (4, "provider_error", None)
+    ]
