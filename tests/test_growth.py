@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from docaudit import session
 from docaudit.functions.money import decimal_of, plain, product_differs, sum_differs
 from docaudit.functions.text import json_string
+from docaudit.operators import evaluate as E
 from docaudit.operators import strict_json as J
 from docaudit.operators.extract import replay_extract
 from docaudit.operators.validate import prepare_lines, reversal_pairs, validate
@@ -130,3 +131,15 @@ def test_replay_writes_its_outcome_once_without_the_text(spark):
     assert sorted(tuple(r) for r in out.select("doc_key", "outcome", "error").collect()) == [
         (1, "ok", None), (2, "schema_error", "stored answer is no valid record: root: json_invalid"), (3, "provider_error", "no stored answer for c.pdf"), (4, "provider_error", None)
     ]
+
+
+def test_lines_are_shuffled_once_to_be_scored(spark, capsys):
+    line = "doc_key bigint, idx int, description string, quantity string, unit_price string, amount string"
+    gold = [(1, i, "x", "1", "1.0", None) for i in range(3)] + [(1, 3, None, None, None, "5"), (1, 4, "5", None, None, None), (2, 0, "x", "1", "1", "1"), (None, 0, "x", "1", "1", "1")]
+    pred = [(1, 0, " X", "1.00", "1", None), (1, 1, "x", "1", None, "1"), (1, 2, "=5", None, None, None), (1, 3, None, None, "5", None), (2, 0, "y", "1", "1", "1"), (None, 0, "x", "1", "1", "1")]
+    g, p = spark.createDataFrame(gold, line), spark.createDataFrame(pred, line)
+    fx = spark.createDataFrame([(1, "compared"), (2, "invalid_output"), (None, "compared")], "doc_key bigint, branch string")
+    scores = E.line_item_prf(E.EvalInputs(None, g, None, p, None, None), fx)
+    plan = _plan(scores, capsys)
+    assert plan.count("Exchange hashpartitioning(doc_key#") - plan.count("ReusedExchange") <= 3 and "FullOuter" not in plan
+    assert tuple(scores.select("true_positive", "false_positive", "false_negative").first()) == (1, 3, 4)
