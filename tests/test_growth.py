@@ -121,6 +121,19 @@ def test_records_are_checked_without_a_shuffle(spark, capsys):
     assert {r.i: r.q for r in quick} == {i: sound for i, (_, _, sound) in enumerate(cases)}
 
 
+def test_rows_that_share_a_key_can_share_their_line_errors(spark):
+    bad = RECORD | {"line_items": [ITEM, ITEM | {"quantity": 2}]}
+    texts = [(1, bad), (1, bad | {"total": 1}), (1, RECORD), (2, bad), (3, RECORD), (1, RECORD | {"line_items": None})]
+    df = spark.createDataFrame([(k, i, json.dumps(x)) for i, (k, x) in enumerate(texts)] + [(1, 6, "{")], "doc_key long, i int, json string")
+    parsed = J.parse_documents(df, materialize=False, shared="doc_key").select("i", "schema_valid", J.error_summary(F.col("errors")).alias("e"))
+    one = "line_items.1.quantity: value_error"
+    two = f"{one}; {one}"
+    assert sorted((r.i, r.schema_valid, r.e) for r in parsed.collect()) == [
+        (0, False, two), (1, False, f"{two}; total: value_error"), (2, False, two), (3, False, one), (4, True, ""),
+        (5, False, "line_items: list_type"), (6, False, "root: json_invalid"),
+    ]
+
+
 def test_replay_writes_its_outcome_once_without_the_text(spark):
     loaded = spark.createDataFrame([(1, "a.pdf"), (2, "b.pdf"), (3, "c.pdf"), (4, None)], "doc_key long, file_name string")
     answers = spark.createDataFrame([("a.pdf", json.dumps(RECORD)), ("a.json", "{"), ("b.json", "{")], "name string, json string")
